@@ -26,11 +26,12 @@ def heavy_keys(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
     weight = F.col("_weight") if "_weight" in rows.columns else F.lit(1)
     load = rows.groupBy(key).agg(F.sum(weight).alias("_load"))
     heavy = load.filter(F.col("_load") > limit).select(key, F.ceil(F.col("_load") / limit).alias("_parts"))
-    listed = heavy.limit(LISTED_KEYS + 1).collect()
-    if not listed:
+    listed = heavy.limit(LISTED_KEYS + 1).toArrow()
+    if listed.num_rows == 0:
         return None
-    if len(listed) > LISTED_KEYS:
+    if listed.num_rows > LISTED_KEYS:
         return cut(heavy)
+    # From Arrow this is a local relation of known size, so its join is planned as a broadcast.
     return rows.sparkSession.createDataFrame(listed, heavy.schema)
 
 

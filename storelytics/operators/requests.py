@@ -52,11 +52,10 @@ def customer_request_list(masters, requests, addresses, ids=None, status=None, a
     """As ``request_list`` for the given customers, but a master without any request is left out."""
     own = having_ids(masters, "user_id", ids)
     kept = _with_status(own, requests, status).join(requests.select(KEY).distinct(), KEY, "left_semi")
-    created = [F.col("created_at").alias("master_created_at")] if "created_at" in masters.columns else []
     return (
         _with_images(_placed(kept, addresses), requests, array_rows)
         .select(
-            "user_id", KEY, "part", F.col("status").alias("master_status"), *created,
+            "user_id", KEY, "part", F.col("status").alias("master_status"), F.col("created_at").alias("master_created_at"),
             "delivery_date", *ADDRESS, "product_images",
         )
         .orderBy(F.desc(KEY), "part")
@@ -88,9 +87,8 @@ def _nested(masters, requests, approvals, array_rows) -> DataFrame:
 
 def _detail(kept, requests, approvals, users, addresses, array_rows) -> DataFrame:
     placed = _placed(_customer(kept, users), addresses)
-    created = [F.col("created_at").alias("master_created_at")] if "created_at" in kept.columns else []
     return _nested(placed, requests, approvals, array_rows).select(
-        "user_id", KEY, "part", F.col("status").alias("master_status"), *created,
+        "user_id", KEY, "part", F.col("status").alias("master_status"), F.col("created_at").alias("master_created_at"),
         "customer_name", "customer_email", *ADDRESS, "address_id", "delivery_date", "product_requests",
     )
 

@@ -149,7 +149,7 @@ def _has(status: str) -> str:
 _LIST = "coalesce(g.product_images, '[]') AS product_images"
 _WHO = "u.name AS customer_name, u.email AS customer_email, a.address_id"
 _DETAIL = (
-    "m.user_id, u.name AS customer_name, u.email AS customer_email, m.address_id, "
+    "m.user_id, m.created_at AS master_created_at, u.name AS customer_name, u.email AS customer_email, m.address_id, "
     "coalesce(g.product_requests, '[]') AS product_requests"
 )
 _SEARCH = "(lower(name) LIKE '%{0}%' OR lower(email) LIKE '%{0}%' OR lower(phone) LIKE '%{0}%')"
@@ -201,7 +201,7 @@ ORACLE = {
     "l07_request_detail": _masters(NESTED, _DETAIL, _has("Approved")),
     "l08_customer_request_list": _masters(
         REQUEST_IMAGES,
-        f"m.user_id, {_LIST}",
+        f"m.user_id, m.created_at AS master_created_at, {_LIST}",
         "AND m.request_master_id IN (SELECT request_master_id FROM t_requests)",
     ),
     "l09_customer_request_detail": _masters(

@@ -6,6 +6,7 @@ Flags are booleans; a NULL flag is neither set nor unset, so ``~flag`` drops it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 MONEY = "decimal(12,2)"
@@ -65,9 +66,15 @@ ORDER_STATUS = {
 REQUEST_STATUS = {1: "Pending", 2: "Approved", 3: "Rejected", 4: "Completed"}
 
 
+def _codes(spark: SparkSession, codes: dict[int, str], key: str) -> DataFrame:
+    # From Arrow this is a local relation of known size; from a Python list it would be an RDD of unknown size.
+    table = pa.table({key: pa.array(codes.keys(), pa.int32()), "status_name": list(codes.values())})
+    return spark.createDataFrame(table)
+
+
 def order_status(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ORDER_STATUS.items()), "order_status_id int, status_name string")
+    return _codes(spark, ORDER_STATUS, "order_status_id")
 
 
 def request_status(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(REQUEST_STATUS.items()), "request_status_id int, status_name string")
+    return _codes(spark, REQUEST_STATUS, "request_status_id")

@@ -10,6 +10,10 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from storelytics.sources.changes import CHANGES
 
 BINDINGS: dict[str, str] = {
     "users": """
@@ -18,6 +22,7 @@ BINDINGS: dict[str, str] = {
                '555' || CAST(c_custkey AS STRING) AS phone,
                CASE WHEN c_mktsegment = 'MACHINERY' THEN 'admin' ELSE 'customer' END AS role,
                'S' || CAST(c_custkey % 4 AS STRING) AS size_preferences,
+               TIMESTAMP '2023-06-01 00:00:00' AS created_at, TIMESTAMP '2023-06-01 00:00:00' AS updated_at,
                c_custkey % 11 = 0 AS delete_status
         FROM {customer}""",
     "signups": """
@@ -50,7 +55,7 @@ BINDINGS: dict[str, str] = {
                CAST(o_totalprice AS DECIMAL(12,2)) AS subtotal,
                CAST(0 AS DECIMAL(12,2)) AS service_charge, CAST(0 AS DECIMAL(12,2)) AS delivery_charge,
                CAST(o_totalprice AS DECIMAL(12,2)) AS total, o_orderdate AS created_at,
-               o_orderkey % 17 = 0 AS delete_status
+               o_orderdate AS updated_at, o_orderkey % 17 = 0 AS delete_status
         FROM {orders}""",
     "order_items": """
         SELECT l_orderkey * 10 + l_linenumber AS order_item_id, l_orderkey AS order_id,
@@ -75,6 +80,7 @@ BINDINGS: dict[str, str] = {
     "request_masters": """
         SELECT c_custkey AS request_master_id, c_custkey AS user_id, 1 AS request_status_id,
                c_custkey AS address_id, 'Pending' AS status, c_custkey % 31 = 0 AS delete_status,
+               TIMESTAMP '2024-01-01 08:00:00' AS created_at, TIMESTAMP '2024-01-01 08:00:00' AS updated_at,
                '2024-01-' || lpad(CAST(c_custkey % 28 + 1 AS STRING), 2, '0') AS delivery_date
         FROM {customer}""",
     "requests": """
@@ -85,7 +91,7 @@ BINDINGS: dict[str, str] = {
                CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS request_status_id,
                CASE o_orderstatus WHEN 'P' THEN 'Pending' WHEN 'O' THEN 'Approved' ELSE 'Rejected' END AS status,
                CASE WHEN o_orderkey % 4 <> 0 THEN 'img' || CAST(o_orderkey AS STRING) END AS image,
-               o_orderkey % 17 = 0 AS delete_status
+               o_orderdate AS updated_at, o_orderkey % 17 = 0 AS delete_status
         FROM {orders}""",
     "approvals": """
         SELECT l_partkey * 10 + l_linenumber AS approval_id, l_orderkey AS request_id, l_suppkey AS approved_by,
@@ -107,6 +113,8 @@ BINDINGS: dict[str, str] = {
     "log_lines": "SELECT doc_id AS log_id, text FROM {documents}",
 }
 
+BINDINGS.update(CHANGES)
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -128,7 +136,9 @@ class Tables:
         for name in DRIVER_TABLES:
             if name not in frames and "{" + name + "}" in text:
                 frames[name] = self.raw(name)
-        return self.spark.sql(text, **frames)
+        rows = self.spark.sql(text, **frames)
+        zoned = [f.name for f in rows.schema if isinstance(f.dataType, T.TimestampType)]
+        return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else rows
 
     def table(self, name: str) -> DataFrame:
         return self.sql(BINDINGS[name])
