@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from storelytics.session import tune
 from storelytics.sources.bound import Tables
 
-FAMILIES = ["report_queries", "listing_queries", "change_queries"]
+FAMILIES = ["report_queries", "listing_queries", "change_queries", "preview_queries", "stream_queries"]
 
 
 def _family(attribute: str) -> dict:

@@ -302,7 +302,7 @@ ORACLE = {
     "m09_status_history": _over(
         "status_changes order_status",
         CHANGED,
-        "SELECT change_id, order_id, status, order_status_id, updated_by, at AS updated_at FROM valid",
+        "SELECT change_id, order_id, status, order_status_id, updated_by, \"at\" AS updated_at FROM valid",
     ),
     "m09_status_rejects": with_tables(
         "status_changes",
@@ -407,7 +407,7 @@ ORACLE = {
         'customer_email': customer_email, 'customer_name': '', 'product_name': product_name,
         'admin_remarks': admin_remarks, 'type': 'product_request', 'timestamp': {_ISO}}}) AS VARCHAR) AS data FROM (
         SELECT concat_ws('-', 'rejected', request_master_id, request_id) AS id, request_master_id, user_id, customer_email,
-            product_name, coalesce(admin_remarks, '') AS admin_remarks, at, 'rejected' AS word,
+            product_name, coalesce(admin_remarks, '') AS admin_remarks, "at", 'rejected' AS word,
             CASE WHEN product_name <> '' THEN product_name ELSE coalesce(admin_remarks, 'NA') END AS body
         FROM t_decision_rows WHERE status = 'Rejected'
         UNION ALL SELECT 'approved-' || request_master_id, request_master_id, max(user_id), max(customer_email), '', '',

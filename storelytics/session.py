@@ -15,6 +15,8 @@ CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even where the split costs another shuffle before the next aggregate.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Pages differ a lot in size; bound the Arrow batches sent to Python by bytes, not only by rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 

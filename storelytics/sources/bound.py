@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from storelytics.sources.changes import CHANGES
+from storelytics.sources.webpages import PAGES
 
 BINDINGS: dict[str, str] = {
     "users": """
@@ -114,6 +115,7 @@ BINDINGS: dict[str, str] = {
 }
 
 BINDINGS.update(CHANGES)
+BINDINGS.update(PAGES)
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
