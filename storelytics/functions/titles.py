@@ -9,6 +9,10 @@ BLANK = "[\\t\\n\\x0B\\f\\r \\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\
 NON_WORD = "[^A-Za-z0-9_]"
 
 
+def trim_sql(text: str) -> str:
+    return f"regexp_replace({text}, r'^{BLANK}+|{BLANK}+$', '')"
+
+
 def trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 

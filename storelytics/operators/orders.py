@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelytics.functions.nest import ARRAY_ROWS, as_json, attach, gather
-from storelytics.functions.predicates import equals, having_ids, page, within
+from storelytics.functions.predicates import equals, having_ids, settled_page, within
 
 ADDRESS = ["address_line", "city", "state", "zip_code", "country"]
 CHARGES = ["subtotal", "service_charge", "delivery_charge", "total"]
@@ -33,7 +33,8 @@ def order_images(items, products, requests, array_rows=ARRAY_ROWS) -> DataFrame:
         )
         .withColumn("image", F.when(F.col("is_custom_product"), F.col("request_image")).otherwise(F.col("product_image")))
     )
-    return gather(shown, "order_id", ["order_item_id", "image"], F.col("image"), "order_images", array_rows)
+    size = items.select("order_id")
+    return gather(shown, "order_id", ["order_item_id", "image"], F.col("image"), "order_images", array_rows, size)
 
 
 def _headers(orders: DataFrame, order_status: DataFrame) -> DataFrame:
@@ -58,8 +59,8 @@ def order_listing(
     orders on it.
     """
     shown = equals(_headers(within(orders, "created_at", start, end), order_status), "order_status", status)
-    cut = page(shown, [F.desc("created_at"), F.asc("order_id")], limit, offset)
-    full = cut.join(users.select("user_id", F.col("name").alias("user_name")), "user_id", "left").join(
+    paged = settled_page(shown, [F.desc("created_at"), F.asc("order_id")], limit, offset)
+    full = paged.join(users.select("user_id", F.col("name").alias("user_name")), "user_id", "left").join(
         addresses.select("address_id", *ADDRESS), "address_id", "left"
     )
     return (

@@ -1,4 +1,4 @@
-"""Picking title, description, image, icon and author of a page from its listed elements."""
+"""Picking title, description, image, icon and author of a page from its column ``elements``."""
 
 from __future__ import annotations
 
@@ -7,27 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from storelytics.functions.titles import clean_title, title_part, trim
-from storelytics.functions.urls import absolute_link, domain, normal_url, resolve_url
+from storelytics.functions.titles import clean_title, title_part, trim, trim_sql
+from storelytics.functions.urls import absolute_link, domain, resolve_url
 from storelytics.operators.preview import rules
-from storelytics.operators.preview.select import attr, filled, first, only_if
+from storelytics.operators.preview.select import attr, attr_sql, filled, first, first_sql, pick
 
 LINKED_DATA = "`@type` string, name string, `@graph` array<struct<`@type`:string, name:string>>"
 
 
-def meta(elements: Column, name: str) -> Column:
+def meta(name: str) -> Column:
     """Meta content by plain name, then Open Graph, then Twitter name."""
     forms = [f'meta[name="{name}"]', f'meta[property="og:{name}"]', f'meta[name="twitter:{name}"]']
-    return F.coalesce(*[attr(first(elements, form), "content") for form in forms])
+    return F.coalesce(*[attr(form, "content") for form in forms])
 
 
-def linked_name(elements: Column) -> Column:
+def linked_name() -> Column:
     """Product name from linked data: a Product at the root, else the first product of a graph.
 
     A script that is not valid JSON, or names no product, is passed over.
     """
     scripts = F.filter(
-        elements, lambda e: (e["tag"] == "script") & (F.element_at(e["attrs"], "type") == "application/ld+json")
+        "elements", lambda e: (e["tag"] == "script") & (F.element_at(e["attrs"], "type") == "application/ld+json")
     )
 
     def name(script):
@@ -39,104 +39,125 @@ def linked_name(elements: Column) -> Column:
     return F.get(F.filter(F.transform(scripts, name), lambda n: n.isNotNull()), F.lit(0))
 
 
-def _text(element: Column) -> Column:
-    """Trimmed text longer than three characters."""
-    return only_if(trim(element["text"]), lambda t: F.length(t) > 3)
-
-
-def _content(elements: Column, selectors: list[str]) -> Column:
+def _content(selectors: list[str]) -> Column:
     """Content, value or text of the first selector that yields any."""
-    found = [first(elements, s) for s in selectors]
-    return trim(F.coalesce(*[F.coalesce(attr(e, "content"), attr(e, "value"), filled(e["text"])) for e in found]))
+    values = [attr_sql("content"), attr_sql("value"), "e.text"]
+    return filled(trim(F.coalesce(*[pick(s, values) for s in selectors])))
 
 
-def page_title(elements: Column) -> Column:
-    return filled(trim(F.regexp_replace(first(elements, "title")["text"], "[\\t\\n\\f\\r ]+", " ")))
+def page_title() -> Column:
+    return filled(trim(F.regexp_replace(first("title")["text"], "[\\t\\n\\f\\r ]+", " ")))
 
 
-def title(elements: Column) -> Column:
+def title() -> Column:
     """Product title: linked data, metas, product elements, any headline, page title, generic elements."""
-    metas = [filled(trim(attr(first(elements, s), "content"))) for s in rules.TITLE_METAS]
-    shown = F.coalesce(*[_text(first(elements, s)) for s in rules.TITLE_ELEMENTS])
-    headline = F.get(F.filter(elements, lambda e: (e["tag"] == "h1") & (F.length(trim(e["text"])) > 3)), F.lit(0))
+    metas = [pick(s, [trim_sql(attr_sql("content"))]) for s in rules.TITLE_METAS]
+    long = "length(t) > 3"
+    shown = F.coalesce(*[pick(s, [trim_sql("e.text")], long) for s in rules.TITLE_ELEMENTS])
+    headlines = F.expr(f"transform(filter(elements, e -> e.tag = 'h1'), e -> {trim_sql('e.text')})")
+    headline = F.get(F.filter(headlines, lambda t: F.length(t) > 3), F.lit(0))
     # An element whose text cleans to nothing still ends the search for better product titles.
-    cleaned = F.coalesce(clean_title(shown), trim(headline["text"]), title_part(page_title(elements)))
-    product = filled(cleaned)
-    generic = filled(_content(elements, rules.GENERIC_TITLES))
-    return F.coalesce(linked_name(elements), *metas, product, generic, page_title(elements))
+    product = filled(F.coalesce(clean_title(shown), headline, title_part(page_title())))
+    return F.coalesce(linked_name(), *metas, product, _content(rules.GENERIC_TITLES), page_title())
 
 
-def description(elements: Column) -> Column:
+def description() -> Column:
     """Description by rule, then by meta name, then the first paragraph."""
-    return F.coalesce(filled(_content(elements, rules.DESCRIPTIONS)), meta(elements, "description"), first(elements, "p")["text"])
+    return F.coalesce(_content(rules.DESCRIPTIONS), meta("description"), first("p")["text"])
 
 
-def _source(element: Column, page_url: Column) -> Column:
-    """Address of an image element; the plain source counts only on real images and as resolved."""
-    best = F.coalesce(*[attr(element, a) for a in rules.IMAGE_ATTRIBUTES])
-    return F.coalesce(best, F.when(element["tag"] == "img", resolve_url(page_url, attr(element, "src"))))
+def _side(name: str, node: str) -> str:
+    return f"try_cast(regexp_extract({attr_sql(name, node)}, r'^ *([0-9]+)', 1) AS BIGINT)"
 
 
-def chosen_image(elements: Column, page_url: Column) -> Column:
-    """The first rule's image that is neither logo nor icon."""
-    found = F.array(*[first(elements, s) for s in rules.IMAGES])
-    links = F.transform(found, lambda e: _source(e, page_url))
-    return F.get(F.filter(links, lambda s: F.coalesce(~s.contains("logo") & ~s.contains("icon"), F.lit(False))), F.lit(0))
+def _area(node: str) -> str:
+    return f"{_side('width', node)} * {_side('height', node)}"
 
 
-def largest_image(elements: Column, page_url: Column) -> Column:
-    """The largest image above 200 by 200 that is no logo; of equal ones the first."""
+def _by_rule() -> str:
+    """The elements the image rules find, best rule first."""
+    found = ", ".join(first_sql(s) for s in rules.IMAGES)
+    return f"transform(filter(array({found}), e -> e IS NOT NULL), e -> struct(e AS element, true AS by_rule))"
+
 
-    def side(e, name):
-        return F.element_at(e["attrs"], name).try_cast("int")
+def _by_size() -> str:
+    """Images above 200 by 200, largest first and of equal ones the first on the page.
 
-    big = F.filter(
-        elements, lambda e: (e["tag"] == "img") & (side(e, "width") > 200) & (side(e, "height") > 200)
+    Sizes are the ones the page states; there is no layout to measure.
+    """
+    big = f"filter(elements, e -> e.tag = 'img' AND {_side('width', 'e')} > 200 AND {_side('height', 'e')} > 200)"
+    order = f"coalesce(nullif(sign(({_area('b')}) - ({_area('a')})), 0D), sign(a.pos - b.pos))"
+    largest_first = f"array_sort({big}, (a, b) -> CAST({order} AS INT))"
+    return f"transform({largest_first}, e -> struct(e AS element, false AS by_rule))"
+
+
+def _usable(candidates: str, page_url: Column) -> Column:
+    """The first candidate that is no logo and, if a rule found it, no icon either.
+
+    A plain source counts only on real images, and as resolved against the page.
+    """
+    named = ", ".join(attr_sql(a, "c.element") for a in rules.IMAGE_ATTRIBUTES)
+    stated = f"get(filter(array({named}), t -> t <> ''), 0)"
+    own = f"CASE WHEN c.element.tag = 'img' THEN get(filter(array({attr_sql('src', 'c.element')}), t -> t <> ''), 0) END"
+    listed = F.expr(
+        f"transform({candidates}, c -> struct(IF(c.by_rule, {stated}, NULL) AS stated, {own} AS own, c.by_rule AS by_rule))"
     )
-    sized = F.transform(
-        big,
-        lambda e: F.struct(
-            (side(e, "width").cast("long") * side(e, "height")).alias("area"), (-e["pos"]).alias("place"),
-            resolve_url(page_url, F.element_at(e["attrs"], "src")).alias("src"),
-        ),
+    links = F.transform(
+        listed, lambda c: F.struct(F.coalesce(c["stated"], resolve_url(page_url, c["own"])).alias("link"), c["by_rule"].alias("by_rule"))
     )
-    return F.array_max(F.filter(sized, lambda s: ~F.coalesce(s["src"], F.lit("")).contains("logo")))["src"]
+    fine = F.filter(
+        links, lambda c: F.coalesce(~c["link"].contains("logo") & ~(c["by_rule"] & c["link"].contains("icon")), F.lit(False))
+    )
+    return F.get(fine, F.lit(0))["link"]
+
 
+def chosen_image(page_url: Column) -> Column:
+    """The first rule's image that is neither logo nor icon."""
+    return _usable(_by_rule(), page_url)
 
-def image(elements: Column, page_url: Column) -> Column:
-    return F.coalesce(chosen_image(elements, page_url), largest_image(elements, page_url))
+
+def largest_image(page_url: Column) -> Column:
+    """The largest image above 200 by 200 that is no logo; of equal ones the first."""
+    return _usable(_by_size(), page_url)
 
 
-def favicon(elements: Column) -> Column:
-    return F.coalesce(*[attr(first(elements, s), "href") for s in rules.FAVICONS])
+def image(page_url: Column) -> Column:
+    return _usable(f"concat({_by_rule()}, {_by_size()})", page_url)
 
 
-def author(elements: Column) -> Column:
-    return meta(elements, "author")
+def favicon() -> Column:
+    return F.coalesce(*[attr(s, "href") for s in rules.FAVICONS])
 
 
-PREVIEW = ["product_link", "product_name", "description", "image_link", "favicon", "domain", "author"]
+def author() -> Column:
+    return meta("author")
 
 
 def preview_columns(scanned: DataFrame) -> DataFrame:
-    """Seven preview fields for scanned pages; a page without a title keeps its row with blank fields."""
-    listed, link = F.col("elements"), F.col("product_link")
-    found = scanned.withColumn("product_link", normal_url(F.col("url"))).select(
-        "page_id", "product_link", title(listed).alias("product_name"), description(listed).alias("description"),
-        F.coalesce(image(listed, link), meta(listed, "image"), attr(first(listed, "img"), "src")).alias("image_link"),
-        favicon(listed).alias("favicon"), domain(link).alias("domain"), author(listed).alias("author"),
+    """Seven preview fields for scanned pages, whose ``url`` is in normal form already.
+
+    A page without a title keeps its row with blank fields.
+    """
+    found = scanned.select(
+        "page_id", F.col("url").alias("product_link"), title().alias("product_name"), description().alias("description"),
+        F.coalesce(image(F.col("url")), meta("image"), attr("img", "src")).alias("image_link"),
+        favicon().alias("favicon"), author().alias("author"),
     )
+    links = F.transform(F.array("image_link", "favicon"), lambda link: absolute_link(F.col("product_link"), link))
     usable = F.col("product_name").isNotNull()
 
-    def shown(column):
-        return F.when(usable, column).otherwise("")
+    def shown(column, name):
+        return F.when(usable, column).otherwise("").alias(name)
 
     return found.select(
-        "page_id", "product_link", shown(F.col("product_name")).alias("product_name"),
-        shown(F.col("description")).alias("description"),
-        shown(absolute_link(link, F.col("image_link"))).alias("image_link"),
-        shown(absolute_link(link, F.col("favicon"))).alias("favicon"),
-        shown(F.col("domain")).alias("domain"), shown(F.col("author")).alias("author"),
+        "page_id", "product_link", shown(F.col("product_name"), "product_name"),
+        shown(F.col("description"), "description"), links.alias("_links"), usable.alias("_usable"),
+        shown(domain(F.col("product_link")), "domain"), shown(F.col("author"), "author"),
+    ).select(
+        "page_id", "product_link", "product_name", "description",
+        F.when(F.col("_usable"), F.col("_links")[0]).otherwise("").alias("image_link"),
+        F.when(F.col("_usable"), F.col("_links")[1]).otherwise("").alias("favicon"),
+        "domain", "author",
     )
 
 
@@ -146,18 +167,21 @@ def site_preview(scanned: DataFrame, site: str, site_rules: dict | None = None)
     Missing texts get the default wording; a page with nothing to show gives no record.
     """
     chosen = site_rules or rules.SITE
-    listed, link = F.col("elements"), F.col("url")
 
     def element(kind):
-        return F.coalesce(*[first(listed, s) for s in chosen[kind]])
+        return F.coalesce(*[first(s) for s in chosen[kind]])
 
-    picture = element("image")
+    found = scanned.filter(F.lower("url").contains(site)).select(
+        "page_id", "url", element("title")["text"].alias("title"), element("description")["text"].alias("description"),
+        element("image")["attrs"].alias("picture"),
+    )
     source = F.coalesce(
-        resolve_url(link, attr(picture, "src")), attr(picture, "data-src"), F.get(F.split(attr(picture, "srcset"), ","), F.lit(0))
+        resolve_url(F.col("url"), filled(F.col("picture")["src"])), filled(F.col("picture")["data-src"]),
+        F.get(F.split(filled(F.col("picture")["srcset"]), ","), F.lit(0)),
     )
-    found = scanned.filter(F.lower("url").contains(site)).select(
-        "page_id", filled(trim(element("title")["text"])).alias("title"),
-        filled(trim(element("description")["text"])).alias("description"), source.alias("image"),
+    fields = found.select(
+        "page_id", filled(trim(F.col("title"))).alias("title"), filled(trim(F.col("description"))).alias("description"),
+        source.alias("image"),
     )
     something = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in ("title", "description", "image")])
-    return found.filter(something).na.fill(rules.SITE_DEFAULTS)
+    return fields.filter(something).na.fill(rules.SITE_DEFAULTS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ def valid_urls(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link_preview(pages: DataFrame) -> DataFrame:
     """Preview records for (page_id, url, html): valid addresses only, one row per page."""
     good, _ = valid_urls(pages.select("page_id", "url", "html"))
-    return preview_columns(elements(good))
+    return preview_columns(elements(good.select("page_id", F.col("product_link").alias("url"), "html")))
 
 
 def api_preview(answers: DataFrame) -> DataFrame:
@@ -84,7 +84,7 @@ def api_preview(answers: DataFrame) -> DataFrame:
 
 
 def _has(text: Column, words: list[str]) -> Column:
-    return text.rlike("|".join(re.escape(w) for w in words))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
 def classify_resources(resources: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ and come back as one array column per page. Every page is read whole.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from storelytics.operators.preview.rules import TEXT_WORDS
@@ -136,6 +138,17 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), lists], ["page_id", "url", "elements"])
 
 
+# Executors need not have this package installed: the scan travels to them with the job.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def _spread(pages: DataFrame) -> DataFrame:
+    """Pages in at least as many partitions as there are cores. A table of many files is left as it is."""
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, "page_id")
+
+
 def elements(pages: DataFrame) -> DataFrame:
     """(page_id, url, elements) for ``pages`` (page_id, url, html)."""
-    return pages.select("page_id", "url", "html").mapInArrow(_scan_batches, f"page_id long, url string, elements {ELEMENTS}")
+    needed = _spread(pages.select("page_id", "url", "html"))
+    return needed.mapInArrow(_scan_batches, f"page_id long, url string, elements {ELEMENTS}")

@@ -19,7 +19,7 @@ def _scanned(t):
 
 def _pick(name, column):
     def build(t):
-        return _scanned(t).select("page_id", column(F.col("elements")).alias(name))
+        return _scanned(t).select("page_id", column().alias(name))
 
     return build
 
@@ -29,9 +29,8 @@ def _count(tag):
 
 
 def _metas(t):
-    listed = F.col("elements")
     return _scanned(t).select(
-        "page_id", *[C.meta(listed, n).alias(f"meta_{n}") for n in ("title", "description", "author")]
+        "page_id", *[C.meta(n).alias(f"meta_{n}") for n in ("title", "description", "author")]
     )
 
 
@@ -48,9 +47,9 @@ QUERIES = {
     "p07_clean_title": lambda t: t.page_titles.select("page_id", clean_title(F.col("title")).alias("title")),
     "p08_title_part": lambda t: t.page_titles.select("page_id", title_part(F.col("title")).alias("title")),
     "p09_description": _pick("description", C.description),
-    "p10_image": lambda t: _scanned(t).select("page_id", C.chosen_image(F.col("elements"), F.col("url")).alias("image")),
+    "p10_image": lambda t: _scanned(t).select("page_id", C.chosen_image(F.col("url")).alias("image")),
     "p11_largest_image": lambda t: _scanned(t).select(
-        "page_id", C.largest_image(F.col("elements"), F.col("url")).alias("image")
+        "page_id", C.largest_image(F.col("url")).alias("image")
     ),
     "p12_favicon": _pick("favicon", C.favicon),
     "p13_author": _pick("author", C.author),

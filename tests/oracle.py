@@ -8,12 +8,12 @@ from collections import Counter
 
 import duckdb
 
-from storelytics.sources.bound import DRIVER_TABLES
+from storelytics.sources.bound import DRIVER_SCHEMAS
 
 
 def connect(folder: str):
     con = duckdb.connect()
-    for name in DRIVER_TABLES:
+    for name in DRIVER_SCHEMAS:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
 
