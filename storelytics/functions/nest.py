@@ -1,7 +1,7 @@
 """Child rows gathered into ordered arrays without ever building an unbounded one.
 
 A parent normally gets one array. Where the children of one key weigh more than ``array_rows``, that key
-alone is spread over several rows numbered by ``part``, so a key that owns a third of the table costs many
+alone is spread over several rows of about that size numbered by ``part``, so a key that owns a third of the table costs many
 small tasks and not a single huge one. No child is dropped: the parts of a key together hold all of them.
 """
 
@@ -54,23 +54,25 @@ def gather(
 
     def plain(part):
         return part.groupBy(key).agg(
-            F.lit(0).cast("long").alias("part"), values(F.array_sort(F.collect_list(entry))).alias(name)
+            F.lit(0).cast("long").alias("part"), values(F.sort_array(F.collect_list(entry))).alias(name)
         )
 
     if heavy is None:
         return plain(rows)
-    # Equal rows are counted first, then dealt out in slices, so copies spread over the parts as well.
+    # Equal rows are counted first, then dealt out in slices, so copies spread over the parts as well. Dealing is by
+    # hash, so parts differ a little in size; slices well below the limit keep that small.
+    slice_rows = max(1, array_rows // 16)
     counted = (
         rows.join(heavy, key)
         .groupBy(key, "_parts", entry.alias("_entry"))
         .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(array_rows))))
-        .withColumn("_copies", F.least(F.col("_n") - F.col("_slice"), F.lit(array_rows)).cast("int"))
+        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(slice_rows))))
+        .withColumn("_copies", F.least(F.col("_n") - F.col("_slice"), F.lit(slice_rows)).cast("int"))
         .withColumn("part", F.pmod(F.xxhash64(F.to_json("_entry"), "_slice"), F.col("_parts")))
     )
     parts = (
         counted.groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("_entry", "_copies"))).alias("_list"))
+        .agg(F.sort_array(F.collect_list(F.struct("_entry", "_copies"))).alias("_list"))
         .select(
             key,
             "part",
@@ -85,8 +87,12 @@ def values(entries: Column) -> Column:
 
 
 def attach(parents: DataFrame, arrays: DataFrame, key: str, name: str, empty: bool = True) -> DataFrame:
-    """Left join of gathered arrays; a parent without children gets ``[]``, or NULL when ``empty`` is False."""
-    joined = parents.join(arrays, key, "left").withColumn("part", F.coalesce("part", F.lit(0)).cast("int"))
+    """Left join of gathered arrays; a parent without children gets ``[]``, or NULL when ``empty`` is False.
+
+    The arrays are partitioned by key already, so a merge join moves only the parents. It is asked for because
+    the planner takes arrays for much smaller than they are and would broadcast them.
+    """
+    joined = parents.join(arrays.hint("merge"), key, "left").withColumn("part", F.coalesce("part", F.lit(0)).cast("int"))
     if empty:
         joined = joined.withColumn(name, F.coalesce(name, F.array().cast(arrays.schema[name].dataType)))
     return joined

@@ -183,7 +183,7 @@ def recent_orders(orders, items, ids=None, n=10) -> DataFrame:
 def envelope(rows: DataFrame, total: DataFrame, name: str, order: list[str], message: str) -> DataFrame:
     """A page and its total as one JSON record. ``rows`` is a page, so its size is the page limit."""
     entry = F.struct(*[F.col(c) for c in order], F.struct(*rows.columns).alias("_value"))
-    listed = rows.agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_value"]).alias(name))
+    listed = rows.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_value"]).alias(name))
     data = F.struct(F.col(name), F.col(total.columns[0]).alias("total"))
     record = F.struct(F.lit(True).alias("success"), F.lit(message).alias("message"), data.alias("data"))
     return listed.crossJoin(total).select(as_json(record).alias("response"))

@@ -38,7 +38,7 @@ def refresh_due(requests: DataFrame, ttl_hours: int = TTL_HOURS, since: DataFram
 
 
 def _folded(asked: DataFrame, ttl_hours: int) -> DataFrame:
-    times = asked.groupBy("url").agg(F.array_sort(F.collect_set("at")).alias("times"))
+    times = asked.groupBy("url").agg(F.sort_array(F.collect_set("at")).alias("times"))
     wait = _wait(ttl_hours)
     kept = F.aggregate(
         "times",

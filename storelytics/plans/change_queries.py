@@ -14,6 +14,7 @@ from storelytics.operators.orders import with_subtotal
 from storelytics.operators.quality import violations
 from storelytics.plans.report_queries import with_tables
 from storelytics.schemas import request_status
+from storelytics.session import cut
 from storelytics.sources.documents import order_batch, request_batch
 
 NOW = datetime(2024, 2, 1, 12, 0)
@@ -31,8 +32,10 @@ def _items(t):
     )
 
 
-def _passed(t):
-    return I.gate_items(_intake(t)["items"], t.requests, t.gate_approvals)
+def _passed(t, new=None):
+    """Gated items. They are read by several jobs, so they are written out first, as an intake would."""
+    items = cut((new or _intake(t))["items"])
+    return I.gate_items(items, t.requests, t.gate_approvals)
 
 
 def _completed(t):
@@ -41,7 +44,7 @@ def _completed(t):
 
 def _schedule(t):
     new = _intake(t)
-    passed, _ = I.gate_items(new["items"], t.requests, t.gate_approvals)
+    passed, _ = _passed(t, new)
     return I.schedule_from_request(new["orders"], passed, t.requests, t.request_masters).select(
         "order_id", "status", "order_status_id", "total", "created_at", "scheduled_time"
     )
