@@ -29,15 +29,12 @@ def dense_ids(rows: DataFrame, name: str, order: list, start=0) -> DataFrame:
     sizes = sorted_rows.groupBy("_part").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    if isinstance(start, DataFrame):
-        offsets = offsets.crossJoin(start.select(F.coalesce(F.col(start.columns[0]), F.lit(0)).alias("_start")))
-    else:
-        offsets = offsets.withColumn("_start", F.lit(start))
-    number = F.col("_start") + F.col("_offset") + F.col("_row") + 1
+    first = F.coalesce(start.scalar(), F.lit(0)) if isinstance(start, DataFrame) else F.lit(start)
+    number = first + F.col("_offset") + F.col("_row") + 1
     return (
         sorted_rows.join(F.broadcast(offsets), "_part")
         .withColumn(name, number.cast(T.LongType()))
-        .drop("_part", "_row", "_offset", "_start")
+        .drop("_part", "_row", "_offset")
     )
 
 

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from storelytics.functions.ids import dense_ids, highest
 from storelytics.functions.latest import last_per_key
 from storelytics.operators.upserts import overlay
-from storelytics.schemas import APPROVAL_OPTIONS_JSON, REQUEST_STATUS
+from storelytics.schemas import APPROVAL_OPTIONS_JSON, ORDER_STATUS, REQUEST_STATUS
 
 # What each action makes of a request.
 OUTCOME = {"approve": "Approved", "reject": "Rejected"}
 STATUS_ID = {name: key for key, name in REQUEST_STATUS.items()}
+ORDER_STATUS_ID = {name: key for key, name in ORDER_STATUS.items()}
+CANCELED = "Canceled"
 
 
 def apply_decisions(requests, approvals, decisions) -> dict[str, DataFrame]:
@@ -97,6 +99,16 @@ def update_status(orders, changes, order_status) -> dict[str, DataFrame]:
     """
     names = order_status.select(F.lower("status_name").alias("_name"), F.col("order_status_id"))
     resolved = changes.withColumn("_name", F.lower("status")).join(names, "_name", "left").drop("_name")
+    return _apply_status(orders, resolved)
+
+
+def cancel_orders(orders, cancels) -> dict[str, DataFrame]:
+    """Cancel orders: a status change to Canceled per row of ``cancels`` (change_id, order_id, updated_by, at)."""
+    code = {"status": F.lit(CANCELED), "order_status_id": F.lit(ORDER_STATUS_ID[CANCELED])}
+    return _apply_status(orders, cancels.withColumns(code))
+
+
+def _apply_status(orders: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
     valid = resolved.filter(F.col("order_status_id").isNotNull())
     fields = ["order_id", "at", "change_id", "status", "order_status_id"]
     last = last_per_key(valid.select(*fields), ["order_id"], ["at", "change_id"])
@@ -114,8 +126,3 @@ def update_status(orders, changes, order_status) -> dict[str, DataFrame]:
             "change_id", "order_id", "status", F.lit("Invalid status provided").alias("reason")
         ),
     }
-
-
-def cancel_orders(orders, cancels, order_status) -> dict[str, DataFrame]:
-    """Cancel orders: a status change to Canceled per row of ``cancels`` (change_id, order_id, updated_by, at)."""
-    return update_status(orders, cancels.withColumn("status", F.lit("Canceled")), order_status)

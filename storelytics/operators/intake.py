@@ -118,12 +118,12 @@ def ingest_requests(batch: DataFrame, request_status: DataFrame, now) -> tuple[D
 
     ``batch``: request_master_id, part, user_id, address_id, delivery_date, requests.
     """
-    pending = request_status.filter(F.col("status_name") == "Pending").select("request_status_id")
+    pending = request_status.filter(F.col("status_name") == "Pending").select("request_status_id").scalar()
     state = [
         F.lit("Pending").alias("status"), "request_status_id", F.lit(False).alias("delete_status"),
         moment(now).alias("created_at"), moment(now).alias("updated_at"),
     ]
-    coded = batch.crossJoin(F.broadcast(pending))  # the one row of the code table
+    coded = batch.withColumn("request_status_id", pending)
     masters = coded.filter(F.col("part") == 0).select("request_master_id", "user_id", "address_id", "delivery_date", *state)
     parsed = coded.select("*", F.posexplode(F.from_json("requests", REQUEST_ITEMS_JSON)).alias("pos", "item"))
     requests = parsed.select("request_master_id", "part", "pos", "item.*", *state)

@@ -22,17 +22,17 @@ def with_subtotal(items: DataFrame) -> DataFrame:
 
 
 def order_images(items, products, requests, array_rows=ARRAY_ROWS) -> DataFrame:
-    """(order_id, part, order_images): one image per item, deleted items included and missing images kept."""
-    shown = (
-        items.select("order_id", "order_item_id", "is_custom_product", "product_id", "product_request_id")
-        .join(products.select("product_id", F.col("image").alias("product_image")), "product_id", "left")
-        .join(
-            requests.select(F.col("request_id").alias("product_request_id"), F.col("image").alias("request_image")),
-            "product_request_id",
-            "left",
-        )
-        .withColumn("image", F.when(F.col("is_custom_product"), F.col("request_image")).otherwise(F.col("product_image")))
-    )
+    """(order_id, part, order_images): one image per item, deleted items included and missing images kept.
+
+    An item needs one lookup only, by its kind, so the kinds take separate joins: each item is moved once, and
+    the empty reference of the other kind is no join key that half the table would share.
+    """
+    place = ["order_id", "order_item_id", "image"]
+    custom = F.coalesce("is_custom_product", F.lit(False))
+    stocked = items.filter(~custom).join(products.select("product_id", "image"), "product_id", "left")
+    images = requests.select(F.col("request_id").alias("product_request_id"), "image")
+    made = items.filter(custom).join(images, "product_request_id", "left")
+    shown = stocked.select(*place).unionByName(made.select(*place))
     size = items.select("order_id")
     return gather(shown, "order_id", ["order_item_id", "image"], F.col("image"), "order_images", array_rows, size)
 
@@ -105,51 +105,43 @@ def _money_text(column: str) -> Column:
 def order_item_details(items, products, requests, masters, approvals, ids=None) -> DataFrame:
     """Undeleted items, each with a JSON object whose shape depends on the kind of item.
 
-    The kind is part of the join conditions: an item's other reference must not pull in a row.
+    Custom items look up their request, its master and the chosen approval; the others their product. An
+    item's other reference never pulls in a row.
     """
-    rows = with_subtotal(having_ids(items, "order_id", ids).filter(~F.col("delete_status"))).alias("i")
-    custom = F.col("i.is_custom_product")
-    asked = requests.alias("q")
-    owner = masters.select("request_master_id", F.col("user_id").alias("owner_id"), F.col("status").alias("owner_status"))
+    rows = with_subtotal(having_ids(items, "order_id", ids).filter(~F.col("delete_status")))
+    rows = rows.withColumn("_custom", F.coalesce("is_custom_product", F.lit(False)))
+    owner = masters.select("request_master_id", F.col("user_id").alias("_owner"), F.col("status").alias("_owner_status"))
     option = approvals.select("approval_id", "approved_by", "approved_size", "approved_color", "approved_price")
-    joined = (
-        rows.join(asked, (F.col("i.product_request_id") == F.col("q.request_id")) & custom, "left")
-        .join(owner.alias("m"), F.col("q.request_master_id") == F.col("m.request_master_id"), "left")
-        .join(option.alias("a"), F.col("i.approval_id") == F.col("a.approval_id"), "left")
-        .join(products.alias("p"), (F.col("i.product_id") == F.col("p.product_id")) & ~custom, "left")
+    asked = requests.select(
+        "request_id", "request_master_id", "product_name", "description", "requested_size", "requested_color", "image"
     )
-    made = F.struct(
-        F.col("q.request_id").alias("request_id"),
-        F.col("m.owner_id").alias("user_id"),
-        F.col("q.product_name").alias("product_name"),
-        F.col("q.description").alias("description"),
-        F.col("q.requested_size").alias("requested_size"),
-        F.col("q.requested_color").alias("requested_color"),
-        F.col("m.owner_status").alias("status"),
-        F.col("q.image").alias("image"),
-        F.col("a.approval_id").alias("approval_id"),
-        F.col("a.approved_by").alias("approved_by"),
-        F.col("a.approved_size").alias("approved_size"),
-        F.col("a.approved_color").alias("approved_color"),
-        _money_text("a.approved_price").alias("approved_price"),
+    made = (
+        rows.filter("_custom")
+        .join(asked.withColumn("product_request_id", F.col("request_id")), "product_request_id", "left")
+        .join(owner, "request_master_id", "left")
+        .join(option.withColumn("_option", F.col("approval_id")), "approval_id", "left")
     )
-    stocked = F.struct(
-        F.col("p.product_id").alias("product_id"),
-        F.col("p.name").alias("name"),
-        F.col("p.category").alias("category"),
-        _money_text("p.price").alias("price"),
+    made_detail = F.struct(
+        "request_id", F.col("_owner").alias("user_id"), "product_name", "description", "requested_size",
+        "requested_color", F.col("_owner_status").alias("status"), "image", F.col("_option").alias("approval_id"),
+        "approved_by", "approved_size", "approved_color", _money_text("approved_price").alias("approved_price"),
     )
-    return joined.select(
-        F.col("i.order_id").alias("order_id"),
-        F.col("i.order_item_id").alias("order_item_id"),
-        F.col("i.product_id").alias("product_id"),
-        custom.cast("int").alias("is_custom_product"),
-        F.col("i.product_request_id").alias("product_request_id"),
-        F.col("i.quantity").alias("quantity"),
-        F.col("i.price").alias("price"),
-        F.col("i.subtotal").alias("item_subtotal"),
-        F.when(custom, as_json(made)).otherwise(as_json(stocked)).alias("product_details"),
+    goods = products.select(
+        F.col("product_id").alias("_product"), "name", "category", _money_text("price").alias("_price")
     )
+    # A kind that is not stated is no stocked product either: its lookup key is empty.
+    wanted = F.when(~F.col("is_custom_product"), F.col("product_id"))
+    stocked = rows.filter("NOT _custom").withColumn("_wanted", wanted).join(goods, F.col("_wanted") == F.col("_product"), "left")
+    stocked_detail = F.struct(F.col("_product").alias("product_id"), "name", "category", F.col("_price").alias("price"))
+
+    def shown(kind, detail):
+        return kind.select(
+            "order_id", "order_item_id", "product_id", F.col("is_custom_product").cast("int").alias("is_custom_product"),
+            "product_request_id", "quantity", "price", F.col("subtotal").alias("item_subtotal"),
+            as_json(detail).alias("product_details"),
+        )
+
+    return shown(made, made_detail).unionByName(shown(stocked, stocked_detail))
 
 
 def order_history(history, orders, users, ids=None) -> DataFrame:
@@ -184,6 +176,6 @@ def envelope(rows: DataFrame, total: DataFrame, name: str, order: list[str], mes
     """A page and its total as one JSON record. ``rows`` is a page, so its size is the page limit."""
     entry = F.struct(*[F.col(c) for c in order], F.struct(*rows.columns).alias("_value"))
     listed = rows.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_value"]).alias(name))
-    data = F.struct(F.col(name), F.col(total.columns[0]).alias("total"))
+    data = F.struct(F.col(name), total.scalar().alias("total"))
     record = F.struct(F.lit(True).alias("success"), F.lit(message).alias("message"), data.alias("data"))
-    return listed.crossJoin(total).select(as_json(record).alias("response"))
+    return listed.select(as_json(record).alias("response"))

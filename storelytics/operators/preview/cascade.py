@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from storelytics.functions.titles import clean_title, title_part, trim, trim_sql
 from storelytics.functions.urls import absolute_link, domain, resolve_url
 from storelytics.operators.preview import rules
+from storelytics.operators.preview.scan import elements
 from storelytics.operators.preview.select import attr, attr_sql, filled, first, first_sql, pick
 
 LINKED_DATA = "`@type` string, name string, `@graph` array<struct<`@type`:string, name:string>>"
@@ -161,8 +162,8 @@ def preview_columns(scanned: DataFrame) -> DataFrame:
     )
 
 
-def site_preview(scanned: DataFrame, site: str, site_rules: dict | None = None) -> DataFrame:
-    """Previews by one retailer's own rules, for pages whose address names the site.
+def site_preview(pages: DataFrame, site: str, site_rules: dict | None = None) -> DataFrame:
+    """Previews by one retailer's own rules, for pages (page_id, url, html) whose address names the site.
 
     Missing texts get the default wording; a page with nothing to show gives no record.
     """
@@ -171,7 +172,7 @@ def site_preview(scanned: DataFrame, site: str, site_rules: dict | None = None)
     def element(kind):
         return F.coalesce(*[first(s) for s in chosen[kind]])
 
-    found = scanned.filter(F.lower("url").contains(site)).select(
+    found = elements(pages.filter(F.lower("url").contains(site))).select(
         "page_id", "url", element("title")["text"].alias("title"), element("description")["text"].alias("description"),
         element("image")["attrs"].alias("picture"),
     )

@@ -54,7 +54,9 @@ def _sliced(asked: DataFrame, ttl_hours: int) -> DataFrame:
     source, target = scratch_path(spark, "requests"), scratch_path(spark, "kept")
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at"))
     sliced = asked.withColumn("slice", F.floor(seconds / (ttl_hours * 3600)))
-    sliced.groupBy("slice", "url", "at").count().drop("count").write.partitionBy("slice").parquet(source)
+    once = sliced.groupBy("slice", "url", "at").agg(F.count("*").alias("n")).drop("n")
+    # In range order a task holds few slices and a busy slice spans several tasks: few files, none of them huge.
+    once.repartitionByRange("slice", "url", "at").write.partitionBy("slice").parquet(source)
     rows = spark.read.parquet(source)
     before = None
     for number in sorted(r["slice"] for r in rows.select("slice").distinct().collect()):

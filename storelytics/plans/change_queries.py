@@ -62,7 +62,7 @@ ORDER_STATE = ["order_id", "status", "order_status_id", "updated_at", "delete_st
 
 
 def _cancel(t):
-    return D.cancel_orders(t.orders, t.cancels, t.order_status)["orders"].select(*ORDER_STATE)
+    return D.cancel_orders(t.orders, t.cancels)["orders"].select(*ORDER_STATE)
 
 
 def _social(t):

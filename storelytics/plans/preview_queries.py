@@ -55,7 +55,7 @@ QUERIES = {
     "p13_author": _pick("author", C.author),
     "p14_resolve_url": lambda t: t.page_links.select("page_id", resolve_url(F.col("url"), F.col("link")).alias("target")),
     "p15_link_preview": lambda t: J.link_preview(t.pages_plus),
-    "p16_site_preview": lambda t: C.site_preview(elements(t.site_pages), "example"),
+    "p16_site_preview": lambda t: C.site_preview(t.site_pages, "example"),
     "p17_url_product_id": lambda t: t.product_links.select("product_id", second_last_step(F.col("url")).alias("url_id")),
     "p18_api_preview": lambda t: J.api_preview(t.api_answers),
     "p19_resource_class": lambda t: J.classify_resources(t.resources),

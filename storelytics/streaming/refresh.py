@@ -27,12 +27,10 @@ def refresh_due_stream(
         refresh_due(rows, ttl_hours, state).write.mode("overwrite").parquet(kept_path)
         kept = session.read.parquet(kept_path).select("url", (F.col("at") + wait).alias("next_at"))
         known = kept if state is None else kept.unionByName(state)
-        newest = known.agg((F.max("next_at") - wait).alias("_newest"))
+        newest = known.agg((F.max("next_at") - wait).alias("newest"))
         (
             known.groupBy("url").agg(F.max("next_at").alias("next_at"))
-            .crossJoin(F.broadcast(newest))  # one row
-            .filter(F.col("next_at") + wait > F.col("_newest"))
-            .drop("_newest")
+            .filter(F.col("next_at") + wait > newest.scalar())
             .write.mode("overwrite").parquet(f"{target}/state/batch={number}")
         )
 

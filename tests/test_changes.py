@@ -131,7 +131,7 @@ def test_status_changes(frame, spark):
     assert [(r.change_id, r.reason) for r in out["rejects"].collect()] == [(3, "Invalid status provided")]
     again = D.update_status(out["orders"], changes, order_status(spark))["orders"]
     assert sorted(again.collect()) == sorted(out["orders"].collect())
-    canceled = D.cancel_orders(orders, changes.drop("status"), order_status(spark))
+    canceled = D.cancel_orders(orders, changes.drop("status"))
     assert {r.order_id: r.order_status_id for r in canceled["orders"].collect()} == {1: 5, 2: 1, 3: 1}
     assert canceled["history"].count() == 6
 

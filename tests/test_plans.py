@@ -21,7 +21,7 @@ def test_pages_are_top_k(spark, name):
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith("s0")))
 def test_no_cross_product_and_no_python(spark, name):
     text = plan(spark, name)
-    assert "CartesianProduct" not in text
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
     assert ("MapInArrow" in text) == (name[:3] in PAGE_SCANS)
     assert "Python" not in text.replace("PythonMapInArrow", "") and "BatchEvalPython" not in text
 
