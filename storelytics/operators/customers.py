@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelytics.functions.predicates import equals, having_ids, page, search
+from storelytics.operators.orders import recent_orders
 from storelytics.schemas import MONEY_SUM
 
 SEARCHED = ["name", "email", "phone"]
@@ -91,3 +92,12 @@ def product_listing(products, category=None, text=None, limit=10, offset=0) -> D
 
 def product_count(products, category=None, text=None) -> DataFrame:
     return _listed(products, category, text).agg(F.count("*").alias("total"))
+
+
+def customer_details(users, orders, items, addresses, ids=None, n=10) -> dict[str, DataFrame]:
+    """Profile totals, the ``n`` latest orders and all addresses of the given customers."""
+    return {
+        "customers": customer_stats(users, orders, ids),
+        "orders": recent_orders(orders, items, ids, n),
+        "addresses": addresses_of(addresses, ids, active_only=False),
+    }

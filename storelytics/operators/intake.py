@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelytics.functions.ids import dense_ids
 from storelytics.functions.nest import ARRAY_ROWS, attach, gather, joined_text
 from storelytics.functions.predicates import moment
 from storelytics.operators.orders import with_subtotal
 from storelytics.operators.upserts import overlay
 from storelytics.schemas import ORDER_ITEMS_JSON, REQUEST_ITEMS_JSON
+from storelytics.session import cut
 
 PLACE = ["order_id", "part", "pos"]
 
@@ -128,3 +130,27 @@ def ingest_requests(batch: DataFrame, request_status: DataFrame, now) -> tuple[D
     parsed = coded.select("*", F.posexplode(F.from_json("requests", REQUEST_ITEMS_JSON)).alias("pos", "item"))
     requests = parsed.select("request_master_id", "part", "pos", "item.*", *state)
     return masters, requests
+
+
+def number_items(items, start=0, name="order_item_id", key="order_id") -> DataFrame:
+    """Give new items their ids: by order, and within one from the last item to the first."""
+    return dense_ids(items, name, [F.asc(key), F.desc("part"), F.desc("pos")], start)
+
+
+def create_orders(batch, requests, masters, approvals, now, array_rows=ARRAY_ROWS) -> dict[str, DataFrame]:
+    """A batch of orders from intake to audit: new rows of every table touched, and what was blocked.
+
+    The parsed items feed five results, so they are written out once.
+    """
+    new = ingest_orders(batch, now)
+    passed, blocked = gate_items(cut(new["items"]), requests, approvals, array_rows)
+    done_requests, done_masters = complete_requests(requests, masters, passed, now)
+    return {
+        "orders": schedule_from_request(new["orders"], passed, requests, masters),
+        "items": passed,
+        "history": new["history"],
+        "blocked": blocked,
+        "requests": done_requests,
+        "masters": done_masters,
+        "datalog": order_audit(new["orders"], passed, requests, now, array_rows),
+    }

@@ -156,3 +156,33 @@ def order_total(orders, order_status, status=None, start=None, end=None) -> Data
     rows = within(orders, "created_at", start, end).filter(~F.col("delete_status"))
     named = rows.join(order_status, "order_status_id", "left")
     return equals(named, "status_name", status).agg(_money("total").alias("total_amount"))
+
+
+def order_report(orders, start, end, status=None, whole_end_day=False) -> dict[str, DataFrame]:
+    args = (orders, start, end, status, whole_end_day)
+    return {"summary": order_summary(*args), "orders": order_daily_by_status(*args)}
+
+
+def revenue_report(orders, start, end, period="daily", whole_end_day=False) -> dict[str, DataFrame]:
+    return {
+        "summary": revenue_summary(orders, start, end, whole_end_day),
+        "revenue_data": revenue_by(orders, start, end, period, whole_end_day),
+    }
+
+
+def product_report(products, items, orders, start, end, whole_end_day=False) -> dict[str, DataFrame]:
+    window = (start, end)
+    return {
+        "best_selling": best_selling(products, items, orders, *window, whole_end_day=whole_end_day),
+        "low_stock": low_stock(products),
+        "category_performance": category_performance(products, items, orders, *window, whole_end_day),
+    }
+
+
+def customer_report(users, orders, start, end, whole_end_day=False) -> dict[str, DataFrame]:
+    window = (start, end)
+    return {
+        "top_customers": top_customers(users, orders, *window, whole_end_day=whole_end_day),
+        "new_customers": new_customers_daily(users, *window, whole_end_day),
+        "customer_retention": customer_retention(users, orders, *window, whole_end_day),
+    }

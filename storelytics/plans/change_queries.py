@@ -32,22 +32,18 @@ def _items(t):
     )
 
 
-def _passed(t, new=None):
+def _passed(t):
     """Gated items. They are read by several jobs, so they are written out first, as an intake would."""
-    items = cut((new or _intake(t))["items"])
-    return I.gate_items(items, t.requests, t.gate_approvals)
+    return I.gate_items(cut(_intake(t)["items"]), t.requests, t.gate_approvals)
 
 
-def _completed(t):
-    return I.complete_requests(t.requests, t.request_masters, _passed(t)[0], NOW)
+def _created(t):
+    return I.create_orders(order_batch(t.orders, t.new_items), t.requests, t.request_masters, t.gate_approvals, NOW)
 
 
-def _schedule(t):
-    new = _intake(t)
-    passed, _ = _passed(t, new)
-    return I.schedule_from_request(new["orders"], passed, t.requests, t.request_masters).select(
-        "order_id", "status", "order_status_id", "total", "created_at", "scheduled_time"
-    )
+def _numbered(t):
+    items = _intake(t)["items"]
+    return I.number_items(items, highest(t.orders, "order_id")).select("order_item_id", "order_id", "pos", "quantity")
 
 
 def _decide(t):
@@ -87,15 +83,18 @@ USER_STATE = ["user_id", "name", "email", "role", "size_preferences", "created_a
 
 QUERIES = {
     "m01_ingest_items": _items,
+    "m01_numbered_items": _numbered,
     "m02_blocked_products": lambda t: _passed(t)[1],
     "m02_passed_items": lambda t: _passed(t)[0].select(
         "order_id", "pos", F.col("is_custom_product").cast("int").alias("is_custom_product"), "product_id",
         "product_request_id", "quantity", "price",
     ),
-    "m03_completed_requests": lambda t: _completed(t)[0],
-    "m03_completed_masters": lambda t: _completed(t)[1],
-    "m04_order_audit": lambda t: I.order_audit(t.orders, _passed(t)[0], t.requests, NOW),
-    "m05_order_schedule": _schedule,
+    "m03_completed_requests": lambda t: _created(t)["requests"],
+    "m03_completed_masters": lambda t: _created(t)["masters"],
+    "m04_order_audit": lambda t: _created(t)["datalog"],
+    "m05_order_schedule": lambda t: _created(t)["orders"].select(
+        "order_id", "status", "order_status_id", "total", "created_at", "scheduled_time"
+    ),
     "m06_ingest_requests": lambda t: I.ingest_requests(
         request_batch(t.request_masters, t.requests), request_status(t.spark), NOW
     )[1],
@@ -125,6 +124,9 @@ QUERIES = {
     "m14_profile_conflicts": lambda t: A.update_profiles(t.users, t.profile_changes)[1],
     "m15_patch_column": lambda t: U.patch(t.users, t.size_changes, "user_id", ["size_preferences"], ["change_id"]),
     "m16_reschedule": lambda t: U.reschedule(t.orders, t.delivery_changes).select(*ORDER_STATE, "scheduled_time"),
+    "m16_reschedule_by_admin": lambda t: U.reschedule(t.orders, t.delivery_changes, owner_checked=False).select(
+        *ORDER_STATE, "scheduled_time"
+    ),
     "m17_upsert": lambda t: U.upsert(
         t.tokens, t.token_changes, ["user_id"], ["token"], ["change_id"], {"is_used": F.lit(False)}
     ),
@@ -204,6 +206,12 @@ ORACLE = {
         CASE WHEN is_custom_product = 1 THEN product_request_id END AS product_request_id, approval_id, quantity, price,
         CAST(quantity * price AS DECIMAL(20,2)) AS subtotal FROM items""",
     ),
+    "m01_numbered_items": _over(
+        "new_items orders",
+        POSITIONED,
+        """SELECT (SELECT max(order_id) FROM t_orders) + row_number() OVER (ORDER BY order_id, pos DESC) AS order_item_id,
+        order_id, pos, quantity FROM items""",
+    ),
     "m02_blocked_products": _over(
         "new_items requests gate_approvals",
         POSITIONED,
@@ -380,6 +388,11 @@ ORACLE = {
         coalesce(d.delivery_time, o.scheduled_time) AS scheduled_time FROM t_orders o
         LEFT JOIN t_delivery_changes d ON o.order_id = d.order_id AND o.user_id = d.user_id""",
     ),
+    "m16_reschedule_by_admin": with_tables(
+        "orders delivery_changes",
+        """SELECT o.order_id, o.status, o.order_status_id, d."at" AS updated_at, o.delete_status,
+        d.delivery_time AS scheduled_time FROM t_orders o JOIN t_delivery_changes d ON o.order_id = d.order_id""",
+    ),
     "m17_upsert": with_tables(
         "tokens token_changes",
         """SELECT coalesce(t.user_id, c.user_id) AS user_id, coalesce(c.token, t.token) AS token,

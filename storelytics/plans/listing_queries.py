@@ -72,6 +72,7 @@ QUERIES = {
     "l15_user_lookup": lambda t: C.lookup_users(t.users, t.sql(USER_PROBES)),
     "l16_social_lookup": lambda t: C.lookup_social(t.users, t.social_users, t.sql(SOCIAL_PROBES)),
     "l17_user_public": lambda t: C.user_public(t.users),
+    "l17_user_profile": lambda t: C.user_profile(t.users),
     "l18_product_listing": lambda t: C.product_listing(t.products, "PROMO", "brand#1", limit=50, offset=10),
     "l18_product_count": lambda t: C.product_count(t.products, "PROMO", "brand#1"),
     "l19_user_orders_by_status": lambda t: _user_orders(t, statuses=["Pending", "Delivered"]),
@@ -243,6 +244,7 @@ ORACLE = {
         JOIN t_users u ON s.user_id = u.user_id""",
     ),
     "l17_user_public": with_tables("users", f"SELECT {_PUBLIC} FROM t_users u"),
+    "l17_user_profile": with_tables("users", "SELECT * FROM t_users"),
     "l18_product_listing": with_tables(
         "products", f"SELECT * FROM t_products WHERE {_LISTED} ORDER BY product_id LIMIT 50 OFFSET 10"
     ),
