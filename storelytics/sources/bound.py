@@ -141,6 +141,7 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._bound: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.schema(DRIVER_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
@@ -155,7 +156,9 @@ class Tables:
         return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in zoned}) if zoned else rows
 
     def table(self, name: str) -> DataFrame:
-        return self.sql(BINDINGS[name])
+        if name not in self._bound:
+            self._bound[name] = self.sql(BINDINGS[name])
+        return self._bound[name]
 
     @cached_property
     def order_status(self) -> DataFrame:
@@ -164,6 +167,7 @@ class Tables:
         return order_status(self.spark)
 
     def __getattr__(self, name: str) -> DataFrame:
+        """A bound table by its name."""
         if name in BINDINGS:
             return self.table(name)
         raise AttributeError(name)
