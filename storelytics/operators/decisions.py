@@ -17,38 +17,41 @@ ORDER_STATUS_ID = {name: key for key, name in ORDER_STATUS.items()}
 CANCELED = "Canceled"
 
 
-def apply_decisions(requests, approvals, decisions) -> dict[str, DataFrame]:
-    """Approve or reject requests; approval replaces all options of the request.
-
-    ``decisions``: decision_id, request_id, admin_id, action, options (JSON), at. Decisions without options, for
-    unknown requests or with another action go to ``rejects`` with a reason. The last decision of a batch sets
-    the status, the last approval sets the options.
-    """
+def judge_decisions(requests, decisions) -> DataFrame:
+    """Decisions with their parsed options and, where one cannot be carried out, the reason."""
     known = requests.select("request_id", F.lit(True).alias("_known"))
-    checked = (
+    no_options = F.coalesce(F.size("_options"), F.lit(0)) < 1
+    no_action = ~F.coalesce(F.col("action").isin(*OUTCOME), F.lit(False))
+    return (
         decisions.withColumn("_options", F.from_json("options", APPROVAL_OPTIONS_JSON))
         .join(known, "request_id", "left")
         .withColumn(
             "reason",
-            F.when(F.coalesce(F.size("_options"), F.lit(0)) < 1, "Approval options are required for approval")
+            F.when(no_options, "Approval options are required for approval")
             .when(F.col("_known").isNull(), "Request ID not found.")
-            .when(~F.col("action").isin(*OUTCOME) | F.col("action").isNull(), 'Invalid action. Please specify "approve" or "reject".'),
+            .when(no_action, 'Invalid action. Please specify "approve" or "reject".'),
         )
     )
-    valid = checked.filter(F.col("reason").isNull())
-    order = ["decision_id"]
-    last = last_per_key(valid.select("request_id", "decision_id", "action", "at"), ["request_id"], order)
+
+
+def decided_requests(requests, judged) -> DataFrame:
+    """Requests with the status their last valid decision gives them."""
+    valid = judged.filter(F.col("reason").isNull()).select("request_id", "decision_id", "action", "at")
+    last = last_per_key(valid, ["request_id"], ["decision_id"])
     approved = F.col("patch.action") == "approve"
-    new_requests = overlay(
-        requests, last, ["request_id"],
-        {
-            "status": F.when(approved, OUTCOME["approve"]).otherwise(OUTCOME["reject"]),
-            "request_status_id": F.when(approved, STATUS_ID["Approved"]).otherwise(STATUS_ID["Rejected"]),
-            "updated_at": F.col("patch.at"),
-        },
-    )
-    granted = valid.filter(F.col("action") == "approve")
-    chosen = last_per_key(granted.select("request_id", "decision_id", "admin_id", "at", "_options"), ["request_id"], order)
+    new = {
+        "status": F.when(approved, OUTCOME["approve"]).otherwise(OUTCOME["reject"]),
+        "request_status_id": F.when(approved, STATUS_ID["Approved"]).otherwise(STATUS_ID["Rejected"]),
+        "updated_at": F.col("patch.at"),
+    }
+    return overlay(requests, last, ["request_id"], new)
+
+
+def replaced_approvals(approvals, judged) -> DataFrame:
+    """Approvals where the options of the last valid approval take the place of a request's earlier ones."""
+    granted = judged.filter(F.col("reason").isNull() & (F.col("action") == "approve"))
+    fields = ["request_id", "decision_id", "admin_id", "at", "_options"]
+    chosen = last_per_key(granted.select(*fields), ["request_id"], ["decision_id"])
     options = chosen.select("request_id", "decision_id", "admin_id", "at", F.posexplode("_options").alias("pos", "option"))
     fresh = options.select(
         "decision_id", (-F.col("pos")).alias("_pos"), "request_id", F.col("admin_id").alias("approved_by"),
@@ -57,13 +60,28 @@ def apply_decisions(requests, approvals, decisions) -> dict[str, DataFrame]:
     )
     numbered = dense_ids(fresh, "approval_id", ["decision_id", "_pos"], highest(approvals, "approval_id"))
     kept = approvals.join(chosen.select("request_id"), "request_id", "left_anti")
+    return kept.unionByName(numbered.drop("decision_id", "_pos"), allowMissingColumns=True)
+
+
+def apply_decisions(requests, approvals, decisions) -> dict[str, DataFrame]:
+    """Approve or reject requests; approval replaces all options of the request.
+
+    ``decisions``: decision_id, request_id, admin_id, action, options (JSON), at. Decisions without options, for
+    unknown requests or with another action go to ``rejects`` with a reason. The last decision of a batch sets
+    the status, the last approval sets the options.
+    """
+    judged = judge_decisions(requests, decisions)
     return {
-        "requests": new_requests,
-        "approvals": kept.unionByName(numbered.drop("decision_id", "_pos"), allowMissingColumns=True),
-        "rejects": checked.filter(F.col("reason").isNotNull()).select("decision_id", "request_id", "action", "reason"),
+        "requests": decided_requests(requests, judged),
+        "approvals": replaced_approvals(approvals, judged),
+        "rejects": rejected_decisions(judged),
     }
 
 
+def rejected_decisions(judged) -> DataFrame:
+    return judged.filter(F.col("reason").isNotNull()).select("decision_id", "request_id", "action", "reason")
+
+
 def decision_rollup(decisions: DataFrame) -> DataFrame:
     """Totals per request master over rows (request_master_id, request_id, status).
 

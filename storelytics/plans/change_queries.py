@@ -46,8 +46,8 @@ def _numbered(t):
     return I.number_items(items, highest(t.orders, "order_id")).select("order_item_id", "order_id", "pos", "quantity")
 
 
-def _decide(t):
-    return D.apply_decisions(t.requests, t.approvals, t.decisions)
+def _judged(t):
+    return D.judge_decisions(t.requests, t.decisions)
 
 
 def _status(t):
@@ -101,11 +101,11 @@ QUERIES = {
     "m06_ingest_masters": lambda t: I.ingest_requests(
         request_batch(t.request_masters, t.requests), request_status(t.spark), NOW
     )[0],
-    "m07_apply_decisions": lambda t: _decide(t)["requests"],
-    "m07_decision_approvals": lambda t: _decide(t)["approvals"].select(
+    "m07_apply_decisions": lambda t: D.decided_requests(t.requests, _judged(t)),
+    "m07_decision_approvals": lambda t: D.replaced_approvals(t.approvals, _judged(t)).select(
         "approval_id", "request_id", "approved_by", "approved_size", "approved_color", "approved_price"
     ),
-    "m07_decision_rejects": lambda t: _decide(t)["rejects"],
+    "m07_decision_rejects": lambda t: D.rejected_decisions(_judged(t)),
     "m08_decision_rollup": lambda t: D.decision_rollup(t.decision_rows),
     "m09_update_status": lambda t: _status(t)["orders"].select(*ORDER_STATE),
     "m09_status_history": lambda t: _status(t)["history"],

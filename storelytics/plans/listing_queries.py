@@ -233,9 +233,10 @@ ORACLE = {
     "l14_all_addresses": with_tables("addresses", "SELECT * FROM t_addresses"),
     "l15_user_lookup": with_tables(
         "users",
-        f"""SELECT p.probe_id, u.user_id, u.email, u.phone, u.role FROM t_users u
-        JOIN ({USER_PROBES.format(orders='orders')}) p ON (p.login_type = 'email' AND u.email = lower(p.value))
-        OR (p.login_type = 'phone' AND u.phone = lower(p.value))""",
+        f"""SELECT p.probe_id, u.user_id, u.email, u.phone, u.role FROM ({USER_PROBES.format(orders='orders')}) p
+        JOIN t_users u ON p.login_type = 'email' AND u.email = lower(p.value)
+        UNION ALL SELECT p.probe_id, u.user_id, u.email, u.phone, u.role FROM ({USER_PROBES.format(orders='orders')}) p
+        JOIN t_users u ON p.login_type = 'phone' AND u.phone = lower(p.value)""",
     ),
     "l16_social_lookup": with_tables(
         "users social_users",

@@ -70,8 +70,8 @@ QUERIES = {
 def _plain(markup: str) -> str:
     """Markup without tags and with the entities of the test pages decoded."""
     text = f"regexp_replace({markup}, '<[^>]*>', '', 'g')"
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        text = f"replace({text}, '{entity}', '{char}')"
+    for entity, char in (("quot", '"'), ("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{entity};?', '{char}', 'g')"
     return text
 
 
