@@ -49,6 +49,7 @@ def gather(
     ``part`` is 0 for every key within the limit. ``weights`` (key, _weight) says how much the rows of a key
     weigh where that is cheaper to know than the rows themselves.
     """
+    rows = rows.filter(F.col(key).isNotNull())
     entry = F.struct(*[F.col(c) for c in order], value.alias("_value"))
     heavy = heavy_keys(rows if weights is None else weights, key, array_rows)
 
@@ -68,7 +69,7 @@ def gather(
         .agg(F.count("*").alias("_n"))
         .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(slice_rows))))
         .withColumn("_copies", F.least(F.col("_n") - F.col("_slice"), F.lit(slice_rows)).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64(F.to_json("_entry"), "_slice"), F.col("_parts")))
+        .withColumn("part", F.pmod(F.xxhash64("_entry", "_slice"), F.col("_parts")))
     )
     parts = (
         counted.groupBy(key, "part")

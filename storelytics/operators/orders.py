@@ -43,8 +43,9 @@ def _headers(orders: DataFrame, order_status: DataFrame) -> DataFrame:
     return orders.filter(~F.col("delete_status")).join(names, "order_status_id", "left")
 
 
-def _with_images(headers, items, products, requests, array_rows) -> DataFrame:
-    wanted = items.join(headers.select("order_id"), "order_id", "left_semi")
+def _with_images(headers, items, products, requests, array_rows, only: DataFrame | None = None) -> DataFrame:
+    """Headers with images; ``only`` (order_id) spares the lookups for items of other orders."""
+    wanted = items if only is None else items.join(only.select("order_id"), "order_id", "left_semi")
     images = order_images(wanted, products, requests, array_rows)
     return attach(headers, images, "order_id", "order_images").withColumn("order_images", as_json("order_images"))
 
@@ -64,7 +65,7 @@ def order_listing(
         addresses.select("address_id", *ADDRESS), "address_id", "left"
     )
     return (
-        _with_images(full, items, products, requests, array_rows)
+        _with_images(full, items, products, requests, array_rows, only=paged)
         .select(
             "order_id", "part", "user_id", "user_name", "address_id", *ADDRESS, *CHARGES,
             "status", "order_status", "scheduled_time", "created_at", "order_images",
@@ -81,11 +82,8 @@ def user_orders(
     if statuses is not None:
         shown = shown.filter(F.col("order_status").isin(list(statuses)))
     placed = shown.join(addresses.select("address_id", *ADDRESS), "address_id", "left")
-    if ids is None and statuses is None:
-        images = order_images(items, products, requests, array_rows)
-        placed = attach(placed, images, "order_id", "order_images").withColumn("order_images", as_json("order_images"))
-    else:
-        placed = _with_images(placed, items, products, requests, array_rows)
+    only = None if ids is None and statuses is None else shown
+    placed = _with_images(placed, items, products, requests, array_rows, only)
     return placed.select(
         "user_id", "order_id", "part", "address_id", *ADDRESS, *CHARGES,
         "scheduled_time", "status", "order_status", "created_at", "order_images",

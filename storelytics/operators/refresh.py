@@ -26,7 +26,7 @@ def refresh_due(requests: DataFrame, ttl_hours: int = TTL_HOURS, since: DataFram
 
     ``since`` (url, next_at) tells from when on a URL known from before may be fetched again.
     """
-    asked = requests.select("url", "at").filter(F.col("at").isNotNull())
+    asked = requests.select("url", "at").dropna()
     if since is not None:
         late = F.col("next_at").isNull() | (F.col("at") >= F.col("next_at"))
         asked = asked.join(since, "url", "left").filter(late).select("url", "at")
@@ -57,7 +57,7 @@ def _sliced(asked: DataFrame, ttl_hours: int) -> DataFrame:
     once = sliced.groupBy("slice", "url", "at").agg(F.count("*").alias("n")).drop("n")
     # In range order a task holds few slices and a busy slice spans several tasks: few files, none of them huge.
     once.repartitionByRange("slice", "url", "at").write.partitionBy("slice").parquet(source)
-    rows = spark.read.parquet(source)
+    rows = spark.read.schema("url string, at timestamp_ntz, slice long").parquet(source)
     before = None
     for number in sorted(r["slice"] for r in rows.select("slice").distinct().collect()):
         here = rows.filter(F.col("slice") == number)

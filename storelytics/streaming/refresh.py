@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelytics.operators.refresh import TTL_HOURS, refresh_due
-from storelytics.streaming.replay import run_batches
+from storelytics.streaming.replay import batch_path, batch_writer, prepare, run_batches, written
+
+KEPT = "url string, at timestamp_ntz"
+STATE = "url string, next_at timestamp_ntz"
 
 
 def refresh_due_stream(
@@ -19,20 +22,19 @@ def refresh_due_stream(
 ) -> DataFrame:
     """Kept requests (url, at) of the stream ``requests`` (url, at)."""
     wait = F.make_dt_interval(hours=F.lit(ttl_hours))
+    kept_table, state_table = f"{target}/kept", f"{target}/state"
+    prepare(spark, kept_table, KEPT)
+    prepare(spark, state_table, STATE)
 
     def step(rows: DataFrame, number: int) -> None:
         session = rows.sparkSession
-        state = session.read.parquet(f"{target}/state/batch={number - 1}") if number else None
-        kept_path = f"{target}/kept/batch={number}"
-        refresh_due(rows, ttl_hours, state).write.mode("overwrite").parquet(kept_path)
-        kept = session.read.parquet(kept_path).select("url", (F.col("at") + wait).alias("next_at"))
-        known = kept if state is None else kept.unionByName(state)
+        state = session.read.schema(STATE).parquet(batch_path(state_table, number - 1))
+        batch_writer(kept_table)(refresh_due(rows, ttl_hours, state), number)
+        kept = session.read.schema(KEPT).parquet(batch_path(kept_table, number))
+        known = kept.select("url", (F.col("at") + wait).alias("next_at")).unionByName(state)
         newest = known.agg((F.max("next_at") - wait).alias("newest"))
-        (
-            known.groupBy("url").agg(F.max("next_at").alias("next_at"))
-            .filter(F.col("next_at") + wait > newest.scalar())
-            .write.mode("overwrite").parquet(f"{target}/state/batch={number}")
-        )
+        latest = known.groupBy("url").agg(F.max("next_at").alias("next_at"))
+        batch_writer(state_table)(latest.filter(F.col("next_at") + wait > newest.scalar()), number)
 
     run_batches(requests, checkpoint, step)
-    return spark.read.parquet(f"{target}/kept").select("url", "at")
+    return written(spark, kept_table, KEPT).drop("batch")

@@ -16,6 +16,20 @@ def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def batch_path(table: str, number: int) -> str:
+    return f"{table}/batch={number}"
+
+
+def prepare(spark: SparkSession, table: str, schema: str) -> None:
+    """Give the table an empty batch -1, so it can be read before anything has arrived."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_path(table, -1))
+
+
+def written(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """All batches of the table, with the number of each in ``batch``."""
+    return spark.read.schema(f"{schema}, batch long").parquet(table)
+
+
 def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process everything available, batch by batch. ``write`` gets the rows and the batch number."""
     query = (
@@ -28,10 +42,10 @@ def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     query.awaitTermination()
 
 
-def batch_writer(target: str) -> Callable[[DataFrame, int], None]:
+def batch_writer(table: str) -> Callable[[DataFrame, int], None]:
     """Write each batch to its own folder, replacing what an earlier try of the same batch left there."""
 
     def write(rows: DataFrame, number: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        rows.write.mode("overwrite").parquet(batch_path(table, number))
 
     return write

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelytics.streaming.replay import batch_writer, run_batches
+from storelytics.streaming.replay import batch_writer, prepare, run_batches, written
 
 
 def current_status(history: DataFrame) -> DataFrame:
@@ -19,9 +19,14 @@ def current_status(history: DataFrame) -> DataFrame:
     return latest.select("order_id", F.col("_last.status").alias("status"), F.col("_last.updated_at").alias("updated_at"))
 
 
+STATUS = "order_id long, status string, updated_at timestamp_ntz"
+
+
 def current_status_stream(spark: SparkSession, history: DataFrame, target: str, checkpoint: str) -> DataFrame:
     """Replay a history stream; the table's newest row per order is its current status."""
+    prepare(spark, target, STATUS)
     run_batches(current_status(history), checkpoint, batch_writer(target), mode="update")
-    changes = spark.read.parquet(target)
-    newest = changes.groupBy("order_id").agg(F.max_by(F.struct("status", "updated_at"), "batch").alias("_last"))
+    newest = written(spark, target, STATUS).groupBy("order_id").agg(
+        F.max_by(F.struct("status", "updated_at"), "batch").alias("_last")
+    )
     return newest.select("order_id", "_last.*")

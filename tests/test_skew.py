@@ -85,7 +85,7 @@ def greedy(rows, hours):
 
 @pytest.mark.parametrize("hours", [24, 5])
 def test_refresh_in_slices_equals_fold_and_brute_force(tables, hours):
-    asked = tables.url_requests.filter("url < 'https://example.com/3'")
+    asked = tables.url_requests.filter("at < '2024-01-06'")
     brute = greedy([tuple(r) for r in asked.collect()], hours)
     folded = {tuple(r) for r in refresh_due(asked, hours).collect()}
     sliced = {tuple(r) for r in refresh_due(asked, hours, array_rows=5).collect()}

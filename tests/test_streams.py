@@ -55,3 +55,25 @@ def test_writing_a_batch_again_replaces_it(spark, tmp_path):
     write(spark.range(5), 1)
     write(spark.range(5), 1)
     assert spark.read.parquet(str(tmp_path / "t")).count() == 8
+
+
+def test_empty_stream(tables, tmp_path):
+    (tmp_path / "none").mkdir()
+    spark = tables.spark
+    for binding, job in (("order_history", current_status_stream), ("url_requests", refresh_due_stream), ("status_changes", outbox_stream)):
+        stream = parquet_stream(spark, str(tmp_path / "none"), tables.raw("events").schema)
+        rows = job(spark, tables.sql(BINDINGS[binding], events=stream), str(tmp_path / binding), str(tmp_path / f"{binding}-progress"))
+        assert rows.count() == 0
+
+
+def test_refresh_goes_on_after_a_restart(tables, tmp_path):
+    """Files that arrive after the first run are judged by what that run kept."""
+    spark = tables.spark
+    events = tables.raw("events").toPandas().sort_values("ts")
+    (tmp_path / "in").mkdir()
+    for i, part in enumerate((events.iloc[:400], events.iloc[400:])):
+        part.to_parquet(tmp_path / "in" / f"part-{i}.parquet", coerce_timestamps="us")
+        stream = parquet_stream(spark, str(tmp_path / "in"), tables.raw("events").schema)
+        requests = tables.sql(BINDINGS["url_requests"], events=stream)
+        kept = refresh_due_stream(spark, requests, str(tmp_path / "table"), str(tmp_path / "progress"))
+    assert same(refresh_due(tables.url_requests), kept)
