@@ -77,17 +77,22 @@ def order_listing(
 def user_orders(
     orders, items, products, requests, addresses, order_status, ids=None, statuses=None, array_rows=ARRAY_ROWS
 ) -> DataFrame:
-    """Undeleted orders of the given users, or of all, with address and images; optionally only some statuses."""
+    """Undeleted orders of the given users, or of all, with address and images; optionally only some statuses.
+
+    Newest first for given users. The job over all users leaves the order to its reader: sorting the images of
+    every order would move them once more for nothing.
+    """
     shown = _headers(having_ids(orders, "user_id", ids), order_status)
     if statuses is not None:
         shown = shown.filter(F.col("order_status").isin(list(statuses)))
     placed = shown.join(addresses.select("address_id", *ADDRESS), "address_id", "left")
     only = None if ids is None and statuses is None else shown
     placed = _with_images(placed, items, products, requests, array_rows, only)
-    return placed.select(
+    rows = placed.select(
         "user_id", "order_id", "part", "address_id", *ADDRESS, *CHARGES,
         "scheduled_time", "status", "order_status", "created_at", "order_images",
     )
+    return rows if ids is None else rows.orderBy(F.desc("created_at"), "order_id", "part")
 
 
 def order_header(orders, order_status, ids=None) -> DataFrame:
@@ -167,7 +172,8 @@ def recent_orders(orders, items, ids=None, n=10) -> DataFrame:
         .drop("_rank")
     )
     counts = items.groupBy("order_id").agg(F.count("order_item_id").alias("item_count"))
-    return latest.join(counts, "order_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    rows = latest.join(counts, "order_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
+    return rows if ids is None else rows.orderBy("user_id", F.desc("created_at"), "order_id")
 
 
 def envelope(rows: DataFrame, total: DataFrame, name: str, order: list[str], message: str) -> DataFrame:
