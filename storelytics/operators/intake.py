@@ -63,8 +63,10 @@ def gate_items(items, requests, approvals, array_rows=ARRAY_ROWS) -> tuple[DataF
         .join(names, "product_request_id", "left")
         .select("order_id", _back("part"), _back("pos"), F.coalesce("product_name", F.col("product_request_id").cast("string")).alias("label"))
     )
-    blocked = gather(stopped, "order_id", ["_part", "_pos"], F.col("label"), "labels", array_rows)
-    return passed, blocked.select("order_id", F.col("part").cast("int").alias("part"), joined_text("labels").alias("blocked_products"))
+    size = custom.select("order_id")  # no order has more blocked items than custom ones
+    blocked = gather(stopped, "order_id", ["_part", "_pos"], F.col("label"), "labels", array_rows, size)
+    names_of = joined_text("labels").alias("blocked_products")
+    return passed, blocked.select("order_id", F.col("part").cast("int").alias("part"), names_of)
 
 
 def _back(column: str):
@@ -85,13 +87,14 @@ def complete_requests(requests, masters, passed, now) -> tuple[DataFrame, DataFr
 
 def order_audit(orders, passed, requests, now, array_rows=ARRAY_ROWS) -> DataFrame:
     """One log row per order: the request masters and requests it used, in order of processing."""
-    used = (
-        passed.filter(F.col("is_custom_product"))
-        .join(requests.select(F.col("request_id").alias("product_request_id"), "request_master_id"), "product_request_id", "left")
-        .select("order_id", _back("part"), _back("pos"), "product_request_id", "request_master_id")
+    custom = passed.filter(F.col("is_custom_product"))
+    masters = requests.select(F.col("request_id").alias("product_request_id"), "request_master_id")
+    used = custom.join(masters, "product_request_id", "left").select(
+        "order_id", _back("part"), _back("pos"), "product_request_id", "request_master_id"
     )
     pair = F.struct("request_master_id", "product_request_id")
-    log = attach(orders.select("order_id"), gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows), "order_id", "used")
+    pairs = gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows, custom.select("order_id"))
+    log = attach(orders.select("order_id"), pairs, "order_id", "used")
 
     def listed(field):
         return F.array_join(F.transform("used", lambda u: u[field].cast("string")), ",")
