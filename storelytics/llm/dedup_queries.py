@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelytics.llm import simhash
+from storelytics.llm import decontaminate, simhash
 from storelytics.llm.common import table
 
 
@@ -12,6 +12,42 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.linked_fingerprints(table(spark, folder, "documents"), words=3, radius=2)
 
 
-QUERIES = {"op1_simhash_near_dedup": op1_simhash_near_dedup}
-
-ORACLE: dict[str, str] = {}
+def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
+
+
+QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+}
+
+# Windows of 10 item words against every start of the same length, all words compared.
+OP6 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+b AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+windows AS (
+    SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+lengths AS (SELECT DISTINCT n FROM windows),
+starts AS (
+    SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+    FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)),
+found AS (SELECT s.r, s.i, s.n, x.item_id FROM starts s JOIN windows x ON s.win = x.win AND s.n = x.n),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM found) GROUP BY r),
+items AS (
+    SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS h
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op6_benchmark_decontamination": OP6}
