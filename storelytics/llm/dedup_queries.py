@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from storelytics.llm import decontaminate, simhash
+from storelytics.llm import decontaminate, simhash, substrings
 from storelytics.llm.common import table
 
 
@@ -16,9 +17,15 @@ def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
 
 
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substrings.remove(table(spark, folder, "documents"), length=35)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 # Windows of 10 item words against every start of the same length, all words compared.
@@ -50,4 +57,17 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_benchmark_decontamination": OP6}
+# Windows of 35 words compared as text; every word of one that starts twice goes.
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+twice AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g SEMI JOIN twice USING (g)),
+listed AS (SELECT r, count(*) AS n, list(p) AS ps FROM gone GROUP BY r),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
+ORACLE: dict[str, str] = {"op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10}
