@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelytics.llm import quality_rules
+from storelytics.llm import kneser_ney, quality_rules
 from storelytics.llm.common import table
 
 
@@ -12,7 +12,11 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-QUERIES = {"op8_quality_rules": op8_quality_rules}
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser_ney.scored(table(spark, folder, "documents"))
+
+
+QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op8_quality_rules": op8_quality_rules}
 
 
 def _ladder_sql() -> str:
