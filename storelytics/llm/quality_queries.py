@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelytics.llm import kneser_ney, quality_rules
+from storelytics.llm import kneser_ney, quality_rules, rule_ensemble
 from storelytics.llm.common import table
 
 
@@ -16,7 +16,11 @@ def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return kneser_ney.scored(table(spark, folder, "documents"))
 
 
-QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op8_quality_rules": op8_quality_rules}
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return rule_ensemble.scored(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3)
+
+
+QUERIES = {"op4_lm_scoring": op4_lm_scoring, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules}
 
 
 def _ladder_sql() -> str:
