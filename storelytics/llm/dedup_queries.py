@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelytics.llm import decontaminate, simhash, substrings
+from storelytics.llm import decontaminate, line_dedup, simhash, substrings
 from storelytics.llm.common import table
 
 
@@ -13,6 +13,11 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.linked_fingerprints(table(spark, folder, "documents"), words=3, radius=2)
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, folder, "documents"), run=3)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"), n=10)
 
@@ -24,10 +29,36 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
+# Runs of three lines with a word, compared as text; lines of all but the first in order of document and place go.
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT r, doc_id, x, p FROM (SELECT r, doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM d)),
+solid AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY p) - 1 AS b FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+runs AS (
+    SELECT r, doc_id, b, x || chr(10) || lead(x, 1) OVER o || chr(10) || lead(x, 2) OVER o AS run FROM solid WINDOW o AS (PARTITION BY r ORDER BY b)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, r, b) AS n FROM runs WHERE run IS NOT NULL),
+gone AS (SELECT DISTINCT r, unnest([b, b + 1, b + 2]) AS b FROM ranked WHERE n > 1),
+marked AS (
+    SELECT l.r, l.p, l.x, s.b, g.b IS NOT NULL AS goes FROM lines l LEFT JOIN solid s USING (r, p) LEFT JOIN gone g ON g.r = l.r AND g.b = s.b),
+-- a blank line goes if the lines with a word on both sides of it go
+near AS (
+    SELECT *, last_value(CASE WHEN b IS NOT NULL THEN goes END IGNORE NULLS) OVER (PARTITION BY r ORDER BY p) AS before,
+           first_value(CASE WHEN b IS NOT NULL THEN goes END IGNORE NULLS) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+    FROM marked),
+kept AS (
+    SELECT r, string_agg(x, chr(10) ORDER BY p) FILTER (WHERE NOT (coalesce(before, false) AND coalesce(after, false))) AS text,
+           count(b) AS n_lines, count(*) FILTER (WHERE goes) AS n_removed
+    FROM near GROUP BY r)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 # Windows of 10 item words against every start of the same length, all words compared.
 OP6 = r"""
 WITH d AS (
@@ -70,4 +101,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, s
 FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
 """
 
-ORACLE: dict[str, str] = {"op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10}
+ORACLE: dict[str, str] = {"op5_line_dedup": OP5, "op6_benchmark_decontamination": OP6, "op10_substring_dedup": OP10}
