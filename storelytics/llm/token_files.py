@@ -27,7 +27,7 @@ from pyspark.sql import Window
 from storelytics import session
 from storelytics.llm.common import cut, memo
 
-WORDS_KEPT = 200_000
+WORDS_KEPT = 500_000
 
 
 class _Encoded(dict):
