@@ -16,7 +16,7 @@ holds more than a bounded tree. Each tree returns a star per local component, no
 ``components``.
 
 Null and empty texts have no words and get the fingerprint zero, linked like any other. A null ``doc_id`` keeps its row and
-links but names no component. Repeated rows are equal nodes. Other columns are ignored.
+links but names no component unless all of it are null. Repeated rows are equal nodes. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,7 +97,10 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataFrame:
-    """(doc_id, fp, keys): fingerprints of 64 x ``lanes`` bits and, if asked for, the band keys."""
+    """(place, fp, keys): fingerprints of 64 x ``lanes`` bits and, if asked for, the band keys.
+
+    ``place`` orders the rows: by doc_id, null ones last, then by their place in ``docs``.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +109,14 @@ def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataF
                 hashes = _shingle_hashes(text.as_py(), words)
                 prints.append(_bits(hashes, lanes))
                 keys.append(_bands(hashes) if banded else None)
-            columns = [batch.column("doc_id"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "keys"])
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "keys"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, fp binary, keys array<bigint>")
+    placed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    found = placed.mapInArrow(scan, f"doc_id {kind}, row bigint, fp binary, keys array<bigint>")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
+    return found.select(place.alias("place"), "fp", "keys")
 
 
 def _block_keys(nodes: DataFrame, radius: int) -> DataFrame:
@@ -238,22 +244,35 @@ def links(shards: DataFrame, lanes: int, radius: int, shard_nodes: int = SHARD_N
 
 
 def _classes(prints: DataFrame, stars: DataFrame) -> DataFrame:
-    """(fp, component_id): the least doc_id in each fingerprint's component."""
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    """(place, fp, least): each row with the least place in its fingerprint's component."""
+    nodes = cut(prints.groupBy("fp").agg(F.min("place").alias("first")))
     found = components(cut(stars.distinct()))
     members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
     known = members.join(nodes.withColumnRenamed("fp", "node"), "node")
-    least = known.groupBy("root").agg(F.min("first").alias("linked"))
-    linked = cut(members.join(least, "root").select(F.col("node").alias("fp"), "linked"))
-    return cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("component_id")))
+    linked = known.groupBy("root").agg(F.min("first").alias("linked"))
+    linked = cut(members.join(linked, "root").select(F.col("node").alias("fp"), "linked"))
+    least = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("linked", "first").alias("least")))
+    return prints.select("place", "fp").join(least, "fp")
+
+
+def _components(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("place.id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), F.col("least.id").alias("component_id")
+    )
 
 
 def linked_fingerprints(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): exact components of 64-bit fingerprints at ``radius`` or fewer bits."""
     prints = cut(fingerprints(docs, words, 1, False).drop("keys"))
     shards = cut(_block_keys(prints.select("fp").distinct(), radius))
-    classes = _classes(prints, links(shards, 1, radius))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return _components(_classes(prints, links(shards, 1, radius)))
+
+
+def _near(docs: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    prints = cut(fingerprints(docs, words, lanes, True))
+    shards = cut(prints.select(F.explode("keys").alias("key"), "fp").distinct())
+    return _classes(prints, links(shards, lanes, math.ceil(64 * lanes * angle)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
@@ -261,17 +280,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, la
 
     Sets of Jaccard similarity s have a cosine of 2s / (1 + s), whose angle is the expected share of differing bits.
     """
-    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    prints = cut(fingerprints(docs, words, lanes, True))
-    shards = cut(prints.select(F.explode("keys").alias("key"), "fp").distinct())
-    classes = _classes(prints, links(shards, lanes, math.ceil(64 * lanes * angle)))
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    return _components(_near(docs, words, similarity, lanes))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The document of the least doc_id in each group, all columns kept. Rows of one doc_id stay or go together;
-    rows without a doc_id stay.
-    """
-    found = near_duplicates(docs, words, similarity)
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """The first row of each group, by doc_id and then by place, all columns kept. ``docs`` must be a table at rest."""
+    copies = _near(docs, words, similarity, lanes).filter("place <> least").select(F.col("place.row").alias("_row"))
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row", "left_anti").drop("_row")
