@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ def within(df: DataFrame, column: str, start=None, end=None, whole_end_day: bool
     if start is not None:
         df = df.filter(F.col(column) >= moment(start))
     if end is not None and whole_end_day:
-        df = df.filter(F.col(column) < moment(end + timedelta(days=1)))
+        df = df.filter(F.col(column) < moment(date(end.year, end.month, end.day) + timedelta(days=1)))
     elif end is not None:
         df = df.filter(F.col(column) <= moment(end))
     return df
@@ -46,14 +46,15 @@ def equals(df: DataFrame, column: str, value) -> DataFrame:
 def search(df: DataFrame, columns: list[str], text: str | None, ignore_accents: bool = False) -> DataFrame:
     """Rows where any column contains ``text``, ignoring case.
 
-    The plain form keeps ``%`` and ``_`` as wildcards; the accent-blind form takes them literally.
+    The plain form keeps ``%`` and ``_`` as wildcards and takes a backslash literally; the accent-blind form takes all literally.
     """
     if text is None:
         return df
     if ignore_accents:
         hits = [F.collate(F.col(c), "UNICODE_CI_AI").contains(F.collate(F.lit(text), "UNICODE_CI_AI")) for c in columns]
     else:
-        hits = [F.lower(c).like(f"%{text.lower()}%") for c in columns]
+        pattern = text.lower().replace("\\", "\\\\")
+        hits = [F.lower(c).like(f"%{pattern}%") for c in columns]
     return df.filter(reduce(lambda a, b: a | b, hits))
 
 

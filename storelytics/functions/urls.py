@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Scheme, authority, path, query and fragment of a web address; any number of slashes may follow the colon.
 WEB = r"^(?i:(https?)):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 ANY_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+# An authority: user, host without forbidden characters (or an address in brackets), port.
+AUTHORITY = r"^(?:.*@)?(?:\[[0-9A-Fa-f:.]+\]|(?:%[0-9A-Fa-f]{2}|[^\x00-\x20#/:<>?@\[\\\]^|%\x7F])+)(?::([0-9]*))?$"
 # Characters that a path, query or fragment may hold as they are; everything else is percent-encoded.
 PATH_SAFE = r"[!$-;=@-\[\]_a-z|~\\%]"
 QUERY_SAFE = r"[!$-&(-;=?-~%]"
@@ -77,11 +79,16 @@ def _joined(p: Column) -> Column:
     )
 
 
+def _valid(authority: Column) -> Column:
+    port = F.coalesce(F.nullif(F.regexp_extract(authority, AUTHORITY, 1), F.lit("")), F.lit("0"))
+    return authority.rlike(AUTHORITY) & F.coalesce(port.try_cast("int") <= 65535, F.lit(False))
+
+
 def normal_url(url: Column) -> Column:
     """The address in normal form, or NULL where it is not a valid absolute URL."""
 
     def normal(text):
-        web = once(_parts(text), lambda p: F.when(_host(p["authority"]) != "", _joined(p)))
+        web = once(_parts(text), lambda p: F.when(_valid(p["authority"]), _joined(p)))
         return F.when(text.rlike("^(?i:https?):"), web).when(text.rlike(ANY_SCHEME), text)
 
     return once(F.regexp_replace(F.trim(url), "[\t\r\n]", ""), normal)

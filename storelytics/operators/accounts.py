@@ -9,6 +9,7 @@ from storelytics.functions.ids import dense_ids, highest
 from storelytics.functions.latest import first_per_key, last_per_key
 from storelytics.functions.predicates import moment
 from storelytics.operators.upserts import overlay, upsert
+from storelytics.session import cut
 
 
 def _email(column="email"):
@@ -16,9 +17,10 @@ def _email(column="email"):
 
 
 def insert_users(users: DataFrame, new: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """Add users (signup_id, email and other columns); an e-mail already taken goes to the rejects.
+    """Add users (signup_id, email and other columns); an e-mail or social identity already taken goes to the rejects.
 
-    Within the batch the first sign-up takes an e-mail. Users without e-mail never collide.
+    Within the batch the first sign-up takes an e-mail, and the first of those that got theirs takes an identity. Users
+    without e-mail, or without social_id or social_type, never collide there.
     """
     taken = users.filter(F.col("email").isNotNull()).select(_email().alias("_email"), F.lit(True).alias("_taken"))
     first = (
@@ -29,10 +31,18 @@ def insert_users(users: DataFrame, new: DataFrame, now) -> tuple[DataFrame, Data
     )
     judged = new.withColumn("_email", _email()).join(first, "_email", "left")
     free = F.col("_email").isNull() | (F.col("_taken").isNull() & (F.col("signup_id") == F.col("_first")))
+    rejects = judged.filter(~free).select("signup_id", "email", F.lit("Email already exists").alias("reason"))
     accepted = judged.filter(free).drop("_email", "_first", "_taken")
+    identity = ["social_id", "social_type"]
+    if set(identity) <= set(users.columns) & set(new.columns):
+        held = users.dropna(subset=identity).select(*identity, F.lit(True).alias("_held")).distinct()
+        claims = accepted.dropna(subset=identity).groupBy(*identity).agg(F.min("signup_id").alias("_claim"))
+        accepted = accepted.join(claims.join(held, identity, "left"), identity, "left")
+        own = F.col("_claim").isNull() | (F.col("_held").isNull() & (F.col("signup_id") == F.col("_claim")))
+        doubled = accepted.filter(~own).select("signup_id", "email", F.lit("Social account already exists").alias("reason"))
+        rejects, accepted = rejects.unionByName(doubled), accepted.filter(own).drop("_claim", "_held")
     numbered = dense_ids(accepted, "user_id", ["signup_id"], highest(users, "user_id"))
     fresh = numbered.withColumn("created_at", moment(now)).withColumn("delete_status", F.lit(False))
-    rejects = judged.filter(~free).select("signup_id", "email", F.lit("Email already exists").alias("reason"))
     return users.unionByName(fresh.drop("signup_id"), allowMissingColumns=True), rejects
 
 
@@ -41,14 +51,18 @@ def resolve_social(users, links, signups, now) -> dict[str, DataFrame]:
 
     An existing link wins, then an existing e-mail, then a new customer. Sign-ups count as if handled one
     by one: the first of each unlinked identity decides for the later ones, and the first of each new e-mail
-    creates the user that later ones find.
+    creates the user that later ones find. Sign-ups without social_id or social_type go to ``rejects``.
     """
     identity = ["social_id", "social_type"]
+    nameless = F.col("social_id").isNull() | F.col("social_type").isNull()
+    rejects = signups.filter(nameless).select("signup_id", *identity, F.lit("Social identity is missing").alias("reason"))
+    signups = signups.filter(~nameless)
     live = links.join(users.select("user_id"), "user_id", "left_semi").select(*identity, F.col("user_id").alias("_linked"))
     probed = signups.join(live, identity, "left")
+    # What each new identity comes to feeds three results and is numbered on the way, so it is written once.
     deciders = first_per_key(probed.filter(F.col("_linked").isNull()).drop("_linked"), identity, ["signup_id"])
     by_email = users.filter(F.col("email").isNotNull()).groupBy(_email().alias("_email")).agg(F.min("user_id").alias("_owner"))
-    deciders = deciders.withColumn("_email", _email()).join(by_email, "_email", "left")
+    deciders = cut(deciders.withColumn("_email", _email()).join(by_email, "_email", "left"))
     # Sign-ups without e-mail share no key, so each stands for itself.
     stranger = F.coalesce(F.concat(F.lit("e:"), F.col("_email")), F.concat(F.lit("s:"), F.col("signup_id").cast("string")))
     strangers = deciders.filter(F.col("_owner").isNull()).withColumn("_key", stranger)
@@ -71,6 +85,7 @@ def resolve_social(users, links, signups, now) -> dict[str, DataFrame]:
     return {
         "resolved": resolved,
         "users": users.unionByName(new_users, allowMissingColumns=True),
+        "rejects": rejects,
         "links": upsert(links, resolved.select(*identity, "signup_id", "user_id"), identity, ["user_id"], ["signup_id"]),
     }
 
@@ -87,7 +102,8 @@ def update_profiles(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, Da
     """Update profiles unless the e-mail or phone belongs to another undeleted user; returns users and conflicts.
 
     ``changes``: change_id, user_id, name, last_name, email, phone, size_preferences, at. All changes are checked
-    against the table as it was before the batch.
+    against the table as it was before the batch. Within the batch the first change that the table allows takes an
+    e-mail, and the first of the changes left takes a phone number, for its user; other users' later changes conflict.
     """
     columns = ["name", "last_name", "email", "phone", "size_preferences"]
     judged = changes
@@ -100,6 +116,12 @@ def update_profiles(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, Da
 
     reason = F.when(elsewhere("email"), "Email already exists").when(elsewhere("phone"), "Phone number already exists")
     judged = judged.withColumn("reason", reason)
+    for column, text in (("email", "Email already exists"), ("phone", "Phone number already exists")):
+        wanted = judged.filter(F.col("reason").isNull() & F.col(f"_{column}").isNotNull())
+        owner = wanted.groupBy(f"_{column}").agg(F.min_by("user_id", "change_id").alias("_owner"))
+        judged = judged.join(owner, f"_{column}", "left")
+        late = F.col("reason").isNull() & (F.col("_owner") != F.col("user_id"))
+        judged = judged.withColumn("reason", F.when(late, text).otherwise(F.col("reason"))).drop("_owner")
     accepted = judged.filter(F.col("reason").isNull()).select("user_id", "change_id", "at", *columns)
     last = last_per_key(accepted, ["user_id"], ["change_id"])
     new = {**{c: F.col(f"patch.{c}") for c in columns}, "updated_at": F.col("patch.at")}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelytics.functions.ids import dense_ids, highest
@@ -82,16 +82,20 @@ def rejected_decisions(judged) -> DataFrame:
     return judged.filter(F.col("reason").isNotNull()).select("decision_id", "request_id", "action", "reason")
 
 
+def refused_row() -> Column:
+    """A decision row that makes its whole master invalid."""
+    return F.col("request_id").isNull() | ~F.coalesce(F.col("status").isin("Approved", "Rejected"), F.lit(False))
+
+
 def decision_rollup(decisions: DataFrame) -> DataFrame:
     """Totals per request master over rows (request_master_id, request_id, status).
 
     A master with a row that lacks its request or has another status than Approved or Rejected is refused whole.
     """
     status = F.col("status")
-    bad = F.col("request_id").isNull() | ~F.coalesce(status.isin("Approved", "Rejected"), F.lit(False))
     counted = decisions.groupBy("request_master_id").agg(
         F.count("*").alias("total_requests"),
-        F.count_if(bad).alias("_bad"),
+        F.count_if(refused_row()).alias("_bad"),
         F.count_if(status == "Approved").alias("_approved"),
         F.count_if(status == "Rejected").alias("_rejected"),
     )

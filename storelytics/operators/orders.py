@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelytics.functions.nest import ARRAY_ROWS, as_json, attach, gather
-from storelytics.functions.predicates import equals, having_ids, settled_page, within
+from storelytics.functions.predicates import equals, having_ids, page, settled_page, within
 
 ADDRESS = ["address_line", "city", "state", "zip_code", "country"]
 CHARGES = ["subtotal", "service_charge", "delivery_charge", "total"]
@@ -171,15 +171,18 @@ def recent_orders(orders, items, ids=None, n=10) -> DataFrame:
         .filter(F.col("_rank") <= n)
         .drop("_rank")
     )
-    counts = items.groupBy("order_id").agg(F.count("order_item_id").alias("item_count"))
+    # Only the items of the orders shown are counted; for all customers that is most of them.
+    counted = items if ids is None else items.join(latest.select("order_id"), "order_id", "left_semi")
+    counts = counted.groupBy("order_id").agg(F.count("order_item_id").alias("item_count"))
     rows = latest.join(counts, "order_id", "left").withColumn("item_count", F.coalesce("item_count", F.lit(0)))
     return rows if ids is None else rows.orderBy("user_id", F.desc("created_at"), "order_id")
 
 
-def envelope(rows: DataFrame, total: DataFrame, name: str, order: list[str], message: str) -> DataFrame:
-    """A page and its total as one JSON record. ``rows`` is a page, so its size is the page limit."""
-    entry = F.struct(*[F.col(c) for c in order], F.struct(*rows.columns).alias("_value"))
-    listed = rows.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_value"]).alias(name))
+def envelope(rows: DataFrame, total: DataFrame, name: str, order: list, message: str, limit: int = 10, offset: int = 0) -> DataFrame:
+    """A page of ``rows`` in ``order`` and its total as one JSON record; no more rows than ``limit`` are gathered."""
+    ranked = page(rows, order, limit, offset).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    entry = F.struct("_rank", F.struct(*rows.columns).alias("_value"))
+    listed = ranked.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["_value"]).alias(name))
     data = F.struct(F.col(name), total.scalar().alias("total"))
     record = F.struct(F.lit(True).alias("success"), F.lit(message).alias("message"), data.alias("data"))
     return listed.select(as_json(record).alias("response"))

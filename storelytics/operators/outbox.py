@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from storelytics.functions.nest import as_json
+from storelytics.operators.decisions import refused_row
 
 
 def _topic(user: str):
@@ -33,15 +34,18 @@ def _stamp():
 def request_outbox(decisions: DataFrame) -> DataFrame:
     """Notifications for decided request masters: one per rejected request, or a single one when none was rejected.
 
+    A master that ``decision_rollup`` refuses, for a row without its request or with another status, gets none.
     ``decisions``: request_master_id, user_id, request_id, status, product_name, admin_remarks, customer_email,
     customer_name, at.
     """
-    rejected = decisions.filter(F.col("status") == "Rejected")
     masters = decisions.groupBy("request_master_id").agg(
+        F.count_if(refused_row()).alias("_bad"),
         F.count_if(F.col("status") == "Rejected").alias("_rejected"),
         *[F.max(c).alias(c) for c in ("user_id", "customer_email", "customer_name", "at")],
     )
-    refused = rejected.select(
+    masters = masters.filter(F.col("_bad") == 0)
+    rejected = decisions.filter(F.col("status") == "Rejected")
+    refused = rejected.join(masters.select("request_master_id"), "request_master_id", "left_semi").select(
         F.concat_ws("-", F.lit("rejected"), "request_master_id", "request_id").alias("notification_id"),
         "request_master_id", "user_id", "customer_email", "customer_name", "at",
         _text("product_name").alias("product_name"), _text("admin_remarks").alias("admin_remarks"),

@@ -29,8 +29,11 @@ def _customer(masters, users) -> DataFrame:
     return masters.join(named, "user_id", "left")
 
 
-def _with_images(masters, requests, array_rows) -> DataFrame:
+def _with_images(masters, requests, array_rows, narrowed: bool) -> DataFrame:
+    """Masters with the images of their undeleted requests; ``narrowed`` spares the requests of other masters."""
     shown = requests.filter(~F.col("delete_status")).select(KEY, "request_id", "image")
+    if narrowed:
+        shown = shown.join(masters.select(KEY), KEY, "left_semi")
     images = gather(shown, KEY, ["request_id"], F.col("image"), "product_images", array_rows)
     return attach(masters, images, KEY, "product_images").withColumn("product_images", as_json("product_images"))
 
@@ -39,7 +42,7 @@ def request_list(masters, requests, users, addresses, status=None, array_rows=AR
     """All masters with the images of their undeleted requests, newest first."""
     kept = _placed(_customer(_with_status(masters, requests, status), users), addresses)
     return (
-        _with_images(kept, requests, array_rows)
+        _with_images(kept, requests, array_rows, narrowed=status is not None)
         .select(
             KEY, "part", F.col("status").alias("master_status"), "delivery_date",
             "customer_name", "customer_email", *ADDRESS, "address_id", "product_images",
@@ -53,7 +56,7 @@ def customer_request_list(masters, requests, addresses, ids=None, status=None, a
     own = having_ids(masters, "user_id", ids)
     kept = _with_status(own, requests, status).join(requests.select(KEY).distinct(), KEY, "left_semi")
     return (
-        _with_images(_placed(kept, addresses), requests, array_rows)
+        _with_images(_placed(kept, addresses), requests, array_rows, narrowed=ids is not None or status is not None)
         .select(
             "user_id", KEY, "part", F.col("status").alias("master_status"), F.col("created_at").alias("master_created_at"),
             "delivery_date", *ADDRESS, "product_images",
@@ -106,7 +109,7 @@ def request_detail(
 ) -> DataFrame:
     """Masters with their requests and approvals; a status keeps masters with such a request."""
     kept = _with_status(having_ids(masters, KEY, ids), requests, status)
-    below = _children(kept, requests, approvals, narrowed=ids is not None)
+    below = _children(kept, requests, approvals, narrowed=ids is not None or status is not None)
     return _detail(kept, *below, users, addresses, array_rows)
 
 
@@ -116,5 +119,5 @@ def customer_request_detail(
     """``request_detail`` for masters that belong to the given users."""
     own = having_ids(masters, "user_id", user_ids)
     kept = _with_status(having_ids(own, KEY, ids), requests, status)
-    below = _children(kept, requests, approvals, narrowed=ids is not None or user_ids is not None)
+    below = _children(kept, requests, approvals, narrowed=any(x is not None for x in (ids, user_ids, status)))
     return _detail(kept, *below, users, addresses, array_rows)

@@ -116,6 +116,7 @@ QUERIES = {
     "m12_insert_users": lambda t: A.insert_users(t.users, t.new_users, NOW)[0].select(*USER_STATE),
     "m12_user_rejects": lambda t: A.insert_users(t.users, t.new_users, NOW)[1],
     "m13_resolve_social": lambda t: _social(t)["resolved"],
+    "m13_social_rejects": lambda t: _social(t)["rejects"],
     "m13_social_users": lambda t: _social(t)["users"].select(*USER_STATE),
     "m13_social_links": lambda t: _social(t)["links"].select("social_id", "social_type", "user_id"),
     "m14_profile_updates": lambda t: A.update_profiles(t.users, t.profile_changes)[0].select(
@@ -169,7 +170,8 @@ JUDGED = """judged AS (SELECT n.*, n.email IS NULL OR (
     lower(n.email) NOT IN (SELECT lower(email) FROM t_users WHERE email IS NOT NULL)
     AND row_number() OVER (PARTITION BY lower(n.email) ORDER BY signup_id) = 1) AS free FROM t_new_users n)"""
 SOCIAL = """linked AS (SELECT g.*, l.user_id AS link_user FROM t_social_signups g
-    LEFT JOIN t_social_users l ON g.social_id = l.social_id AND g.social_type = l.social_type),
+    LEFT JOIN t_social_users l ON g.social_id = l.social_id AND g.social_type = l.social_type
+    WHERE g.social_id IS NOT NULL AND g.social_type IS NOT NULL),
 deciding AS (SELECT k.*, (SELECT min(u.user_id) FROM t_users u WHERE u.email = lower(k.email)) AS mail_user FROM linked k
     WHERE link_user IS NULL QUALIFY row_number() OVER (PARTITION BY social_id, social_type ORDER BY signup_id) = 1),
 strangers AS (SELECT *, CASE WHEN email IS NULL THEN signup_id ELSE
@@ -181,11 +183,15 @@ decided AS (SELECT d.social_id, d.social_type, coalesce(d.mail_user, c.new_user)
 resolved AS (SELECT k.signup_id, k.social_id, k.social_type, coalesce(k.link_user, d.user_id) AS user_id,
     CASE WHEN k.link_user IS NOT NULL THEN 'link' WHEN d.is_new THEN 'new' ELSE 'email' END AS found_by
     FROM linked k LEFT JOIN decided d ON k.social_id = d.social_id AND k.social_type = d.social_type)"""
-PROFILES = """judged AS (SELECT c.*, CASE
+PROFILES = """checked AS (SELECT c.*, CASE
     WHEN EXISTS (SELECT 1 FROM t_users u WHERE u.email = lower(c.email) AND u.user_id <> c.user_id AND NOT u.delete_status)
     THEN 'Email already exists'
     WHEN EXISTS (SELECT 1 FROM t_users u WHERE u.phone = c.phone AND u.user_id <> c.user_id AND NOT u.delete_status)
-    THEN 'Phone number already exists' END AS reason FROM t_profile_changes c)"""
+    THEN 'Phone number already exists' END AS fault FROM t_profile_changes c),
+mailed AS (SELECT *, CASE WHEN fault IS NULL AND email IS NOT NULL AND user_id <> first_value(user_id) OVER (PARTITION BY fault IS NULL,
+    lower(email) ORDER BY change_id) THEN 'Email already exists' ELSE fault END AS fault2 FROM checked),
+judged AS (SELECT * EXCLUDE (fault, fault2), CASE WHEN fault2 IS NULL AND phone IS NOT NULL AND user_id <> first_value(user_id) OVER (
+    PARTITION BY fault2 IS NULL, lower(phone) ORDER BY change_id) THEN 'Phone number already exists' ELSE fault2 END AS reason FROM mailed)"""
 _ORDER_STATE = "o.order_id, {0} AS status, {1} AS order_status_id, {2} AS updated_at, o.delete_status"
 _ISO = "strftime(\"at\", '%Y-%m-%dT%H:%M:%S.%gZ')"
 
@@ -197,6 +203,9 @@ def _changed(alias: str, status: str, code: str, at: str) -> str:
     return _ORDER_STATE.format(pick(status, "status"), pick(code, "order_status_id"), pick(at, "updated_at"))
 
 
+_REFUSED = """SELECT request_master_id FROM t_decision_rows
+            WHERE request_id IS NULL OR status IS NULL OR status NOT IN ('Approved', 'Rejected')"""
+
 ORACLE = {
     "m01_ingest_items": _over(
         "new_items",
@@ -352,6 +361,11 @@ ORACLE = {
         "users new_users", JUDGED, "SELECT signup_id, email, 'Email already exists' AS reason FROM judged WHERE NOT free"
     ),
     "m13_resolve_social": _over("users social_users social_signups", SOCIAL, "SELECT * FROM resolved"),
+    "m13_social_rejects": with_tables(
+        "social_signups",
+        """SELECT signup_id, social_id, social_type, 'Social identity is missing' AS reason FROM t_social_signups
+        WHERE social_id IS NULL OR social_type IS NULL""",
+    ),
     "m13_social_users": _over(
         "users social_users social_signups",
         SOCIAL,
@@ -425,9 +439,10 @@ ORACLE = {
         SELECT concat_ws('-', 'rejected', request_master_id, request_id) AS id, request_master_id, user_id, customer_email,
             product_name, coalesce(admin_remarks, '') AS admin_remarks, "at", 'rejected' AS word,
             CASE WHEN product_name <> '' THEN product_name ELSE coalesce(admin_remarks, 'NA') END AS body
-        FROM t_decision_rows WHERE status = 'Rejected'
+        FROM t_decision_rows WHERE status = 'Rejected' AND request_master_id NOT IN ({_REFUSED})
         UNION ALL SELECT 'approved-' || request_master_id, request_master_id, max(user_id), max(customer_email), '', '',
-            max("at"), 'approved', '' FROM t_decision_rows GROUP BY request_master_id HAVING count(*) FILTER (WHERE status = 'Rejected') = 0)""",
+            max("at"), 'approved', '' FROM t_decision_rows WHERE request_master_id NOT IN ({_REFUSED})
+            GROUP BY request_master_id HAVING count(*) FILTER (WHERE status = 'Rejected') = 0)""",
     ),
     "m19_outbox_counts": with_tables(
         "decision_rows",

@@ -24,6 +24,7 @@ def _user_orders(t, **kw):
     return O.user_orders(t.orders, t.order_items, t.products, t.item_requests, t.addresses, t.order_status, **kw)
 
 
+SIGNED_UP = "SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup'"
 # One probe per order: its customer's e-mail in capitals or phone, or a value nobody has.
 USER_PROBES = """
     SELECT o_orderkey AS probe_id, CASE WHEN o_orderkey % 2 = 0 THEN 'email' ELSE 'phone' END AS login_type,
@@ -39,9 +40,11 @@ SOCIAL_PROBES = """
 
 def _order_envelope(t):
     day = F.to_date("created_at").cast("string").alias("day")
-    rows = _order_listing(t, **LISTING).select("order_id", "part", "user_name", "status", "order_images", day)
+    images = F.from_json("order_images", "array<string>").alias("order_images")
+    rows = _order_listing(t, **LISTING).select("order_id", "part", "user_name", "status", images, day)
     total = order_total(t.orders, t.order_status, "Shipped", *WINDOW).select(F.col("total_amount").cast("string"))
-    return O.envelope(rows, total, "orders", ["order_id", "part"], "Orders retrieved successfully")
+    order = [F.desc("day"), F.asc("order_id"), F.asc("part")]
+    return O.envelope(rows, total, "orders", order, "Orders retrieved successfully", limit=200)
 
 
 QUERIES = {
@@ -60,13 +63,17 @@ QUERIES = {
         t.request_masters, t.requests, t.approvals, t.users, t.addresses, status="Approved"
     ),
     "l08_customer_request_list": lambda t: Q.customer_request_list(t.request_masters, t.requests, t.addresses),
+    "l08_customer_request_list_of_some": lambda t: Q.customer_request_list(
+        t.request_masters, t.requests, t.addresses, ids=t.sql(SIGNED_UP)
+    ),
     "l09_customer_request_detail": lambda t: Q.customer_request_detail(
-        t.request_masters, t.requests, t.approvals, t.users, t.addresses, user_ids=t.sql("SELECT DISTINCT user_id FROM {events} WHERE event_type = 'signup'")
+        t.request_masters, t.requests, t.approvals, t.users, t.addresses, user_ids=t.sql(SIGNED_UP)
     ),
     "l10_customer_count": lambda t: C.customer_count(t.users, "R#0000001"),
     "l11_customers_ranked": lambda t: C.customers_ranked(t.users, t.orders, "R#0000", limit=50, offset=10),
     "l12_customer_stats": lambda t: C.customer_stats(t.users, t.orders),
     "l13_recent_orders": lambda t: O.recent_orders(t.orders, t.order_items),
+    "l13_recent_orders_of_some": lambda t: O.recent_orders(t.orders, t.order_items, ids=t.sql(SIGNED_UP)),
     "l14_active_addresses": lambda t: C.addresses_of(t.addresses),
     "l14_all_addresses": lambda t: C.addresses_of(t.addresses, active_only=False),
     "l15_user_lookup": lambda t: C.lookup_users(t.users, t.sql(USER_PROBES)),
@@ -205,6 +212,12 @@ ORACLE = {
         f"m.user_id, m.created_at AS master_created_at, {_LIST}",
         "AND m.request_master_id IN (SELECT request_master_id FROM t_requests)",
     ),
+    "l08_customer_request_list_of_some": _masters(
+        REQUEST_IMAGES,
+        f"m.user_id, m.created_at AS master_created_at, {_LIST}",
+        "AND m.request_master_id IN (SELECT request_master_id FROM t_requests) "
+        "AND m.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')",
+    ),
     "l09_customer_request_detail": _masters(
         NESTED, _DETAIL, "AND m.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')"
     ),
@@ -229,6 +242,14 @@ ORACLE = {
         LEFT JOIN (SELECT order_id, count(order_item_id) AS item_count FROM t_order_items GROUP BY 1) c
         ON o.order_id = c.order_id WHERE o.rank <= 10""",
     ),
+    "l13_recent_orders_of_some": with_tables(
+        "orders order_items",
+        """SELECT o.* EXCLUDE (rank), coalesce(c.item_count, 0) AS item_count FROM
+        (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, order_id) AS rank FROM t_orders
+        WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')) o
+        LEFT JOIN (SELECT order_id, count(order_item_id) AS item_count FROM t_order_items GROUP BY 1) c
+        ON o.order_id = c.order_id WHERE o.rank <= 10""",
+    ),
     "l14_active_addresses": with_tables("addresses", "SELECT * FROM t_addresses WHERE NOT delete_status"),
     "l14_all_addresses": with_tables("addresses", "SELECT * FROM t_addresses"),
     "l15_user_lookup": with_tables(
@@ -257,8 +278,8 @@ ORACLE = {
         ORDER_TABLES,
         f"""SELECT CAST(to_json({{'success': true, 'message': 'Orders retrieved successfully', 'data':
         {{'orders': (SELECT list({{'order_id': order_id, 'part': 0, 'user_name': user_name, 'status': status,
-        'order_images': order_images, 'day': day}} ORDER BY order_id) FROM (
-            SELECT o.order_id, u.name AS user_name, o.status, coalesce(g.order_images, '[]') AS order_images,
+        'order_images': order_images, 'day': day}} ORDER BY day DESC, order_id) FROM (
+            SELECT o.order_id, u.name AS user_name, o.status, CAST(coalesce(g.order_images, '[]') AS JSON) AS order_images,
             CAST(CAST(o.created_at AS DATE) AS VARCHAR) AS day
             FROM t_orders o LEFT JOIN t_order_status s ON o.order_status_id = s.order_status_id
             LEFT JOIN t_users u ON o.user_id = u.user_id LEFT JOIN images g ON o.order_id = g.order_id

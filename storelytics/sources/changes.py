@@ -60,19 +60,20 @@ CHANGES: dict[str, str] = {
         FROM {orders}""",
     "social_signups": """
         SELECT o_orderkey AS signup_id, 'google' AS social_type, 'Social ' || CAST(o_orderkey AS STRING) AS name,
-               CASE WHEN o_orderkey % 3 = 0 THEN 's' || CAST(o_custkey AS STRING)
+               CASE WHEN o_orderkey % 61 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 's' || CAST(o_custkey AS STRING)
                     ELSE 't' || CAST((o_custkey * 7 + o_orderkey % 2) % 997 AS STRING) END AS social_id,
                CASE WHEN o_orderkey % 11 = 0 THEN NULL
                     WHEN o_orderkey % 5 = 0 THEN 'Customer#' || lpad(CAST(o_custkey AS STRING), 9, '0') || '@example.com'
                     ELSE 'fresh' || CAST(o_custkey % 300 AS STRING) || '@example.com' END AS email,
                'S2' AS size_preferences
         FROM {orders}""",
-    # Some customers ask for the e-mail or the phone of the next one.
+    # Some customers ask for the e-mail or the phone of the next one, and some for the same new ones.
     "profile_changes": """
         SELECT c_custkey AS change_id, c_custkey AS user_id, 'N ' || c_name AS name, 'Last' AS last_name,
-               'Customer#' || lpad(CAST(CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING), 9, '0')
-                   || '@example.com' AS email,
-               '555' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING) AS phone,
+               CASE WHEN c_custkey % 16 = 5 THEN 'Shared' || CAST(c_custkey % 80 AS STRING) || '@example.com' ELSE
+                   'Customer#' || lpad(CAST(CASE WHEN c_custkey % 9 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING), 9, '0')
+                   || '@example.com' END AS email,
+               CASE WHEN c_custkey % 16 = 7 THEN '557' || CAST(c_custkey % 48 AS STRING) ELSE '555' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING) END AS phone,
                'XL' AS size_preferences, TIMESTAMP '2024-02-01 12:00:00' AS at
         FROM {customer}""",
     "size_changes": """

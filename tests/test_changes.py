@@ -252,3 +252,50 @@ def test_audit_finds_each_kind(frame, spark):
         ("foreign key", "orders.user_id", "9", 2), ("unique", "users.email", "a@x", 2), ("unique", "users.social_id+social_type", "s|g", 2),
         ("domain", "users.role", "guest", 1), ("not null", "orders.address_id", None, 1),
     }
+
+
+def test_one_batch_cannot_double_an_email_or_phone(frame):
+    users = frame(
+        "user_id long,name string,last_name string,email string,phone string,size_preferences string,updated_at timestamp_ntz,delete_status boolean",
+        *[(i, "n", None, f"{i}@x", str(i), None, None, False) for i in (1, 2, 3)],
+    )
+    changes = frame(
+        "change_id long,user_id long,name string,last_name string,email string,phone string,size_preferences string,at timestamp_ntz",
+        (1, 1, "a", None, "new@x", None, None, None), (2, 2, "b", None, "NEW@x", None, None, None), (3, 1, "c", None, "new@x", "77", None, None),
+        (4, 3, "d", None, None, "77", None, None),
+    )
+    out, conflicts = A.update_profiles(users, changes)
+    assert {r.change_id: r.reason for r in conflicts.collect()} == {2: "Email already exists", 4: "Phone number already exists"}
+    emails = [r.email for r in out.collect()]
+    assert len(set(emails)) == 3 and "new@x" in emails
+
+
+def test_sign_ups_without_identity_are_rejected(frame):
+    out = A.resolve_social(
+        frame("user_id long,email string,created_at timestamp_ntz,delete_status boolean", (1, "a@x", None, False)),
+        frame("social_id string,social_type string,user_id long", ("s", "g", 1)),
+        frame("signup_id long,social_id string,social_type string,email string,name string,size_preferences string",
+              (1, None, "g", "p@x", "n", None), (2, "z", None, "q@x", "n", None), (3, "y", "g", "a@x", "n", None)),
+        NOW,
+    )
+    assert {r.signup_id for r in out["rejects"].collect()} == {1, 2}
+    assert [(r.signup_id, r.user_id) for r in out["resolved"].collect()] == [(3, 1)] and out["users"].count() == 1
+    assert out["links"].filter("social_id is null or social_type is null or user_id is null").count() == 0
+
+
+def test_users_keep_social_identities_unique(frame):
+    users = frame("user_id long,email string,social_id string,social_type string,delete_status boolean,created_at timestamp_ntz", (5, "a@x", "s", "g", False, None))
+    new = frame("signup_id long,email string,social_id string,social_type string",
+                (1, "b@x", "s", "g"), (2, "c@x", "t", "g"), (3, "d@x", "t", "g"), (4, "e@x", None, "g"), (5, "f@x", None, "g"), (6, "a@x", "u", "g"), (7, "h@x", "u", "g"))
+    out, rejects = A.insert_users(users, new, NOW)
+    assert {r.signup_id: r.reason.split()[0] for r in rejects.collect()} == {1: "Social", 3: "Social", 6: "Email"}
+    assert sorted(r.email for r in out.collect()) == ["a@x", "c@x", "e@x", "f@x", "h@x"]
+
+
+def test_refused_masters_get_no_messages(frame):
+    rows = frame(
+        "request_master_id long,user_id long,request_id long,status string,product_name string,admin_remarks string,customer_email string,customer_name string,at timestamp_ntz",
+        (1, 1, 1, "Rejected", "x", None, None, None, None), (1, 1, None, "Approved", "y", None, None, None, None),
+        (2, 2, 3, "Approved", "z", None, None, None, None), (3, 3, 4, "hold", "z", None, None, None, None), (4, 4, 5, "Rejected", "w", None, None, None, None),
+    )
+    assert {r.notification_id for r in B.request_outbox(rows).collect()} == {"approved-2", "rejected-4-5"}

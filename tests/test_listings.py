@@ -167,3 +167,26 @@ def test_recent_orders_count_items(tables):
     rows = O.recent_orders(tables.orders, tables.order_items, n=3)
     assert rows.groupBy("user_id").count().agg(F.max("count")).first()[0] == 3
     assert rows.filter("item_count IS NULL").count() == 0
+
+
+def test_search_takes_a_backslash_literally(frame):
+    users = frame("user_id long,name string,email string,phone string,role string", (1, "a\\b", None, None, "customer"), (2, "ab", None, None, "customer"))
+    assert C.customer_count(users, "A\\b").first().total == 1
+    assert C.customer_count(users, "a%").first().total == 2
+
+
+def test_envelope_cuts_and_keeps_the_order(frame):
+    rows = frame("id long,day string", *[(i, f"d{i % 3}") for i in range(9)])
+    total = frame("total_amount string", ("5",))
+    record = json.loads(O.envelope(rows, total, "orders", [F.desc("day"), F.asc("id")], "ok", limit=4, offset=1).first().response)
+    assert [r["id"] for r in record["data"]["orders"]] == [5, 8, 1, 4]
+
+
+def test_narrow_listings_read_only_what_they_show(tables):
+    some = tables.users.filter("user_id = 7").select("user_id")
+    for df in (
+        Q.customer_request_list(tables.request_masters, tables.requests, tables.addresses, ids=some),
+        O.recent_orders(tables.orders, tables.order_items, ids=some),
+        Q.request_list(tables.request_masters, tables.requests, tables.users, tables.addresses, status="Rejected"),
+    ):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2

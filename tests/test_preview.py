@@ -167,3 +167,11 @@ def test_mail_providers(spark):
 def test_noise(spark):
     rows = spark.createDataFrame([("x NET::err_failed",), ("track&REPORT",), ("fine",), (None,)], "text string")
     assert [r.text for r in J.drop_noise(rows).collect()] == ["fine", None]
+
+
+def test_addresses_with_impossible_hosts_are_refused(frame):
+    bad = ["http://a b/x", "http://a:port/", "http://a:99999/", "http://a%zz/", "http://", "http://a^b/", "http://a[b/"]
+    good = ["http://a/", "http://u:p@a.b:8080/x", "http://[::1]:80/", "http://a%41/", "https://\u00fc.de/"]
+    rows = frame("url string", *[(u,) for u in bad + good])
+    got = [r[0] for r in rows.select(normal_url(F.col("url"))).collect()]
+    assert got[: len(bad)] == [None] * len(bad) and None not in got[len(bad) :]

@@ -28,6 +28,8 @@ WINDOW = (date(2024, 1, 1), date(2024, 1, 3))
 def test_end_day_counts_only_at_midnight(orders):
     assert R.revenue_summary(orders, *WINDOW).first().total_orders == 4
     assert R.revenue_summary(orders, *WINDOW, whole_end_day=True).first().total_orders == 5
+    late = datetime(WINDOW[1].year, WINDOW[1].month, WINDOW[1].day, 15)
+    assert R.revenue_summary(orders, WINDOW[0], late, whole_end_day=True).first().total_orders == 5
 
 
 def test_datetime_bounds(orders):
