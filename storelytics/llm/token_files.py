@@ -15,6 +15,7 @@ columns are left out. An empty table gives files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,27 +28,57 @@ from pyspark.sql import Window
 from storelytics import session
 from storelytics.llm.common import cut, memo
 
-WORDS_KEPT = 500_000
+WORDS_KEPT = 250_000
+
+
+# Printable ASCII without what contractions and special tokens start with.
+_PLAIN = re.compile(rb"[!-&(-;=-~]+")
+_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
+_PROBES = ["Hello,", "a1b22--x!", "THE.End", "#$%y", "zzqx", "(42)"]
 
 
 class _Encoded(dict):
-    """Bytes of a word to its ids as bytes. Two generations of ``WORDS_KEPT`` words each, so common words stay."""
+    """Bytes of a word to its ids as bytes. Two generations of ``WORDS_KEPT`` words each, so common words stay.
+
+    Where the tokenizer lower-cases plain words and parts them into runs of letters, single digits and other runs (probed
+    once), such words are put together from their runs, which are fewer and go straight to the tokenizer's model.
+    """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.encode = Tokenizer.from_file(file).encode
+        tokenizer = Tokenizer.from_file(file)
+        self.whole, self.model = tokenizer.encode, tokenizer.model
         self.older: dict = {}
-        if self.encode(" \t\n\v\f\r", add_special_tokens=False).ids:
+        self.runs: dict = {}
+        self.older_runs: dict = {}
+        if self.whole(" \t\n\v\f\r", add_special_tokens=False).ids:
             raise ValueError("white space gives tokens: this tokenizer cannot be run word by word")
+        self.by_runs = all(self._run_by_run(w.encode()) == self._whole(w.encode()) for w in _PROBES)
+
+    def _whole(self, word: bytes) -> bytes:
+        return np.array(self.whole(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _run_by_run(self, word: bytes) -> bytes:
+        return b"".join(map(self._run, _RUNS.findall(word.lower())))
+
+    def _run(self, run: bytes) -> bytes:
+        ids = self.runs.get(run)
+        if ids is None:
+            ids = self.older_runs.get(run)
+            if ids is None:
+                ids = np.array([t.id for t in self.model.tokenize(run.decode())], "<u4").tobytes()
+            if len(self.runs) >= WORDS_KEPT:
+                self.runs, self.older_runs = {}, self.runs
+            self.runs[run] = ids
+        return ids
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
-            found = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
+            ids = self._run_by_run(word) if self.by_runs and _PLAIN.fullmatch(word) else self._whole(word)
         if len(self) >= WORDS_KEPT:
             self.older = dict(self)
             self.clear()

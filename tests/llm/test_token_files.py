@@ -43,3 +43,14 @@ def test_repeated_null_and_no_rows(spark, docs):
     got = token_files.written_index(docs((3, "a"), (3, "a"), (None, "b c"), (1, None)), FILE).collect()
     assert sorted((str(r.doc_id), r.start, r.n_tokens) for r in got) == [("1", 3, 1), ("3", 4, 2), ("3", 6, 2), ("None", 0, 3)]
     assert token_files.written_index(docs((1, "a")).limit(0), FILE).count() == 0
+
+
+def test_words_put_together_from_runs_equal_the_tokenizer():
+    import random
+
+    rng, tok, mine = random.Random(2), Tokenizer.from_file(FILE), token_files._Encoded(FILE)
+    assert mine.by_runs
+    parts = ["a", "The", "ing", "1", "22", ",", ".", "!", "#", "'s", "'", "<", "|", "<|endoftext|>", "é", "É", "ß", "—", "\x1c", "\x7f", "~", "Z", "don't", "_"]
+    for _ in range(4000):
+        word = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
+        assert np.frombuffer(mine[word.encode()], "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids, word
