@@ -129,7 +129,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
 def drop_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """Documents that hold no window, all columns kept. ``docs`` must be a table at rest: its rows are told apart by place."""
     bad = hits(docs, benchmark, n).filter("size(spans) > 0").select("_row")
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bad, "_row", "left_anti").drop("_row")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(bad.hint("merge"), "_row", "left_anti").drop("_row")
 
 
 def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -141,6 +141,6 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     left = f"""
         concat(regexp_extract(text, R'^([{gap}]+)', 1), array_join(transform(array({pieces}), p ->
             filter(p, (x, i) -> NOT exists(spans, s -> i >= s.start AND i < s.end)))[0], ''))"""
-    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left")
+    joined = docs.withColumn("_row", F.monotonically_increasing_id()).join(found.hint("merge"), "_row", "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.expr(left))
     return joined.withColumn("text", text).drop("_row", "spans")

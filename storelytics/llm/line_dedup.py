@@ -58,7 +58,8 @@ def repeated(docs: DataFrame, run: int = RUN) -> DataFrame:
 def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """``docs`` without the lines of later repeated runs, ``n_lines`` (with a word) and ``n_removed`` of them added."""
     found = cut(repeated(docs, run))
-    placed = docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left")
+    # Texts with something to delete grow with the corpus: the join is a shuffle at every size, not only at large ones.
+    placed = docs.withColumn("_row", F.monotonically_increasing_id()).join(found.hint("merge"), "_row", "left")
     # Runs that overlap or touch make one stretch; between the stretches lie the lines that stay.
     body = f"""
         transform(array(split(text, '\\n')), l -> transform(array(filter(sequence(0, size(l) - 1), i -> l[i] RLIKE R'{_WORD}')), b -> named_struct(

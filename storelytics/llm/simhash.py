@@ -286,4 +286,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, la
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
     """The first row of each group, by doc_id and then by place, all columns kept. ``docs`` must be a table at rest."""
     copies = _near(docs, words, similarity, lanes).filter("place <> least").select(F.col("place.row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(copies, "_row", "left_anti").drop("_row")
+    return docs.withColumn("_row", F.monotonically_increasing_id()).join(copies.hint("merge"), "_row", "left_anti").drop("_row")

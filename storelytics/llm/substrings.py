@@ -267,5 +267,5 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_region
 
     found = cut(spans(docs, length, gram, shard_regions))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _placed(docs, "doc_id", "text").join(found, "_row", "left").select("doc_id", "text", "starts")
+    joined = _placed(docs, "doc_id", "text").join(found.hint("merge"), "_row", "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(scan, f"doc_id {kind}, n_words bigint, n_removed bigint, text string")
