@@ -1,38 +1,26 @@
 """Child rows gathered into ordered arrays without ever building an unbounded one.
 
-A parent normally gets one array. Where the children of one key weigh more than ``array_rows``, that key
-alone is spread over several rows of about that size numbered by ``part``, so a key that owns a third of the table costs many
-small tasks and not a single huge one. No child is dropped: the parts of a key together hold all of them.
+Every key goes the same way. Each child has a place in its key's order; ``part`` is the place divided by the rows a part may hold,
+and each part is one array. Parts in order of ``part`` joined end to end are the whole array, nothing dropped, nothing
+moved. A key that owns a third of the table becomes many parts in many tasks.
+
+Places come from blocks: runs of ``BLOCK`` values of the first order column, which is an integer. A block is ranked by itself, and what lies
+before it is a sum over the key's block sizes, so no task ranks more than one block of a key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from storelytics.session import cut
+from pyspark.sql import Window
 
 ARRAY_ROWS = 100_000
-# A list of heavy keys up to this long travels with the plan; a longer one stays a table and is joined.
-LISTED_KEYS = 1_000
+_BLOCK_BITS = 16
 
 
-def heavy_keys(rows: DataFrame, key: str, limit: int) -> DataFrame | None:
-    """Keys whose rows weigh more than ``limit``, with the number of parts each needs; None if there are none.
-
-    A row weighs 1, or what its ``_weight`` column says. Reads only those columns and combines on the map
-    side. At most ``LISTED_KEYS + 1`` rows come back to decide how the plan goes on.
-    """
-    weight = F.col("_weight") if "_weight" in rows.columns else F.lit(1)
-    load = rows.groupBy(key).agg(F.sum(weight).alias("_load"))
-    heavy = load.filter(F.col("_load") > limit).select(key, F.ceil(F.col("_load") / limit).alias("_parts"))
-    listed = heavy.limit(LISTED_KEYS + 1).toArrow()
-    if listed.num_rows == 0:
-        return None
-    if listed.num_rows > LISTED_KEYS:
-        return cut(heavy)
-    # From Arrow this is a local relation of known size, so its join is planned as a broadcast.
-    return rows.sparkSession.createDataFrame(listed, heavy.schema)
+def _block(column: str) -> Column:
+    """The block of an order value; NULL sorts first."""
+    return F.coalesce(F.shiftright(F.col(column).cast("long"), _BLOCK_BITS), F.lit(-(2**62)))
 
 
 def gather(
@@ -42,45 +30,33 @@ def gather(
     value: Column,
     name: str,
     array_rows: int = ARRAY_ROWS,
-    weights: DataFrame | None = None,
+    weight: Column | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """(key, part, name): ``value`` of each row as an array in ``order``, NULL values kept.
+    """(key, part, name): ``value`` of each row as an array in ``order`` (ties by value), NULL values kept.
 
-    ``part`` is 0 for every key within the limit. ``weights`` (key, _weight) says how much the rows of a key
-    weigh where that is cheaper to know than the rows themselves.
+    A part holds ``array_rows`` rows, or rows that weigh as much where ``weight`` says so; a heavier row is a part of its own.
+    ``counted`` (key, first order column and, with a weight, ``_weight``) gives the same keys and weights where they are cheaper to
+    know than the rows themselves.
     """
-    rows = rows.filter(F.col(key).isNotNull())
     entry = F.struct(*[F.col(c) for c in order], value.alias("_value"))
-    heavy = heavy_keys(rows if weights is None else weights, key, array_rows)
-
-    def plain(part):
-        return part.groupBy(key).agg(
-            F.lit(0).cast("long").alias("part"), values(F.sort_array(F.collect_list(entry))).alias(name)
-        )
-
-    if heavy is None:
-        return plain(rows)
-    # Equal rows are counted first, then dealt out in slices, so copies spread over the parts as well. Dealing is by
-    # hash, so parts differ a little in size; slices well below the limit keep that small.
-    slice_rows = max(1, array_rows // 16)
-    counted = (
-        rows.join(heavy, key)
-        .groupBy(key, "_parts", entry.alias("_entry"))
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_n") - 1, F.lit(slice_rows))))
-        .withColumn("_copies", F.least(F.col("_n") - F.col("_slice"), F.lit(slice_rows)).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("_entry", "_slice"), F.col("_parts")))
-    )
-    parts = (
-        counted.groupBy(key, "part")
-        .agg(F.sort_array(F.collect_list(F.struct("_entry", "_copies"))).alias("_list"))
-        .select(
-            key,
-            "part",
-            F.flatten(F.transform("_list", lambda x: F.array_repeat(x["_entry"]["_value"], x["_copies"]))).alias(name),
-        )
+    heavy = F.lit(1) if weight is None else weight
+    entries = rows.filter(F.col(key).isNotNull()).select(
+        key, _block(order[0]).alias("_block"), heavy.cast("long").alias("_weight"), entry.alias("_entry")
     )
-    return plain(rows.join(heavy, key, "left_anti")).unionByName(parts)
+    if counted is None:
+        known = entries
+    else:
+        each = F.lit(1) if weight is None else F.col("_weight")
+        known = counted.filter(F.col(key).isNotNull()).select(key, _block(order[0]).alias("_block"), each.cast("long").alias("_weight"))
+    sizes = known.groupBy(key, "_block").agg(F.sum("_weight").alias("_size"))
+    preceding = Window.unboundedPreceding, -1
+    earlier = F.sum("_size").over(Window.partitionBy(key).orderBy("_block").rowsBetween(*preceding))
+    blocks = sizes.select(key, "_block", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    inside = F.sum("_weight").over(Window.partitionBy(key, "_block").orderBy("_entry").rowsBetween(*preceding))
+    place = F.coalesce("_before", F.lit(0)) + F.coalesce(inside, F.lit(0))
+    placed = entries.join(blocks, [key, "_block"], "left").withColumn("part", F.floor(place / array_rows))
+    return placed.groupBy(key, "part").agg(values(F.sort_array(F.collect_list("_entry"))).alias(name))
 
 
 def values(entries: Column) -> Column:

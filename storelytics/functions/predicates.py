@@ -62,16 +62,3 @@ def page(df: DataFrame, order: list, limit: int = 10, offset: int = 0) -> DataFr
     """One page of an ordered listing; plans as a single top-k, never a full sort."""
     return df.orderBy(*order).offset(offset).limit(limit)
 
-
-
-SETTLED_ROWS = 1_000
-
-
-def settled_page(df: DataFrame, order: list, limit: int, offset: int) -> DataFrame:
-    """A page that further joins start from. One of up to ``SETTLED_ROWS`` rows is fetched, so those joins see a
-    local relation of known size and the listing is not ranked again for each of them; a longer one stays a plan.
-    """
-    rows = page(df, order, limit, offset)
-    if limit > SETTLED_ROWS:
-        return rows
-    return df.sparkSession.createDataFrame(rows.toArrow(), rows.schema)

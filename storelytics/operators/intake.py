@@ -53,18 +53,16 @@ def gate_items(items, requests, approvals, array_rows=ARRAY_ROWS) -> tuple[DataF
     A custom item needs an approval of its request. A blocked request without a name is shown by its id.
     """
     approved = approvals.select(F.col("request_id").alias("product_request_id")).distinct()
-    custom = items.filter(F.col("is_custom_product"))
-    passed = items.filter(~F.col("is_custom_product")).unionByName(
-        custom.join(approved, "product_request_id", "left_semi")
-    )
+    judged = items.join(approved.withColumn("_approved", F.lit(True)), "product_request_id", "left")
+    fine = ~F.col("is_custom_product") | F.col("_approved").isNotNull()
+    passed = judged.filter(fine).select(*items.columns)
     names = requests.select(F.col("request_id").alias("product_request_id"), "product_name")
     stopped = (
-        custom.join(approved, "product_request_id", "left_anti")
+        judged.filter(~fine)
         .join(names, "product_request_id", "left")
         .select("order_id", _back("part"), _back("pos"), F.coalesce("product_name", F.col("product_request_id").cast("string")).alias("label"))
     )
-    size = custom.select("order_id")  # no order has more blocked items than custom ones
-    blocked = gather(stopped, "order_id", ["_part", "_pos"], F.col("label"), "labels", array_rows, size)
+    blocked = gather(stopped, "order_id", ["_part", "_pos"], F.col("label"), "labels", array_rows)
     names_of = joined_text("labels").alias("blocked_products")
     return passed, blocked.select("order_id", F.col("part").cast("int").alias("part"), names_of)
 
@@ -93,7 +91,7 @@ def order_audit(orders, passed, requests, now, array_rows=ARRAY_ROWS) -> DataFra
         "order_id", _back("part"), _back("pos"), "product_request_id", "request_master_id"
     )
     pair = F.struct("request_master_id", "product_request_id")
-    pairs = gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows, custom.select("order_id"))
+    pairs = gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows, counted=custom.select("order_id", _back("part")))
     log = attach(orders.select("order_id"), pairs, "order_id", "used")
 
     def listed(field):

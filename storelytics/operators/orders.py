@@ -1,7 +1,7 @@
 """Order listings, details and history.
 
-Every function takes ``ids=None`` for all keys in one job. Arrays come as JSON text with a ``part`` column:
-0, unless a key has more children than one array may hold (see ``functions.nest``).
+Every function takes ``ids=None`` for all keys in one job. Arrays come as JSON text with a ``part`` column: a key with
+more children than ``array_rows`` has several parts, whose arrays joined in order are the whole (see ``functions.nest``).
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storelytics.functions.nest import ARRAY_ROWS, as_json, attach, gather
-from storelytics.functions.predicates import equals, having_ids, page, settled_page, within
+from storelytics.functions.predicates import equals, having_ids, page, within
+from storelytics.session import cut
 
 ADDRESS = ["address_line", "city", "state", "zip_code", "country"]
 CHARGES = ["subtotal", "service_charge", "delivery_charge", "total"]
@@ -33,8 +34,8 @@ def order_images(items, products, requests, array_rows=ARRAY_ROWS) -> DataFrame:
     images = requests.select(F.col("request_id").alias("product_request_id"), "image")
     made = items.filter(custom).join(images, "product_request_id", "left")
     shown = stocked.select(*place).unionByName(made.select(*place))
-    size = items.select("order_id")
-    return gather(shown, "order_id", ["order_item_id", "image"], F.col("image"), "order_images", array_rows, size)
+    # The lookups are by primary key, so they add no rows to count.
+    return gather(shown, "order_id", ["order_item_id"], F.col("image"), "order_images", array_rows, counted=items)
 
 
 def _headers(orders: DataFrame, order_status: DataFrame) -> DataFrame:
@@ -56,11 +57,11 @@ def order_listing(
 ) -> DataFrame:
     """One page of orders, newest first, with customer, address and images.
 
-    The page is cut from the order headers first, so names, addresses and images are looked up only for the
-    orders on it.
+    The page is cut from the order headers and written first, so names, addresses and images are looked up only for the
+    orders on it and it is ranked once.
     """
     shown = equals(_headers(within(orders, "created_at", start, end), order_status), "order_status", status)
-    paged = settled_page(shown, [F.desc("created_at"), F.asc("order_id")], limit, offset)
+    paged = cut(page(shown, [F.desc("created_at"), F.asc("order_id")], limit, offset))
     full = paged.join(users.select("user_id", F.col("name").alias("user_name")), "user_id", "left").join(
         addresses.select("address_id", *ADDRESS), "address_id", "left"
     )

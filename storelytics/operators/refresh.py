@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelytics.functions.nest import ARRAY_ROWS, heavy_keys
-from storelytics.session import scratch_path
+from storelytics.functions.nest import ARRAY_ROWS
+from storelytics.session import cut, scratch_path
 
 TTL_HOURS = 24
 
@@ -30,10 +30,9 @@ def refresh_due(requests: DataFrame, ttl_hours: int = TTL_HOURS, since: DataFram
     if since is not None:
         late = F.col("next_at").isNull() | (F.col("at") >= F.col("next_at"))
         asked = asked.join(since, "url", "left").filter(late).select("url", "at")
-    heavy = heavy_keys(asked, "url", array_rows)
-    if heavy is None:
+    hot = cut(asked.groupBy("url").agg(F.count("*").alias("_n")).filter(F.col("_n") > array_rows).select("url"))
+    if hot.isEmpty():
         return _folded(asked, ttl_hours)
-    hot = heavy.select("url")
     return _folded(asked.join(hot, "url", "left_anti"), ttl_hours).unionByName(_sliced(asked.join(hot, "url"), ttl_hours))
 
 

@@ -50,6 +50,7 @@ def _order_envelope(t):
 QUERIES = {
     "l01_order_listing": lambda t: _order_listing(t, **LISTING),
     "l02_user_orders": lambda t: _user_orders(t),
+    "l02_user_orders_in_parts": lambda t: _user_orders(t, array_rows=3),
     "l03_order_header": lambda t: O.order_header(t.orders, t.order_status),
     "l04_order_item_details": lambda t: O.order_item_details(
         t.order_items, t.products, t.item_requests, t.request_masters, t.item_approvals
@@ -174,6 +175,19 @@ ORACLE = {
         LISTING_TAIL,
     ),
     "l02_user_orders": _orders_with_images(USER_ORDER_COLUMNS),
+    "l02_user_orders_in_parts": with_tables(
+        ORDER_TABLES,
+        f"""SELECT {USER_ORDER_COLUMNS}, CAST(coalesce(g.part, 0) AS INTEGER) AS part, coalesce(g.order_images, '[]') AS order_images
+        FROM t_orders o LEFT JOIN t_order_status s ON o.order_status_id = s.order_status_id
+        LEFT JOIN t_addresses a ON o.address_id = a.address_id
+        LEFT JOIN (SELECT order_id, part, CAST(to_json(list(image ORDER BY order_item_id, image NULLS FIRST)) AS VARCHAR) AS order_images
+            FROM (SELECT *, (row_number() OVER (PARTITION BY order_id ORDER BY order_item_id, image NULLS FIRST) - 1) // 3 AS part FROM (
+                SELECT i.order_id, i.order_item_id, CASE WHEN i.is_custom_product THEN q.image ELSE p.image END AS image
+                FROM t_order_items i LEFT JOIN t_products p ON i.product_id = p.product_id
+                LEFT JOIN t_item_requests q ON i.product_request_id = q.request_id))
+            GROUP BY order_id, part) g ON o.order_id = g.order_id
+        WHERE NOT o.delete_status""",
+    ),
     "l03_order_header": with_tables(
         "orders order_status",
         f"""SELECT o.order_id, o.user_id, o.address_id, {CHARGES}, o.status, s.status_name AS order_status,
