@@ -7,7 +7,7 @@ rows goes from the last item of an array to the first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from storelytics.functions.ids import dense_ids
@@ -21,30 +21,49 @@ from storelytics.session import cut
 PLACE = ["order_id", "part", "pos"]
 
 
+def _parsed(batch: DataFrame, key: str, text: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The batch with its documents parsed into ``_items``, and the documents that are no JSON array.
+
+    Such a document gives no items, its key stays. An absent document has no items either, and is no reject.
+    """
+    array = F.when(F.ltrim(F.col(text)).startswith("["), F.from_json(text, schema))
+    parsed = batch.withColumn("_items", array)
+    bad = F.col(text).isNotNull() & F.col("_items").isNull()
+    return parsed, parsed.filter(bad).select(key, "part", text, F.lit("Items are not a JSON array").alias("reason"))
+
+
+def _whole(field: str, kind: str) -> Column:
+    """A whole number from its text; a fraction is rounded, anything else is NULL."""
+    text = F.col(f"item.{field}")
+    return F.coalesce(text.try_cast(kind), F.round(text.try_cast("decimal(30,6)")).try_cast(kind)).alias(field)
+
+
 def ingest_orders(batch: DataFrame, now) -> dict[str, DataFrame]:
-    """Orders, their items and the opening history row.
+    """Orders, their items, the opening history row, and the documents that could not be read (``rejects``).
 
-    ``batch``: order_id, part, user_id, address_id, subtotal, service_charge, delivery_charge, total, items.
+    ``batch``: order_id, part, user_id, address_id, subtotal, service_charge, delivery_charge, total, items. Numbers inside
+    the documents may be quoted.
     """
+    batch, rejects = _parsed(batch, "order_id", "items", ORDER_ITEMS_JSON)
     orders = batch.filter(F.col("part") == 0).select(
         "order_id", "user_id", "address_id", "subtotal", "service_charge", "delivery_charge", "total",
         F.lit("Pending").alias("status"), F.lit(1).alias("order_status_id"),
         F.lit(None).cast("string").alias("scheduled_time"), F.lit(False).alias("delete_status"),
         moment(now).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
     )
-    parsed = batch.select("order_id", "part", F.posexplode(F.from_json("items", ORDER_ITEMS_JSON)).alias("pos", "item"))
-    custom = F.coalesce(F.col("item.is_custom_product") == 1, F.lit(False))
+    parsed = batch.select("order_id", "part", F.posexplode("_items").alias("pos", "item"))
+    custom = F.coalesce(_whole("is_custom_product", "int") == 1, F.lit(False))
     items = parsed.select(
         *PLACE,
         custom.alias("is_custom_product"),
-        F.when(~custom, F.col("item.product_id")).alias("product_id"),
-        F.when(custom, F.col("item.product_request_id")).alias("product_request_id"),
-        F.col("item.approval_id").alias("approval_id"),
-        F.col("item.quantity").alias("quantity"),
-        F.col("item.price").alias("price"),
+        F.when(~custom, _whole("product_id", "bigint")).alias("product_id"),
+        F.when(custom, _whole("product_request_id", "bigint")).alias("product_request_id"),
+        _whole("approval_id", "bigint"),
+        _whole("quantity", "int"),
+        F.col("item.price").try_cast("decimal(12,2)").alias("price"),
     )
     history = orders.select("order_id", "status", F.col("created_at").alias("updated_at"))
-    return {"orders": orders, "items": with_subtotal(items), "history": history}
+    return {"orders": orders, "items": with_subtotal(items), "history": history, "rejects": rejects}
 
 
 def gate_items(items, requests, approvals, array_rows=ARRAY_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +136,7 @@ def schedule_from_request(orders, passed, requests, masters) -> DataFrame:
 
 
 def ingest_requests(batch: DataFrame, request_status: DataFrame, now) -> tuple[DataFrame, DataFrame]:
-    """Request masters and their requests, all Pending.
+    """Request masters and their requests, all Pending; ``unread_requests`` has the documents that could not be read.
 
     ``batch``: request_master_id, part, user_id, address_id, delivery_date, requests.
     """
@@ -126,13 +145,18 @@ def ingest_requests(batch: DataFrame, request_status: DataFrame, now) -> tuple[D
         F.lit("Pending").alias("status"), "request_status_id", F.lit(False).alias("delete_status"),
         moment(now).alias("created_at"), moment(now).alias("updated_at"),
     ]
-    coded = batch.withColumn("request_status_id", pending)
+    coded = _parsed(batch, "request_master_id", "requests", REQUEST_ITEMS_JSON)[0].withColumn("request_status_id", pending)
     masters = coded.filter(F.col("part") == 0).select("request_master_id", "user_id", "address_id", "delivery_date", *state)
-    parsed = coded.select("*", F.posexplode(F.from_json("requests", REQUEST_ITEMS_JSON)).alias("pos", "item"))
+    parsed = coded.select("*", F.posexplode("_items").alias("pos", "item"))
     requests = parsed.select("request_master_id", "part", "pos", "item.*", *state)
     return masters, requests
 
 
+def unread_requests(batch: DataFrame) -> DataFrame:
+    """(request_master_id, part, requests, reason): documents of a request batch that are no JSON array."""
+    return _parsed(batch, "request_master_id", "requests", REQUEST_ITEMS_JSON)[1]
+
+
 def number_items(items, start=0, name="order_item_id", key="order_id") -> DataFrame:
     """Give new items their ids: by order, and within one from the last item to the first."""
     return dense_ids(items, name, [F.asc(key), F.desc("part"), F.desc("pos")], start)
@@ -150,6 +174,7 @@ def create_orders(batch, requests, masters, approvals, now, array_rows=ARRAY_ROW
         "orders": schedule_from_request(new["orders"], passed, requests, masters),
         "items": passed,
         "history": new["history"],
+        "rejects": new["rejects"],
         "blocked": blocked,
         "requests": done_requests,
         "masters": done_masters,

@@ -32,6 +32,20 @@ def _items(t):
     )
 
 
+def _odd_orders(t):
+    """The same batch with numbers quoted in some documents and others that are no JSON array."""
+    batch = order_batch(t.orders, t.new_items)
+    quoted = F.regexp_replace("items", r':([0-9.]+)([,}])', ':"$1"$2')
+    odd = F.when(F.col("order_id") % 50 == 3, "oops").when(F.col("order_id") % 50 == 4, '{"a": 1}').when(F.col("order_id") % 7 == 2, quoted)
+    return I.ingest_orders(batch.withColumn("items", odd.otherwise(F.col("items"))), NOW)
+
+
+def _odd_requests(t):
+    batch = request_batch(t.request_masters, t.requests)
+    odd = F.when(F.col("request_master_id") % 20 == 3, "[{").otherwise(F.col("requests"))
+    return I.unread_requests(batch.withColumn("requests", odd))
+
+
 def _passed(t):
     """Gated items. They are read by several jobs, so they are written out first, as an intake would."""
     return I.gate_items(cut(_intake(t)["items"]), t.requests, t.gate_approvals)
@@ -84,6 +98,12 @@ USER_STATE = ["user_id", "name", "email", "role", "size_preferences", "created_a
 QUERIES = {
     "m01_ingest_items": _items,
     "m01_numbered_items": _numbered,
+    "m01_odd_items": lambda t: _odd_orders(t)["items"].select(
+        "order_id", "pos", F.col("is_custom_product").cast("int").alias("is_custom_product"), "product_id",
+        "product_request_id", "approval_id", "quantity", "price",
+    ),
+    "m01_rejects": lambda t: _odd_orders(t)["rejects"].select("order_id", "items", "reason"),
+    "m06_rejects": lambda t: _odd_requests(t).select("request_master_id", "requests", "reason"),
     "m02_blocked_products": lambda t: _passed(t)[1],
     "m02_passed_items": lambda t: _passed(t)[0].select(
         "order_id", "pos", F.col("is_custom_product").cast("int").alias("is_custom_product"), "product_id",
@@ -221,6 +241,23 @@ ORACLE = {
         """SELECT (SELECT max(order_id) FROM t_orders) + row_number() OVER (ORDER BY order_id, pos DESC) AS order_item_id,
         order_id, pos, quantity FROM items""",
     ),
+    "m01_odd_items": _over(
+        "new_items",
+        POSITIONED,
+        """SELECT order_id, pos, is_custom_product, CASE WHEN is_custom_product = 0 THEN product_id END AS product_id,
+        CASE WHEN is_custom_product = 1 THEN product_request_id END AS product_request_id, approval_id, quantity, price
+        FROM items WHERE order_id % 50 NOT IN (3, 4)""",
+    ),
+    "m01_rejects": with_tables(
+        "orders",
+        """SELECT order_id, CASE order_id % 50 WHEN 3 THEN 'oops' ELSE '{"a": 1}' END AS items,
+        'Items are not a JSON array' AS reason FROM t_orders WHERE order_id % 50 IN (3, 4)""",
+    ),
+    "m06_rejects": with_tables(
+        "request_masters",
+        """SELECT request_master_id, '[{' AS requests, 'Items are not a JSON array' AS reason FROM t_request_masters
+        WHERE request_master_id % 20 = 3""",
+    ),
     "m02_blocked_products": _over(
         "new_items requests gate_approvals",
         POSITIONED,

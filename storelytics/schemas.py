@@ -43,9 +43,10 @@ TABLES = {
 }
 
 # JSON document shapes.
+# Fields come as JSON numbers or as quoted ones, so they are read as text and converted then.
 ORDER_ITEMS_JSON = (
-    "array<struct<is_custom_product:int,product_id:long,product_request_id:long,"
-    "quantity:int,price:decimal(12,2),approval_id:long>>"
+    "array<struct<is_custom_product:string,product_id:string,product_request_id:string,"
+    "quantity:string,price:string,approval_id:string>>"
 )
 REQUEST_ITEMS_JSON = (
     "array<struct<product_name:string,description:string,requested_size:string,requested_color:string,image:string>>"

@@ -299,3 +299,17 @@ def test_refused_masters_get_no_messages(frame):
         (2, 2, 3, "Approved", "z", None, None, None, None), (3, 3, 4, "hold", "z", None, None, None, None), (4, 4, 5, "Rejected", "w", None, None, None, None),
     )
     assert {r.notification_id for r in B.request_outbox(rows).collect()} == {"approved-2", "rejected-4-5"}
+
+
+def test_intake_reads_quoted_numbers_and_reports_what_it_cannot_read(frame):
+    batch = frame(
+        "order_id long,part int,user_id long,address_id long,subtotal decimal(12,2),service_charge decimal(12,2),delivery_charge decimal(12,2),total decimal(12,2),items string",
+        *[(i, p, 1, 1, None, None, None, None, t) for i, p, t in (
+            (1, 0, '[{"product_id":"7","quantity":"2","price":"3.50"},{"product_id":8,"quantity":2.6,"price":1}]'), (2, 0, "oops"),
+            (3, 0, '[{"product_id":1}]'), (3, 1, '{"product_id":1}'), (4, 0, None), (5, 0, "[]"))],
+    )
+    new = I.ingest_orders(batch, NOW)
+    got = [(r.order_id, r.pos, r.product_id, r.quantity, str(r.price)) for r in new["items"].collect()]
+    assert sorted(got, key=str) == [(1, 0, 7, 2, "3.50"), (1, 1, 8, 3, "1.00"), (3, 0, 1, None, "None")]
+    assert sorted((r.order_id, r.part) for r in new["rejects"].collect()) == [(2, 0), (3, 1)]
+    assert sorted(r.order_id for r in new["orders"].collect()) == [1, 2, 3, 4, 5]
