@@ -27,8 +27,21 @@ FOREIGN_KEYS = [
     ("requests", "request_status_id", "request_status", "request_status_id"),
     ("social_users", "user_id", "users", "user_id"),
 ]
-# Fixed values: (table, columns that together are unique).
+# Fixed values: (table, columns that together are unique); the single keys come first.
 UNIQUE_KEYS = [
+    ("addresses", ["address_id"]),
+    ("approvals", ["approval_id"]),
+    ("datalog", ["log_id"]),
+    ("order_history", ["history_id"]),
+    ("order_items", ["order_item_id"]),
+    ("order_status", ["order_status_id"]),
+    ("orders", ["order_id"]),
+    ("products", ["product_id"]),
+    ("request_masters", ["request_master_id"]),
+    ("request_status", ["request_status_id"]),
+    ("requests", ["request_id"]),
+    ("social_users", ["id"]),
+    ("users", ["user_id"]),
     ("order_status", ["status_name"]),
     ("request_status", ["status_name"]),
     ("social_users", ["social_id", "social_type"]),
@@ -43,11 +56,19 @@ DOMAINS = [
 ]
 # Fixed values: (table, columns that must be filled).
 REQUIRED = [
-    ("addresses", ["user_id", "address_line", "city", "country"]),
-    ("order_items", ["order_id", "quantity", "price"]),
-    ("orders", ["user_id", "address_id", "subtotal", "total"]),
-    ("products", ["name", "price", "stock"]),
-    ("requests", ["request_master_id", "product_name", "request_status_id"]),
+    ("addresses", ["address_id", "user_id", "address_line", "city", "country"]),
+    ("approvals", ["approval_id", "request_id", "approved_by", "approved_price"]),
+    ("datalog", ["log_id", "order_id"]),
+    ("order_history", ["history_id", "order_id"]),
+    ("order_items", ["order_item_id", "order_id", "quantity", "price"]),
+    ("order_status", ["order_status_id", "status_name"]),
+    ("orders", ["order_id", "user_id", "address_id", "subtotal", "total"]),
+    ("products", ["product_id", "name", "price", "stock"]),
+    ("request_masters", ["request_master_id", "user_id", "request_status_id"]),
+    ("request_status", ["request_status_id", "status_name"]),
+    ("requests", ["request_id", "request_master_id", "product_name", "request_status_id"]),
+    ("social_users", ["id", "user_id", "social_id", "social_type"]),
+    ("users", ["user_id"]),
 ]
 
 
@@ -83,10 +104,24 @@ def missing(table: DataFrame, columns: list[str], place: str) -> DataFrame:
     )
 
 
+def _has(tables: dict[str, DataFrame], name: str, *columns: str) -> bool:
+    return name in tables and all(c in tables[name].columns for c in columns)
+
+
+def unchecked(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """(rule, place) of the rules that ``violations`` cannot check, since a table or column is not at hand."""
+    rules = [("foreign key", f"{c}.{k}", (c, k), (p, q)) for c, k, p, q in FOREIGN_KEYS]
+    rules += [("unique", f"{t}.{'+'.join(cols)}", (t, *cols)) for t, cols in UNIQUE_KEYS]
+    rules += [("domain", f"{t}.{c}", (t, c)) for t, c, _ in DOMAINS]
+    rules += [("not null", f"{t}.{c}", (t, c)) for t, cols in REQUIRED for c in cols]
+    return [(rule, place) for rule, place, *needs in rules if not all(_has(tables, *n) for n in needs)]
+
+
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """(rule, place, value, n_rows) over every rule whose tables and columns are at hand."""
+    """(rule, place, value, n_rows) over every rule whose tables and columns are at hand; ``unchecked`` names the others."""
+
     def has(name, *columns):
-        return name in tables and all(c in tables[name].columns for c in columns)
+        return _has(tables, name, *columns)
 
     found = [
         orphans(tables[child], column, tables[parent], key, f"{child}.{column}")
@@ -95,5 +130,6 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     ]
     found += [duplicates(tables[t], cols, f"{t}.{'+'.join(cols)}") for t, cols in UNIQUE_KEYS if has(t, *cols)]
     found += [outside(tables[t], c, allowed, f"{t}.{c}") for t, c, allowed in DOMAINS if has(t, c)]
-    found += [missing(tables[t], cols, t) for t, cols in REQUIRED if has(t, *cols)]
+    present = [(t, [c for c in cols if has(t, c)]) for t, cols in REQUIRED]
+    found += [missing(tables[t], cols, t) for t, cols in present if cols]
     return reduce(DataFrame.unionByName, found)

@@ -11,7 +11,7 @@ from storelytics.operators import intake as I
 from storelytics.operators import outbox as B
 from storelytics.operators import upserts as U
 from storelytics.operators.orders import with_subtotal
-from storelytics.operators.quality import violations
+from storelytics.operators.quality import unchecked, violations
 from storelytics.plans.report_queries import with_tables
 from storelytics.schemas import request_status
 from storelytics.session import cut
@@ -93,6 +93,19 @@ def _audit(t):
     )
 
 
+def _full_audit(t):
+    """Every rule, and a row for each rule that could not be checked."""
+    tables = {
+        "users": t.audit_users, "orders": t.audit_orders, "requests": t.audit_requests, "addresses": t.audit_addresses,
+        "order_history": t.audit_history, "order_status": t.order_status, "request_status": request_status(t.spark),
+        "order_items": t.audit_items, "products": t.audit_products, "social_users": t.audit_links,
+        "request_masters": t.audit_masters, "approvals": t.audit_approvals, "datalog": t.audit_log,
+    }
+    found = violations(tables)
+    rows = [("unchecked " + rule, place, None, 0) for rule, place in unchecked(tables)]
+    return found.unionByName(t.spark.createDataFrame(rows, found.schema)) if rows else found
+
+
 USER_STATE = ["user_id", "name", "email", "role", "size_preferences", "created_at", "delete_status"]
 
 QUERIES = {
@@ -159,6 +172,7 @@ QUERIES = {
         t.orders.select("order_id", "user_id", "created_at"), "row_id", ["created_at", "order_id"], highest(t.orders, "order_id")
     ),
     "m21_violations": _audit,
+    "m21_full_audit": _full_audit,
     "m22_item_subtotal": lambda t: with_subtotal(t.order_items),
 }
 
@@ -226,6 +240,49 @@ def _changed(alias: str, status: str, code: str, at: str) -> str:
 _REFUSED = """SELECT request_master_id FROM t_decision_rows
             WHERE request_id IS NULL OR status IS NULL OR status NOT IN ('Approved', 'Rejected')"""
 
+
+
+def _audit_sql() -> str:
+    """The audit's rules as the tables' definition states them, and the two rules no table at hand can be held to."""
+    t = {
+        "users": "t_audit_users", "orders": "t_audit_orders", "requests": "t_audit_requests", "addresses": "t_audit_addresses",
+        "order_history": "t_audit_history", "order_items": "t_audit_items", "products": "t_audit_products", "datalog": "t_audit_log",
+        "social_users": "t_audit_links", "request_masters": "t_audit_masters", "approvals": "t_audit_approvals", "order_status": "t_order_status",
+    }
+    out = []
+    foreign = """addresses.user_id users.user_id, datalog.order_id orders.order_id, order_history.order_id orders.order_id,
+        order_history.order_status_id order_status.order_status_id, order_items.order_id orders.order_id,
+        order_items.product_id products.product_id, order_items.product_request_id requests.request_id, orders.user_id users.user_id,
+        orders.address_id addresses.address_id, orders.order_status_id order_status.order_status_id, social_users.user_id users.user_id"""
+    for pair in foreign.split(","):
+        (child, column), (parent, key) = (x.split(".") for x in pair.split())
+        out.append(f"""SELECT 'foreign key' AS rule, '{child}.{column}' AS place, CAST({column} AS VARCHAR) AS value, count(*) AS n_rows
+            FROM {t[child]} WHERE {column} NOT IN (SELECT {key} FROM {t[parent]} WHERE {key} IS NOT NULL) GROUP BY {column}""")
+    for child in ("request_masters", "requests"):
+        out.append(f"""SELECT 'foreign key', '{child}.request_status_id', CAST(request_status_id AS VARCHAR), count(*) FROM {t[child]}
+            WHERE request_status_id NOT IN (1, 2, 3, 4) GROUP BY request_status_id""")
+    unique = """addresses.address_id approvals.approval_id datalog.log_id order_history.history_id order_items.order_item_id orders.order_id
+        products.product_id request_masters.request_master_id requests.request_id social_users.id users.user_id users.email"""
+    for place in unique.split():
+        table, column = place.split(".")
+        value = f"lower(CAST({column} AS VARCHAR))"
+        out.append(f"""SELECT 'unique', '{place}', {value}, count(*) FROM {t[table]} WHERE {column} IS NOT NULL
+            GROUP BY {value} HAVING count(*) > 1""")
+    out.append("""SELECT 'unique', 'social_users.social_id+social_type', lower(social_id) || '|' || lower(social_type), count(*) FROM t_audit_links
+        WHERE social_id IS NOT NULL AND social_type IS NOT NULL GROUP BY lower(social_id), lower(social_type) HAVING count(*) > 1""")
+    states = "'Pending', 'Approved', 'Rejected', 'Completed'"
+    for place, allowed in (("request_masters.status", states), ("requests.status", states), ("users.role", "'customer', 'admin'")):
+        table, column = place.split(".")
+        out.append(f"SELECT 'domain', '{place}', {column}, count(*) FROM {t[table]} WHERE {column} NOT IN ({allowed}) GROUP BY {column}")
+    filled = """addresses.city approvals.request_id datalog.order_id order_items.quantity orders.address_id products.name products.stock
+        request_masters.user_id requests.product_name social_users.social_id"""
+    for place in filled.split():
+        table, column = place.split(".")
+        out.append(f"SELECT 'not null', '{place}', NULL, count(*) FROM {t[table]} WHERE {column} IS NULL HAVING count(*) > 0")
+    out.append("SELECT 'unchecked unique', 'users.social_id+social_type', NULL, CAST(0 AS BIGINT)")
+    return " UNION ALL ".join(out)
+
+
 ORACLE = {
     "m01_ingest_items": _over(
         "new_items",
@@ -510,6 +567,11 @@ ORACLE = {
         UNION ALL SELECT 'not null', 'requests.product_name', NULL, count(*) FROM t_audit_requests
         WHERE product_name IS NULL HAVING count(*) > 0""",
     ),
+    "m21_full_audit": with_tables(
+        "audit_users audit_orders audit_requests audit_items audit_products audit_links audit_masters audit_approvals audit_log "
+        "audit_history audit_addresses order_status",
+        _audit_sql(),
+    ),
     "m22_item_subtotal": with_tables(
         "order_items", "SELECT *, CAST(quantity * price AS DECIMAL(20,2)) AS subtotal FROM t_order_items"
     ),

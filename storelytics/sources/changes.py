@@ -93,7 +93,43 @@ CHANGES: dict[str, str] = {
                p_brand || '!' AS description, CAST(p_retailprice + 1 AS DECIMAL(12,2)) AS price, p_size + 1 AS stock,
                p_type AS category
         FROM {part}""",
-    # Tables with one kind of broken rule each, for the audit.
+    # Tables with broken rules of every kind, for the audit.
+    "audit_items": """
+        SELECT l_orderkey * 8 + l_linenumber AS order_item_id, CASE WHEN l_orderkey % 400 = 9 THEN -l_orderkey ELSE l_orderkey END AS order_id,
+               CASE WHEN l_partkey % 300 = 1 THEN l_partkey + 9000000 ELSE l_partkey END AS product_id,
+               CASE WHEN l_linenumber = 1 THEN l_orderkey WHEN l_linenumber = 2 AND l_orderkey % 90 = 4 THEN -1 END AS product_request_id,
+               CASE WHEN l_orderkey % 77 <> 0 THEN CAST(l_quantity AS INT) END AS quantity, l_extendedprice AS price
+        FROM {lineitem}""",
+    "audit_products": """
+        SELECT CASE WHEN p_partkey % 500 = 3 THEN p_partkey + 1 ELSE p_partkey END AS product_id,
+               CASE WHEN p_partkey % 97 <> 0 THEN p_name END AS name, p_retailprice AS price,
+               CASE WHEN p_partkey % 89 <> 0 THEN p_size END AS stock
+        FROM {part}""",
+    "audit_links": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 45 = 0 THEN -5 ELSE c_custkey END AS user_id, 'google' AS social_type,
+               CASE WHEN c_custkey % 40 = 0 THEN 'Twice' WHEN c_custkey % 33 <> 0 THEN 's' || CAST(c_custkey AS STRING) END AS social_id
+        FROM {customer}""",
+    "audit_masters": """
+        SELECT c_custkey AS request_master_id, CASE WHEN c_custkey % 55 <> 0 THEN c_custkey END AS user_id,
+               CASE WHEN c_custkey % 70 = 0 THEN 9 ELSE 1 END AS request_status_id,
+               CASE WHEN c_custkey % 60 = 0 THEN 'Odd' ELSE 'Pending' END AS status
+        FROM {customer}""",
+    "audit_approvals": """
+        SELECT l_orderkey AS approval_id, CASE WHEN l_orderkey % 333 <> 0 THEN l_orderkey END AS request_id,
+               CAST(1 AS BIGINT) AS approved_by, l_extendedprice AS approved_price
+        FROM {lineitem} WHERE l_linenumber = 1""",
+    "audit_log": """
+        SELECT CASE WHEN event_id % 200 = 1 THEN event_id + 1 ELSE event_id END AS log_id,
+               CASE WHEN event_id % 50 = 0 THEN -1 WHEN event_id % 51 <> 0 THEN user_id END AS order_id
+        FROM {events}""",
+    "audit_history": """
+        SELECT event_id AS history_id, user_id AS order_id, CASE WHEN event_id % 66 = 0 THEN 12 ELSE 1 END AS order_status_id
+        FROM {events}""",
+    "audit_addresses": """
+        SELECT c_custkey AS address_id, CASE WHEN c_custkey % 65 = 0 THEN -2 ELSE c_custkey END AS user_id, c_name AS address_line,
+               CASE WHEN c_custkey % 75 <> 0 THEN 'Town' END AS city, 'EUROPE' AS country
+        FROM {customer}""",
+    # Tables with one kind of broken rule each, for the first audit.
     "audit_users": """
         SELECT c_custkey AS user_id, c_name AS name,
                CASE WHEN c_custkey % 50 = 0 THEN CASE WHEN c_custkey % 100 = 0 THEN 'TWICE@example.com' ELSE 'twice@example.com' END
