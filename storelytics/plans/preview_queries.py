@@ -61,6 +61,7 @@ QUERIES = {
     "p19_resource_class": lambda t: J.classify_resources(t.resources),
     "p19_retailer_resource_class": lambda t: J.classify_retailer_resources(t.resources),
     "p20_drop_noise": lambda t: J.drop_noise(t.log_lines, LOG_PHRASES),
+    "p20_default_phrases": lambda t: J.drop_noise(t.noisy_lines),
     "p21_refresh_due": lambda t: refresh_due(t.url_requests),
     "p22_mail_provider": lambda t: J.mail_provider(t.mail_rows)[0],
     "p22_mail_rejects": lambda t: J.mail_provider(t.mail_rows)[1],
@@ -200,6 +201,7 @@ ORACLE = {
         + " OR ".join(f"contains(lower(text), '{p.lower()}')" for p in LOG_PHRASES)
         + ")",
     ),
+    "p20_default_phrases": with_tables("noisy_lines", "SELECT log_id, text FROM t_noisy_lines WHERE log_id % 18 > 10"),
     "p21_refresh_due": with_tables(
         "url_requests",
         """, kept AS (SELECT url, min("at") AS "at" FROM t_url_requests GROUP BY url
