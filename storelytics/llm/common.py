@@ -14,12 +14,12 @@ from storelytics import session
 SPACE_WORDS = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Drops a query's shuffle files when it has ended instead of when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 CONF = {
     # Texts are wide; bound what one Arrow batch holds by bytes.
     "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
-    # Shuffle files of a finished query are dropped at once instead of when the driver collects its garbage.
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
@@ -35,13 +35,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so lost executors cost no more than their own tasks."""
-    return session.cut(df)
-
-
-def parts(df: DataFrame) -> int:
-    """Shuffle partitions of the session, for the few places that must name a number."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Write ``df`` to the shared folder and read it back, so lost executors cost no more than their own tasks.
+
+    What was shuffled on the way is not needed again and is dropped with the end of the write.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return session.cut(df)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
 def ascii_lower(text) -> Column:
