@@ -2,7 +2,7 @@
 
 Each batch goes through the same job as a table would, starting from what earlier batches kept. That state is
 a table too: one row per URL kept within the last two waiting times, written per batch number, so a batch run again
-starts from the same state and replaces its own output.
+starts from the same state and replaces its own output. Only the last two states are kept.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelytics.operators.refresh import TTL_HOURS, refresh_due
-from storelytics.streaming.replay import batch_path, batch_writer, prepare, run_batches, written
+from storelytics.streaming.replay import batch_path, batch_writer, drop_batch, prepare, run_batches, written
 
 KEPT = "url string, at timestamp_ntz"
 STATE = "url string, next_at timestamp_ntz"
@@ -35,6 +35,7 @@ def refresh_due_stream(
         newest = known.agg((F.max("next_at") - wait).alias("newest"))
         latest = known.groupBy("url").agg(F.max("next_at").alias("next_at"))
         batch_writer(state_table)(latest.filter(F.col("next_at") + wait > newest.scalar()), number)
+        drop_batch(session, state_table, number - 2)
 
     run_batches(requests, checkpoint, step)
     return written(spark, kept_table, KEPT).drop("batch")

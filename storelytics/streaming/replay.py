@@ -25,6 +25,12 @@ def prepare(spark: SparkSession, table: str, schema: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_path(table, -1))
 
 
+def drop_batch(spark: SparkSession, table: str, number: int) -> None:
+    """Remove a batch nothing will read again; one that is not there is no matter."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(batch_path(table, number))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(spark: SparkSession, table: str, schema: str) -> DataFrame:
     """All batches of the table, with the number of each in ``batch``."""
     return spark.read.schema(f"{schema}, batch long").parquet(table)

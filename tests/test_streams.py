@@ -45,6 +45,16 @@ def test_refresh(replay, tables):
     assert same(refresh_due(tables.url_requests), replay("url_requests", refresh_due_stream))
 
 
+def test_refresh_keeps_two_states(tables, tmp_path):
+    events = tables.raw("events").toPandas().sort_values("ts")
+    (tmp_path / "in").mkdir()
+    for i in range(4):
+        events.iloc[i * 250:(i + 1) * 250].to_parquet(tmp_path / f"in/part-{i}.parquet", coerce_timestamps="us")
+    stream = parquet_stream(tables.spark, str(tmp_path / "in"), tables.raw("events").schema, files_per_batch=1)
+    refresh_due_stream(tables.spark, tables.sql(BINDINGS["url_requests"], events=stream), f"{tmp_path}/out/t", f"{tmp_path}/out/p")
+    assert sorted(f for f in os.listdir(f"{tmp_path}/out/t/state") if f.startswith("batch")) == ["batch=2", "batch=3"]
+
+
 def test_outbox(replay, tables):
     assert same(status_outbox(tables.status_changes), replay("status_changes", outbox_stream))
 
