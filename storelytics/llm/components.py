@@ -11,8 +11,8 @@ from storelytics.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b) but the roots; the root is the least node of its component.
 
-    Each step is an aggregate per node, combined before the shuffle, and a join that adaptive execution may
-    split, so a node with a third of all edges costs no task its whole neighbourhood. The number of rounds grows
+    Each step is an aggregate per node, combined before the shuffle and written, and a join of written tables, which
+    adaptive execution may split: a node with a third of all edges costs no task its whole neighbourhood. The number of rounds grows
     with the logarithm of the longest chain. Null ends are no edges; loops and repeated edges change nothing.
     """
     ends = edges.filter("a is not null and b is not null and a <> b")
@@ -20,9 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _mark(state)
     while seen[0]:
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut(moved.unionByName(low.withColumnRenamed("m", "v")).distinct())
         now = _mark(state)

@@ -177,7 +177,7 @@ def _local_roots(forest: Forest, radius: int) -> np.ndarray:
     """The least row each row is connected to inside its tree. Queries go in blocks, so the frontier stays small."""
     label = np.arange(len(forest.roots))
     sizes = np.bincount(forest.roots, minlength=len(label))[forest.roots]
-    block = np.cumsum(sizes) // 2_000_000
+    block = np.cumsum(sizes) // 400_000
     queries = np.flatnonzero(sizes > 1)
     for part in np.split(queries, np.flatnonzero(np.diff(block[queries])) + 1):
         for a, b in forest.links(part, radius):
