@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from storelytics import session
 from storelytics.llm.common import cut, memo
 
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 CHUNK_TOKENS = 1_000_000
 SCORE_TOKENS = 250_000
 # Words hold no white space, so these marks are no word's hash.
@@ -105,12 +105,12 @@ _BLOCK = "kind string, shard int, keys binary, counts binary"
 
 
 def _blocks(kind: str, keys: np.ndarray, values: np.ndarray, shard: np.ndarray) -> pa.RecordBatch:
-    """One row per shard: its sorted keys and their counts."""
+    """One row per shard: its sorted keys and their counts, column by column, which packs well."""
     order = np.argsort(shard, kind="stable")
     keys, values, shard = keys[order], values[order], shard[order]
     at = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
     ends = [*at[1:].tolist(), len(shard)]
-    rows = [(kind, int(shard[a]), keys[a:b].tobytes(), values[a:b].tobytes()) for a, b in zip(at.tolist(), ends)]
+    rows = [(kind, int(shard[a]), keys[a:b].T.tobytes(), values[a:b].T.tobytes()) for a, b in zip(at.tolist(), ends)]
     kinds = [pa.string(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["kind", "shard", "keys", "counts"])
 
@@ -123,8 +123,8 @@ def _merge(blocks: DataFrame, widths: dict[str, tuple[int, int]], done, schema:
 
     def fold(kind, held):
         k, v = widths[kind]
-        keys = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, k) for x, _ in held])
-        counts = np.concatenate([np.frombuffer(y, np.int64).reshape(-1, v) for _, y in held])
+        keys = np.concatenate([np.frombuffer(x, np.uint64).reshape(k, -1).T for x, _ in held])
+        counts = np.concatenate([np.frombuffer(y, np.int64).reshape(v, -1).T for _, y in held])
         return _summed(keys, counts)
 
     def scan(batches):
@@ -137,9 +137,8 @@ def _merge(blocks: DataFrame, widths: dict[str, tuple[int, int]], done, schema:
                 now = (kind, shard)
                 held.append((keys, counts))
                 size += len(keys)
-                if size > 64 << 20:
-                    merged = fold(kind, held)
-                    held, size = [tuple(x.tobytes() for x in merged)], 0
+                if size > 16 << 20:
+                    held, size = [tuple(x.T.tobytes() for x in fold(kind, held))], 0
         if held:
             yield from done(*now, *fold(now[0], held))
 
@@ -147,14 +146,15 @@ def _merge(blocks: DataFrame, widths: dict[str, tuple[int, int]], done, schema:
 
 
 def _put(folder: str, name: str, keys: np.ndarray, columns: np.ndarray) -> None:
-    """One array file: the number of keys, the keys, the columns one after the other. Written aside, then renamed."""
+    """One array file: three numbers, the keys, then the columns in the narrowest integers that hold them. Written aside, then renamed."""
     where, path = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
     where.create_dir(path, recursive=True)
     aside = f"{path}/.{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    packed = np.ascontiguousarray(columns.T).astype(np.min_scalar_type(int(columns.max(initial=0))))
     with where.open_output_stream(aside) as out:
-        out.write(np.array([len(keys), columns.shape[1] if columns.ndim > 1 else 1], np.int64).tobytes())
+        out.write(np.array([len(keys), columns.shape[1] if columns.ndim > 1 else 1, packed.itemsize], np.int64).tobytes())
         out.write(keys.tobytes())
-        out.write(np.ascontiguousarray(columns.T).tobytes())
+        out.write(packed.tobytes())
     where.move(aside, f"{path}/{name}")
 
 
@@ -164,16 +164,16 @@ def _mapped(folder: str, name: str) -> tuple[np.ndarray, np.ndarray]:
     if where.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
         return np.empty(0, np.uint64), np.empty((0, 0), np.int64)
     if isinstance(where, fs.LocalFileSystem):
-        raw = np.memmap(f"{path}/{name}", np.int64, "r")
+        raw = np.memmap(f"{path}/{name}", np.uint8, "r")
     else:
         with tempfile.NamedTemporaryFile() as local:
             with where.open_input_stream(f"{path}/{name}") as source:
                 while block := source.read(8 << 20):
                     local.write(block)
             local.flush()
-            raw = np.memmap(local.name, np.int64, "r")
-    n, width = int(raw[0]), int(raw[1])
-    return raw[2 : 2 + n].view(np.uint64), raw[2 + n :].reshape(width, n)
+            raw = np.memmap(local.name, np.uint8, "r")
+    n, width, size = raw[:24].view(np.int64).tolist()
+    return raw[24 : 24 + 8 * n].view(np.uint64), raw[24 + 8 * n :].view(f"u{size}").reshape(width, n)
 
 
 @dataclass(frozen=True)
