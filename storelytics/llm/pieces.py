@@ -33,7 +33,7 @@ from storelytics.llm.common import memo
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-WORDS_KEPT = 300_000
+WORDS_KEPT = 250_000
 PAIRS_KEPT = 400_000
 
 
@@ -225,8 +225,7 @@ def encode(docs: DataFrame, file: str, checked: bool = False) -> DataFrame:
             added = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))]
             if checked:
                 marks = np.concatenate(([0], np.cumsum(is_byte[flat])))
-                ids = flat.tolist()
-                back = [model.decode(ids[a:b]) == (t or "").replace(MARK, " ") for t, a, b in zip(texts, at.tolist(), at[1:].tolist())]
+                back = [model.decode(flat[a:b].tolist()) == (t or "").replace(MARK, " ") for t, a, b in zip(texts, at.tolist(), at[1:].tolist())]
                 added += [pa.array(marks[at[1:]] - marks[at[:-1]]), pa.array(back)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
