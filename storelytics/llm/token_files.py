@@ -28,7 +28,7 @@ from pyspark.sql import Window
 from storelytics import session
 from storelytics.llm.common import cut, memo
 
-WORDS_KEPT = 250_000
+WORDS_KEPT = 400_000
 
 
 # Printable ASCII without what contractions and special tokens start with.
