@@ -10,6 +10,11 @@ follows only the edges within the radius of its own distance. Shards come from o
 * ``anchors`` (similarity): bands of least shingle hashes. Texts of Jaccard similarity s share a band with probability
   1 - (1 - s^4)^12, which is over 0.998 from 0.8 on.
 
+By similarity the trees give candidates only: their radius is the distance expected at that similarity and ``SPREAD`` standard deviations
+more. Inside each component of candidates the sets of shingles (distinct 64-bit hashes) are then compared in full, and only texts whose
+Jaccard similarity is reached are linked. A component of over ``SET_NODES`` sets or ``SET_BYTES`` of hashes is dealt into
+chunks, each two of which meet in one task.
+
 The shard trees go to their queries by a shuffle on the shard, not through the driver: together they hold all
 fingerprints. A shard of over ``SHARD_NODES`` nodes is dealt into chunks, with one tree for each two of them, so no task
 holds more than a bounded tree. Each tree returns a star per local component, not its pairs; the stars are joined up by
@@ -37,6 +42,9 @@ from storelytics.llm.components import components
 SEED = 42
 SHARD_NODES = 4096
 BANDS, BAND_ROWS = 12, 4
+SPREAD = 4
+SET_NODES, SET_BYTES = 2048, 16_000_000
+GROUP = ["key", "i", "j"]
 _CHUNK = 16384
 
 
@@ -99,6 +107,7 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
 def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataFrame:
     """(place, fp, keys): fingerprints of 64 x ``lanes`` bits and, if asked for, the band keys.
 
+    With band keys a fingerprint is followed by 128 bits that tell its set of shingles from others of equal fingerprint.
     ``place`` orders the rows: by doc_id, null ones last, then by their place in ``docs``.
     """
 
@@ -107,7 +116,7 @@ def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataF
             prints, keys = [], []
             for text in batch.column("text"):
                 hashes = _shingle_hashes(text.as_py(), words)
-                prints.append(_bits(hashes, lanes))
+                prints.append(_bits(hashes, lanes) + (xxhash.xxh128_digest(np.unique(hashes).tobytes()) if banded else b""))
                 keys.append(_bands(hashes) if banded else None)
             columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "keys"])
@@ -201,7 +210,7 @@ def _stars(shards: DataFrame, group: list[str], lanes: int, radius: int) -> Data
         for c in columns:
             change[1:] |= c[1:] != c[:-1]
         roots = np.maximum.accumulate(np.where(change, np.arange(len(prints)), 0))
-        words = np.frombuffer(b"".join(prints), np.uint64).reshape(-1, lanes)
+        words = np.ascontiguousarray(np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)[:, :lanes])
         label = _local_roots(Forest(words, roots), radius)
         moved = np.flatnonzero(label != np.arange(len(label)))
         ends = [pa.array([prints[i] for i in rows.tolist()], pa.binary()) for rows in (moved, label[moved])]
@@ -232,15 +241,79 @@ def links(shards: DataFrame, lanes: int, radius: int, shard_nodes: int = SHARD_N
         shards.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > shard_nodes)
         .select("key", F.ceil(F.col("n") / shard_nodes).cast("int").alias("chunks"))
     )
+    return _stars(_dealt(shards, heavy), GROUP, lanes, radius)
+
+
+def _dealt(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """``rows`` (key, fp, ...) by key, sorted; those of a key in ``heavy`` (key, chunks) once for each two chunks (i, j)."""
     chunk = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), F.col("chunks"))).cast("int")
     dealt = (
-        shards.join(heavy, "key", "left")
+        rows.join(heavy, "key", "left")
         .withColumn("_mine", chunk)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)))
-        .select("key", F.least("_mine", "_other").alias("i"), F.greatest("_mine", "_other").alias("j"), "fp")
+        .withColumns({"i": F.least("_mine", "_other"), "j": F.greatest("_mine", "_other")})
+        .select(*GROUP, *[c for c in rows.columns if c != "key"])
     )
-    group = ["key", "i", "j"]
-    return _stars(dealt.repartition(*group).sortWithinPartitions(*group, "fp"), group, lanes, radius)
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP, "fp")
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """The least row each set is connected to by sets of ``similarity`` or more; each set is ascending without repeats."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    if len(sets) == 2:
+        both = len(np.intersect1d(*sets, assume_unique=True))
+        return label * (both / max(1, sizes.sum() - both) < similarity)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    holders = np.repeat(label, sizes)[np.argsort(codes, kind="stable")]
+    upto = np.cumsum(np.bincount(codes))
+    for row, mine in enumerate(np.split(codes, np.cumsum(sizes)[:-1])):
+        if not label.any():
+            break
+        n = upto[mine] - np.where(mine, upto[mine - 1], 0)
+        both = np.bincount(holders[np.repeat(upto[mine] - np.cumsum(n), n) + np.arange(n.sum())], minlength=len(sets))
+        found = np.unique(label[(both / np.maximum(1, sizes + sizes[row] - both) >= similarity) | (label == label[row])])
+        if len(found) > 1:
+            label[np.isin(label, found)] = found[0]
+    return label
+
+
+def _verified(docs: DataFrame, prints: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): stars of the texts of ``similarity`` or more inside each component of ``candidates`` (a, b)."""
+
+    def hashed(batches):
+        for batch in batches:
+            sets = [np.unique(_shingle_hashes(x.as_py(), words)).tobytes() for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("fp"), pa.array(sets, pa.binary())], ["key", "fp", "hashes"])
+
+    def solve(held):
+        label = _alike([np.frombuffer(x, np.uint64) for _, x in held], similarity)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        ends = [pa.array([held[i][0] for i in rows.tolist()], pa.binary()) for rows in (moved, label[moved])]
+        return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    def compared(batches):
+        last, held = None, []
+        for batch in batches:
+            for *group, fp, hashes in zip(*[x.to_pylist() for x in batch.columns]):
+                if group != last:
+                    if len(held) > 1:
+                        yield solve(held)
+                    last, held = group, []
+                held.append((fp, hashes))
+        if len(held) > 1:
+            yield solve(held)
+
+    found = cut(components(cut(candidates.distinct())))
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    first = prints.groupBy("fp").agg(F.min("place.row").alias("row"))
+    rows = cut(first.join(members.select(F.col("node").alias("fp"), F.col("root").alias("key")), "fp"))
+    # As for the copies: texts of candidates grow with the corpus, so the join is a shuffle at every size.
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(rows.hint("merge"), "row")
+    sets = cut(texts.select("key", "fp", "text").mapInArrow(hashed, "key binary, fp binary, hashes binary"))
+    chunks = F.ceil(F.greatest(F.count("*") / SET_NODES, F.sum(F.length("hashes")) / SET_BYTES)).cast("int")
+    heavy = cut(sets.groupBy("key").agg(chunks.alias("chunks")).filter("chunks > 1"))
+    return _dealt(sets, heavy).mapInArrow(compared, "a binary, b binary")
 
 
 def _classes(prints: DataFrame, stars: DataFrame) -> DataFrame:
@@ -270,15 +343,19 @@ def linked_fingerprints(docs: DataFrame, words: int = 3, radius: int = 2) -> Dat
 
 def _near(docs: DataFrame, words: int, similarity: float, lanes: int) -> DataFrame:
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * lanes
+    radius = math.ceil(bits * angle + SPREAD * math.sqrt(bits * angle * (1 - angle)))
     prints = cut(fingerprints(docs, words, lanes, True))
     shards = cut(prints.select(F.explode("keys").alias("key"), "fp").distinct())
-    return _classes(prints, links(shards, lanes, math.ceil(64 * lanes * angle)))
+    stars = _verified(docs, prints, links(shards, lanes, radius), words, similarity)
+    return _classes(prints, stars).withColumn("fp", F.substring("fp", 1, bits // 8))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for texts of about ``similarity`` (Jaccard, shingles of ``words`` words) or more.
+    """(doc_id, fingerprint, component_id) for texts of ``similarity`` (Jaccard, sets of shingles of ``words`` words) or more.
 
-    Sets of Jaccard similarity s have a cosine of 2s / (1 + s), whose angle is the expected share of differing bits.
+    Sets of Jaccard similarity s have a cosine of 2s / (1 + s), whose angle is the expected share of differing bits. ``docs`` must be
+    a table at rest.
     """
     return _components(_near(docs, words, similarity, lanes))
 

@@ -99,3 +99,41 @@ def test_near_copies_leave_one(docs):
     rows += [(900, None), (901, ""), (None, "lone text"), (None, rows[0][1]), (7, "one id"), (7, "two texts"), (7, "one id")]
     kept = [r.doc_id for r in simhash.keep_one(docs(*rows)).collect()]
     assert sorted(kept, key=str) == sorted([10 * n for n in range(6)] + [900, None, 7, 7], key=str)
+
+
+def shared(rng, n, words=300):
+    """Two texts of random words that have the first ``n`` in common."""
+    a, b = ([f"{rng.randrange(10**6)}" for _ in range(words)] for _ in range(2))
+    return " ".join(a), " ".join(a[:n] + b[n:])
+
+
+def test_links_at_the_similarity_and_not_below(docs):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        for side, n in ((0, 268), (1000, 265)):  # 264 of 328 and 261 of 331 shingles: 0.805 and 0.789
+            a, b = shared(rng, n)
+            rows += [(side + 2 * k, a), (side + 2 * k + 1, b)]
+    kept = {r.doc_id for r in simhash.keep_one(docs(*rows)).collect()}
+    assert kept == set(range(0, 120, 2)) | set(range(1000, 1120))
+
+
+def test_chunks_of_a_large_component_lose_nothing(docs, monkeypatch):
+    rng = random.Random(6)
+    base = [f"{rng.randrange(10**6)}" for _ in range(320)]
+    rows = [(i, " ".join(base[3 * i : 3 * i + 200])) for i in range(40)]  # each like its neighbours, the ends unlike
+    monkeypatch.setattr(simhash, "SET_NODES", 7)
+    assert {r.component_id for r in simhash.near_duplicates(docs(*rows)).collect()} == {0}
+
+
+def test_sets_against_brute_force():
+    rng = np.random.default_rng(7)
+    for n in [2] * 5 + [3, 9, 30] * 5:
+        sets = [np.flatnonzero(rng.random(40) < 0.75).astype(np.uint64) for _ in range(n)]
+        want = list(range(n))
+        for i in range(n):
+            for j in range(n):
+                a, b = set(sets[i].tolist()), set(sets[j].tolist())
+                if a | b and len(a & b) / len(a | b) >= 0.65:
+                    want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
+        assert simhash._alike(sets, 0.65).tolist() == want
