@@ -1,6 +1,7 @@
 """Near-duplicate documents by SimHash and BK-trees.
 
-Every text becomes a SimHash fingerprint: one bit per bit of its shingles' hashes, set if over half of them have it.
+Every text becomes a SimHash fingerprint: one bit per bit of its shingles' hashes, set if over half of them have it. By ``blocks``
+repeated shingles count as often as they occur, by ``anchors`` once.
 Equal fingerprints are one node from then on, so copies are never compared. Nodes are dealt to shards; the nodes of
 a shard form a BK-tree, whose children are keyed by their integer Hamming distance to the parent, and a query
 follows only the edges within the radius of its own distance. Shards come from one of two rules:
@@ -107,7 +108,8 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
 def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataFrame:
     """(place, fp, keys): fingerprints of 64 x ``lanes`` bits and, if asked for, the band keys.
 
-    With band keys a fingerprint is followed by 128 bits that tell its set of shingles from others of equal fingerprint.
+    With band keys each distinct shingle counts once, as in Jaccard similarity, and a fingerprint is followed by 128 bits that tell its
+    set of shingles from others of equal fingerprint. Without, repeats count.
     ``place`` orders the rows: by doc_id, null ones last, then by their place in ``docs``.
     """
 
@@ -116,7 +118,8 @@ def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataF
             prints, keys = [], []
             for text in batch.column("text"):
                 hashes = _shingle_hashes(text.as_py(), words)
-                prints.append(_bits(hashes, lanes) + (xxhash.xxh128_digest(np.unique(hashes).tobytes()) if banded else b""))
+                hashes = np.unique(hashes) if banded else hashes
+                prints.append(_bits(hashes, lanes) + (xxhash.xxh128_digest(hashes.tobytes()) if banded else b""))
                 keys.append(_bands(hashes) if banded else None)
             columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "keys"])

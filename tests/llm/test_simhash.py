@@ -137,3 +137,9 @@ def test_sets_against_brute_force():
                 if a | b and len(a & b) / len(a | b) >= 0.65:
                     want = [min(want[i], want[j]) if c in (want[i], want[j]) else c for c in want]
         assert simhash._alike(sets, 0.65).tolist() == want
+
+
+def test_a_tail_of_one_repeated_phrase_keeps_the_link(docs):
+    a, b = (shared(random.Random(n), 0)[0] for n in (8, 9))
+    rows = [(1, a), (2, a + " spam" * 2000), (3, b), (4, b + " buy it now" * 700), (5, "spam " * 2000)]
+    assert {r.doc_id for r in simhash.keep_one(docs(*rows)).collect()} == {1, 3, 5}
