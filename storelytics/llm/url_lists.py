@@ -2,7 +2,7 @@
 
 A list is a log: at some time a pattern is put on it with ``block`` or ``allow``, or taken off with ``remove``. An entry holds from
 its time until the next entry of its pattern: a validity interval. Patterns are hosts with all below them (``example.org``) or
-path prefixes of one host (``example.org/en/``). A capture is looked up under each of its patterns as of its fetch time; the
+path prefixes of one host (``example.org/en/``). Hosts are lower-cased, paths are taken as they are. A capture is looked up under each of its patterns as of its fetch time; the
 most specific pattern in force decides.
 
 The as-of join sorts entries and look-ups together by (pattern, time) over range partitions, so a host with a third
@@ -68,7 +68,9 @@ def _reach(rows: DataFrame, order: list[str], value: Column, ahead: bool) -> Dat
 def intervals(entries: DataFrame) -> DataFrame:
     """(pattern, status, since, until) from ``entries`` (pattern, status, at); the last of a pattern has no ``until``."""
     known = entries.filter("pattern IS NOT NULL AND at IS NOT NULL AND status IN ('block', 'allow', 'remove')")
-    rows = _sorted(known.select(F.lower("pattern").alias("pattern"), "at", "status").distinct(), ["pattern", "at", "status"])
+    # Hosts are alike in any case, paths are not.
+    pattern = F.concat(F.lower(F.substring_index("pattern", "/", 1)), F.expr("substr(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
+    rows = _sorted(known.select(pattern.alias("pattern"), "at", "status").distinct(), ["pattern", "at", "status"])
     ahead = _reach(rows, ["pattern", "at", "status"], F.struct("pattern", "at"), ahead=True)
     until = F.when(F.col("_reached.pattern") == F.col("pattern"), F.col("_reached.at"))
     return ahead.select("pattern", "status", F.col("at").alias("since"), until.alias("until")).filter("until IS NULL OR since < until")

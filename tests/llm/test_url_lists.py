@@ -73,6 +73,13 @@ def test_a_hot_pattern_over_many_partitions(spark):
     assert got == brute(captures, entries)
 
 
+def test_paths_keep_their_case(spark):
+    captures = [(1, "http://example.org/Ads/x", DAY(5), ""), (2, "http://EXAMPLE.org/ads/x", DAY(5), ""), (3, "http://b.org/New/Y/z", DAY(5), "")]
+    c, e = frames(spark, captures, [("Example.org/Ads/", "block", DAY(1)), ("B.org/New/Y/z", "block", DAY(1))])
+    got = {r.id: (r.pattern, r.blocked) for r in url_lists.judge(c, e).collect()}
+    assert got == {1: ("example.org/Ads/", True), 2: (None, False), 3: ("b.org/New/Y/z", True)}
+
+
 def test_the_plan_reads_no_html(spark):
     plan = queries.queries()["op2_url_filters"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().toString()
     assert "html" not in plan.split("== Physical Plan ==")[1]
