@@ -73,6 +73,11 @@ def test_tokens(steps):
     assert len(steps[5]) == len(steps[4]) and all(r.ids == lib.encode(r.text) for r in steps[5])
 
 
+def test_tokens_are_decoded(steps):
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert steps[5] and all(r.round_trip == (lib.decode(r.ids) == r.text.replace("\u2581", " ")) for r in steps[5])
+
+
 def test_run_is_the_stages_in_a_row(spark, steps):
     got = cp.run(spark, FOLDER).select("doc_id", "ids").collect()
     assert abs(len(got) - len(steps[5])) <= 3
