@@ -7,9 +7,9 @@ import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
-from storelytics import session  # noqa: E402
+from oracle import DATA  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
+from storelytics import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every registered query against its SQL in DuckDB."""
 
 import pytest
-from conftest import DATA
-from oracle import connect, differences
+from oracle import DATA, connect, differences
 
 from storelytics.plans import catalog
 

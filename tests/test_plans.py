@@ -1,7 +1,7 @@
 """The plans the jobs are meant to have."""
 
 import pytest
-from conftest import DATA
+from oracle import DATA
 
 from storelytics.plans import catalog
 
