@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ["dedup_queries", "quality_queries", "token_queries", "url_queries"]
+FAMILIES = ["corpus_queries", "dedup_queries", "quality_queries", "token_queries", "url_queries"]
 
 
 def _family(attribute: str) -> dict:
