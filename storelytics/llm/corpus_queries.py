@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelytics.llm import spelling
+from storelytics.llm import spelling, warc
 from storelytics.llm.common import table
 
 
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(table(spark, folder, "pages")).drop("url")
+
+
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.grouped(table(spark, folder, "documents"))
 
 
-QUERIES = {"op13_spelling_variants": op13_spelling_variants}
+QUERIES = {"op12_warc": op12_warc, "op13_spelling_variants": op13_spelling_variants}
 
 
 def crc32_sql(text: str) -> str:
@@ -50,4 +54,17 @@ chain AS (
 SELECT word, form, root, n, n_near, form_n FROM f JOIN chain USING (word)
 """
 
-ORACLE = {"op13_spelling_variants": OP13}
+OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS place FROM pages),
+l AS (
+    SELECT *, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+           first(place) OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, place DESC) AS kept_place,
+           first(page_id) OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST, place DESC) AS kept
+    FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND kept_place <> place THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND kept_place <> place THEN kept END AS refers_to
+FROM l
+"""
+
+ORACLE = {"op12_warc": OP12, "op13_spelling_variants": OP13}
