@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
 
     What was shuffled on the way is not needed again and is dropped with the end of the write.
     """
-    conf = df.sparkSession.conf
+    with dropped_shuffles(df.sparkSession):
+        return session.cut(df)
+
+
+@contextmanager
+def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run within drop their shuffle files when they end."""
+    conf = spark.conf
     before = conf.get(CLEANUP, None)
     conf.set(CLEANUP, "true")
     try:
-        return session.cut(df)
+        yield
     finally:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storelytics import session
-from storelytics.llm.common import cut
+from storelytics.llm.common import cut, dropped_shuffles
 
 LEAST = 1000
 FILE_BYTES = 32 << 20
@@ -82,7 +82,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE, fil
     size = decided.agg(F.sum(F.when(F.col("keeper").isNull(), F.col("bytes"))), F.count("*")).first()
     each = max(1, int(file_bytes // max(1, (size[0] or 0) / max(1, size[1]))))
     revisits = decided.filter("keeper IS NOT NULL")
-    whole = _place(pages).join(revisits.select("row"), "row", "left_anti")
+    # Dealt by row at every size, so the archives come out even and the plan does not turn on how many revisits there are.
+    whole = _place(pages).join(revisits.select("row").hint("merge"), "row", "left_anti")
     fields = ["row", "page_id", "url"]
     captures = whole.select(*fields, "html", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("keeper"))
     captures = captures.unionByName(revisits.select(*fields, F.lit(None).cast("string").alias("html"), "digest", "keeper"))
@@ -110,7 +111,8 @@ def write(pages: DataFrame, path: str, least: int = LEAST, date: str = DATE, fil
     metadata = _record("metadata", beside("metadata"), "application/warc-fields", known)
     first = F.when(F.col("keeper").isNull(), response).otherwise(revisit)
     rows = captures.select(F.explode(F.array(first, request, metadata)).alias("value"))
-    rows.write.options(lineSep=END * 2, compression="gzip", maxRecordsPerFile=3 * each).text(path)
+    with dropped_shuffles(pages.sparkSession):
+        rows.write.options(lineSep=END * 2, compression="gzip", maxRecordsPerFile=3 * each).text(path)
 
 
 RECORD = (
@@ -241,5 +243,8 @@ def archived(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """Write the archives to the shared folder, read them back and give their captures."""
     path = session.scratch_path(pages.sparkSession, "archive")
     write(pages, path, least)
+    # Parsed once: what the joins below need of each record, without the pages.
+    small = F.when(F.col("kind") != "response", F.col("payload"))
     found = records(pages.sparkSession, path)
-    return captured(cut(assemble(found).drop("payload")))
+    found = cut(found.withColumn("payload", small))
+    return captured(assemble(found))
