@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from storelytics.llm import spelling, warc
+from storelytics.llm import prefix_trie, spelling, warc
 from storelytics.llm.common import table
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, folder, "conversations")))
+
+
 def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(table(spark, folder, "pages")).drop("url")
 
@@ -16,7 +20,9 @@ def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.grouped(table(spark, folder, "documents"))
 
 
-QUERIES = {"op12_warc": op12_warc, "op13_spelling_variants": op13_spelling_variants}
+QUERIES = {
+    "op11_conversation_prefix_trie": op11_conversation_prefix_trie, "op12_warc": op12_warc, "op13_spelling_variants": op13_spelling_variants,
+}
 
 
 def crc32_sql(text: str) -> str:
@@ -54,6 +60,37 @@ chain AS (
 SELECT word, form, root, n, n_near, form_n FROM f JOIN chain USING (word)
 """
 
+OP11 = rf"""
+WITH t AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+    SELECT c.conv_id, 0 AS own, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i <= h
+    UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND i > h),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, i) AS depth FROM r),
+-- A prefix is the list of its turns itself.
+p AS (SELECT conv_id, depth, text, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM d),
+m AS (
+    SELECT conv_id, depth, path, text FROM p
+    UNION ALL SELECT conv_id, 0, [], '' FROM c),
+l AS (SELECT conv_id, max(depth) AS turns FROM m GROUP BY conv_id),
+n AS (
+    SELECT min(conv_id) AS conv_id, depth, path, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = turns), '')) AS ends_sha256
+    FROM m JOIN l USING (conv_id) GROUP BY depth, path),
+k AS (
+    SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.path[:n.depth] = n.path) AS n_children
+    FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND u.path = n.path[:n.depth - 1]),
+up AS (
+    SELECT path[:a.depth] AS path, a.depth, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves,
+           CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+    FROM (SELECT *, unnest(range(k.depth + 1)) AS above FROM k) s JOIN (SELECT DISTINCT depth FROM k) a ON a.depth = above GROUP BY 1, 2)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+FROM k JOIN up USING (path, depth)
+"""
+
 OP12 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, row_number() OVER () AS place FROM pages),
 l AS (
@@ -67,4 +104,4 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM l
 """
 
-ORACLE = {"op12_warc": OP12, "op13_spelling_variants": OP13}
+ORACLE = {"op11_conversation_prefix_trie": OP11, "op12_warc": OP12, "op13_spelling_variants": OP13}
