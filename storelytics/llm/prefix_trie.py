@@ -32,7 +32,7 @@ from pyspark.sql import Window
 from storelytics.functions.ids import dense_ids
 from storelytics.llm.common import SPACE_WORDS, cut
 
-SHARD, GROWTH, QUEUED, CHUNK = 1 << 14, 4, 1 << 16, 4096
+SHARD, GROWTH, QUEUED, CHUNK = 1 << 10, 4, 1 << 16, 4096
 NOTHING = hashlib.sha256(b"").hexdigest()
 _BEFORE = Window.unboundedPreceding, -1
 
