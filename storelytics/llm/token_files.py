@@ -5,8 +5,10 @@ streams with run-length encoding; stripes are read side by side, row indexes and
 stripes and row groups from the footers alone. Each row carries its place: the file's number in the high bits, its row
 in the low 33.
 
-Encoding keeps a bounded memory of words per Python worker: white space always parts tokens in the word tokenizers this
-serves (``encode`` checks that white space itself gives no token), so the ids of a text are those of its words in a row.
+White space always parts tokens in the word tokenizers this serves (``encode`` checks that white space itself gives no token), so the ids
+of a text are those of its words in a row. Words are split and told apart by Arrow, batch by batch; each distinct word a worker does
+not remember is encoded once, and the ids are put together by offsets. The memory is bounded by bytes, so a word of any length
+and a corpus of any vocabulary fit; texts of any length pass whole. The number of ranges grows with the input, files do not.
 
 Null and empty texts hold only the end id. Null ids come first; repeated ids are ordered by a hash of their text. Other
 columns are left out. An empty table gives files without rows.
@@ -14,13 +16,14 @@ columns are left out. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -28,62 +31,89 @@ from pyspark.sql import Window
 from storelytics import session
 from storelytics.llm.common import cut, memo
 
-WORDS_KEPT = 400_000
+# What a worker's memory of words may hold, an estimate in bytes; how many words go to the tokenizer or are put together at once.
+KEPT_BYTES = 32 << 20
+ENTRY_BYTES = 150
+AT_ONCE = 20_000
+# Bytes of input a range, and so a file, may hold before there are more ranges than the session has shuffle partitions.
+RANGE_BYTES = 128 << 20
 
 
-# Printable ASCII without what contractions and special tokens start with.
-_PLAIN = re.compile(rb"[!-&(-;=-~]+")
-_RUNS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-_PROBES = ["Hello,", "a1b22--x!", "THE.End", "#$%y", "zzqx", "(42)"]
+class _Encoded:
+    """Words to their ids: a memory bounded by bytes in front of the tokenizer, which gets new words in long runs.
 
-
-class _Encoded(dict):
-    """Bytes of a word to its ids as bytes. Two generations of ``WORDS_KEPT`` words each, so common words stay.
-
-    Where the tokenizer lower-cases plain words and parts them into runs of letters, single digits and other runs (probed
-    once), such words are put together from their runs, which are fewer and go straight to the tokenizer's model.
+    A run is the words with a special token between them. Special tokens are cut out of a text before anything else is done with
+    it, so each word is encoded as if it stood alone, at a fraction of the cost. Words that hold such a token go by themselves.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_file(file)
-        self.whole, self.model = tokenizer.encode, tokenizer.model
-        self.older: dict = {}
-        self.runs: dict = {}
-        self.older_runs: dict = {}
-        if self.whole(" \t\n\v\f\r", add_special_tokens=False).ids:
+        self.tokenizer = Tokenizer.from_file(file)
+        if self._ids([" \t\n\v\f\r"])[0]:
             raise ValueError("white space gives tokens: this tokenizer cannot be run word by word")
-        self.by_runs = all(self._run_by_run(w.encode()) == self._whole(w.encode()) for w in _PROBES)
-
-    def _whole(self, word: bytes) -> bytes:
-        return np.array(self.whole(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _run_by_run(self, word: bytes) -> bytes:
-        return b"".join(map(self._run, _RUNS.findall(word.lower())))
-
-    def _run(self, run: bytes) -> bytes:
-        ids = self.runs.get(run)
-        if ids is None:
-            ids = self.older_runs.get(run)
-            if ids is None:
-                ids = np.array([t.id for t in self.model.tokenize(run.decode())], "<u4").tobytes()
-            if len(self.runs) >= WORDS_KEPT:
-                self.runs, self.older_runs = {}, self.runs
-            self.runs[run] = ids
-        return ids
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self._run_by_run(word) if self.by_runs and _PLAIN.fullmatch(word) else self._whole(word)
-        if len(self) >= WORDS_KEPT:
-            self.older = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
+        with open(file, encoding="utf-8") as declared:
+            added = json.load(declared).get("added_tokens", [])
+        self.special = [t["content"] for t in added]
+        plain = [t for t in added if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
+        self.between = (plain[0]["content"], plain[0]["id"]) if plain else None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.held = 0
+        self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, "<i4")]
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all their ids in a row."""
+        if self.between is None or any(s in w for s in self.special for w in words):
+            lists = self._ids(words)
+            return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], "<i4")
+        text, number = self.between
+        ids = np.array(self._ids([text.join(words)])[0], "<i4")
+        ends = np.flatnonzero(ids == number)
+        bounds = np.concatenate(([-1], ends, [len(ids)]))
+        return np.diff(bounds) - 1, np.delete(ids, ends)
+
+    def known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Slot of each distinct word, sizes by slot, ids in the order of slots; words not known before are learned."""
+        if self.held > KEPT_BYTES:
+            self._forget()
+        new = [w for w in words if w not in self.slots]
+        for at in range(0, len(new), AT_ONCE):
+            run = new[at : at + AT_ONCE]
+            sizes, ids = self._run(run)
+            self.slots.update(zip(run, range(len(self.slots), len(self.slots) + len(run))))
+            self.sizes.append(sizes)
+            self.ids.append(ids)
+            self.held += sum(map(len, run)) + 4 * len(ids) + ENTRY_BYTES * len(run)
+        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), self.sizes[0], self.ids[0]
+
+
+def _texts(text: pa.Array, encoded: _Encoded, end_id: int) -> pa.ListArray:
+    """The ids of each text and the end id."""
+    # White space as the tokenizer's patterns have it, but for signs beyond ASCII, which it may see within a word.
+    words = pc.ascii_split_whitespace(pc.fill_null(text, ""))
+    spelled = words.flatten().dictionary_encode()
+    slots, sizes, ids = encoded.known(spelled.dictionary.to_pylist())
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    # The end id is one more slot, and stands behind the last word of each text.
+    at = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+    order = np.insert(slots[np.asarray(spelled.indices)], at, len(sizes))
+    sizes, ids = np.append(sizes, 1), np.append(ids, np.array([end_id], "<i4"))
+    total = np.concatenate(([0], np.cumsum(sizes[order])))
+    out = np.empty(total[-1], "<i4")
+    for a in range(0, len(order), 10 * AT_ONCE):
+        some = order[a : a + 10 * AT_ONCE]
+        first, last = total[a], total[min(a + 10 * AT_ONCE, len(order))]
+        out[first:last] = ids[np.repeat(starts[some] - total[a : a + len(some)], sizes[some]) + np.arange(first, last)]
+    offsets = np.concatenate(([0], total[at + np.arange(1, len(at) + 1)]))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
 def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
@@ -93,22 +123,23 @@ def encode(docs: DataFrame, file: str, end_id: int) -> DataFrame:
         kept = memo("token_files")
         if file not in kept:
             kept[file] = _Encoded(file)
-        of, end = kept[file].__getitem__, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = [
-                b"".join(map(of, (t.as_py() or "").encode("utf-8", "replace").split())) + end for t in batch.column("text")
-            ]
-            offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _texts(batch.column("text"), kept[file], end_id)], ["doc_id", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, ids array<int>")
 
 
+def _size(docs: DataFrame) -> int:
+    """Bytes of the table as the planner knows them from its files, or of its texts where it knows nothing."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
 def write(docs: DataFrame, path: str, file: str, end_id: int, stripe_mb: int = 64) -> None:
     """Encode ``docs`` and write ORC files of (doc_id, place, ids) in ascending doc_id order."""
-    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange("doc_id", "_tie")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-_size(docs) // RANGE_BYTES))
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie")).repartitionByRange(ranges, "doc_id", "_tie")
     placed = encode(ranged.sortWithinPartitions("doc_id", "_tie"), file, end_id).select(
         "doc_id", F.monotonically_increasing_id().alias("place"), "ids"
     )

@@ -45,12 +45,37 @@ def test_repeated_null_and_no_rows(spark, docs):
     assert token_files.written_index(docs((1, "a")).limit(0), FILE).count() == 0
 
 
-def test_words_put_together_from_runs_equal_the_tokenizer():
+def test_words_in_runs_equal_the_tokenizer(monkeypatch):
     import random
 
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "AT_ONCE", 7)
     rng, tok, mine = random.Random(2), Tokenizer.from_file(FILE), token_files._Encoded(FILE)
-    assert mine.by_runs
-    parts = ["a", "The", "ing", "1", "22", ",", ".", "!", "#", "'s", "'", "<", "|", "<|endoftext|>", "é", "É", "ß", "—", "\x1c", "\x7f", "~", "Z", "don't", "_"]
-    for _ in range(4000):
-        word = "".join(rng.choice(parts) for _ in range(rng.randint(1, 7)))
-        assert np.frombuffer(mine[word.encode()], "<u4").tolist() == tok.encode(word, add_special_tokens=False).ids, word
+    assert mine.between is not None
+    parts = ["a", "The", "ing", "1", "22", ",", ".", "!", "#", "'s", "'", "<", "|", "<|endoftext|>", "é", "É", "ß", "—", "\x1c", "\x7f", "~", "Z", "don't", "_", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(600)] + [None, ""]
+    for at in range(0, len(texts), 50):
+        some = texts[at : at + 50]
+        got = token_files._texts(pa.array(some, pa.string()), mine, 2).to_pylist()
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in some]
+
+
+def test_a_sliced_batch():
+    import pyarrow as pa
+
+    mine = token_files._Encoded(FILE)
+    whole = pa.array(["one two", "three", None, "four five six"])
+    assert token_files._texts(whole.slice(1, 3), mine, 2).to_pylist() == token_files._texts(whole, mine, 2).to_pylist()[1:]
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    """Words of 100 kB and a vocabulary without end leave no more behind than allowed."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "KEPT_BYTES", 1 << 20)
+    mine = token_files._Encoded(FILE)
+    for i in range(30):
+        token_files._texts(pa.array([f"{i}" * 100_000, " ".join(f"w{i}x{j}" for j in range(2_000))]), mine, 2)
+        assert mine.held <= 2 << 20
+        assert sum(map(len, mine.slots)) + 4 * len(mine.ids[0]) <= mine.held
