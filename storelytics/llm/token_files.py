@@ -20,6 +20,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from storelytics import session
 from storelytics.llm.common import cut, memo
 
 # What a worker's memory of words may hold, an estimate in bytes; how many words go to the tokenizer or are put together at once.
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 64 << 20
 ENTRY_BYTES = 150
 AT_ONCE = 20_000
 # Bytes of input a range, and so a file, may hold before there are more ranges than the session has shuffle partitions.
@@ -58,23 +59,36 @@ class _Encoded:
         self.special = [t["content"] for t in added]
         plain = [t for t in added if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.between = (plain[0]["content"], plain[0]["id"]) if plain else None
-        self._forget()
-
-    def _forget(self) -> None:
         self.slots: dict[str, int] = {}
         self.held = 0
-        self.sizes, self.ids = [np.zeros(0, np.int64)], [np.zeros(0, "<i4")]
+        self.sizes, self.seen, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<i4")
+
+    def _forget(self) -> None:
+        """Keep the words that came in most batches, up to half of what may be held."""
+        common = np.argsort(-self.seen, kind="stable")
+        bytes_of = np.fromiter(map(len, self.slots), np.int64, len(self.slots)) + 4 * self.sizes + ENTRY_BYTES
+        kept = np.zeros(len(self.slots), bool)
+        kept[common[np.cumsum(bytes_of[common]) <= KEPT_BYTES // 2]] = True
+        self.ids = self.ids[np.repeat(kept, self.sizes)]
+        self.sizes, self.seen = self.sizes[kept], self.seen[kept]
+        self.slots = dict(zip(compress(self.slots, kept), range(len(self.sizes))))
+        self.held = self._bytes(self.slots, len(self.ids))
+
+    @staticmethod
+    def _bytes(words, ids: int) -> int:
+        return sum(map(len, words)) + 4 * ids + ENTRY_BYTES * len(words)
 
     def _ids(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _run(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all their ids in a row."""
-        if self.between is None or any(s in w for s in self.special for w in words):
+        text, number = self.between or ("\n", None)
+        run = text.join(words)
+        if number is None or run.count(text) >= len(words) or any(s in run for s in self.special if s != text):
             lists = self._ids(words)
             return np.array([len(x) for x in lists], np.int64), np.array([i for x in lists for i in x], "<i4")
-        text, number = self.between
-        ids = np.array(self._ids([text.join(words)])[0], "<i4")
+        ids = np.array(self._ids([run])[0], "<i4")
         ends = np.flatnonzero(ids == number)
         bounds = np.concatenate(([-1], ends, [len(ids)]))
         return np.diff(bounds) - 1, np.delete(ids, ends)
@@ -84,15 +98,19 @@ class _Encoded:
         if self.held > KEPT_BYTES:
             self._forget()
         new = [w for w in words if w not in self.slots]
+        all_sizes, all_ids = [self.sizes], [self.ids]
         for at in range(0, len(new), AT_ONCE):
             run = new[at : at + AT_ONCE]
             sizes, ids = self._run(run)
             self.slots.update(zip(run, range(len(self.slots), len(self.slots) + len(run))))
-            self.sizes.append(sizes)
-            self.ids.append(ids)
-            self.held += sum(map(len, run)) + 4 * len(ids) + ENTRY_BYTES * len(run)
-        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words)), self.sizes[0], self.ids[0]
+            all_sizes.append(sizes)
+            all_ids.append(ids)
+            self.held += self._bytes(run, len(ids))
+        self.sizes, self.ids = np.concatenate(all_sizes), np.concatenate(all_ids)
+        self.seen = np.append(self.seen, np.zeros(len(new), np.int64))
+        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        self.seen[slots] += 1
+        return slots, self.sizes, self.ids
 
 
 def _texts(text: pa.Array, encoded: _Encoded, end_id: int) -> pa.ListArray:

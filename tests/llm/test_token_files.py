@@ -78,4 +78,4 @@ def test_memory_is_bounded_by_bytes(monkeypatch):
     for i in range(30):
         token_files._texts(pa.array([f"{i}" * 100_000, " ".join(f"w{i}x{j}" for j in range(2_000))]), mine, 2)
         assert mine.held <= 2 << 20
-        assert sum(map(len, mine.slots)) + 4 * len(mine.ids[0]) <= mine.held
+        assert sum(map(len, mine.slots)) + 4 * len(mine.ids) <= mine.held and len(mine.slots) == len(mine.sizes) == len(mine.seen)
