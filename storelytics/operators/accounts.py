@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from storelytics.functions.claims import blind, held_before, owners
 from storelytics.functions.ids import dense_ids, highest
 from storelytics.functions.latest import first_per_key, last_per_key
 from storelytics.functions.predicates import moment
@@ -12,35 +15,33 @@ from storelytics.operators.upserts import overlay, upsert
 from storelytics.session import cut
 
 
-def _email(column="email"):
-    return F.lower(column)
-
-
 def insert_users(users: DataFrame, new: DataFrame, now) -> tuple[DataFrame, DataFrame]:
     """Add users (signup_id, email and other columns); an e-mail or social identity already taken goes to the rejects.
 
-    Within the batch the first sign-up takes an e-mail, and the first of those that got theirs takes an identity. Users
-    without e-mail, or without social_id or social_type, never collide there.
+    Sign-ups count as if handled one by one: a refused one takes nothing, so a later one may have its e-mail or identity. Users
+    without e-mail, or without social_id or social_type, never collide there. Case and accents do not tell e-mails or identities apart.
     """
-    taken = users.filter(F.col("email").isNotNull()).select(_email().alias("_email"), F.lit(True).alias("_taken"))
-    first = (
-        new.filter(F.col("email").isNotNull())
-        .groupBy(_email().alias("_email"))
-        .agg(F.min("signup_id").alias("_first"))
-        .join(taken, "_email", "left")
-    )
-    judged = new.withColumn("_email", _email()).join(first, "_email", "left")
-    free = F.col("_email").isNull() | (F.col("_taken").isNull() & (F.col("signup_id") == F.col("_first")))
-    rejects = judged.filter(~free).select("signup_id", "email", F.lit("Email already exists").alias("reason"))
-    accepted = judged.filter(free).drop("_email", "_first", "_taken")
     identity = ["social_id", "social_type"]
+    values = {"_email": blind("email")}
     if set(identity) <= set(users.columns) & set(new.columns):
-        held = users.dropna(subset=identity).select(*identity, F.lit(True).alias("_held")).distinct()
-        claims = accepted.dropna(subset=identity).groupBy(*identity).agg(F.min("signup_id").alias("_claim"))
-        accepted = accepted.join(claims.join(held, identity, "left"), identity, "left")
-        own = F.col("_claim").isNull() | (F.col("_held").isNull() & (F.col("signup_id") == F.col("_claim")))
-        doubled = accepted.filter(~own).select("signup_id", "email", F.lit("Social account already exists").alias("reason"))
-        rejects, accepted = rejects.unionByName(doubled), accepted.filter(own).drop("_claim", "_held")
+        both = F.col("social_id").isNotNull() & F.col("social_type").isNotNull()
+        # The kind comes first and its length with it, so no two identities read the same.
+        pair = F.concat_ws(":", F.length("social_type").cast("string"), "social_type", "social_id")
+        values["_identity"] = blind(F.when(both, pair))
+    judged = new.withColumns(values)
+    for v, key in values.items():
+        known = users.select(key.alias(v)).filter(F.col(v).isNotNull()).groupBy(v).agg(F.lit(True).alias(f"_taken{v}"))
+        judged = judged.join(known, v, "left")
+    judged = cut(judged)
+    free = [F.col(f"_taken{v}").isNull() for v in values]
+    claimed = owners(judged.filter(reduce(lambda a, b: a & b, free)), "signup_id", "signup_id", list(values))
+    judged = held_before(judged, claimed, "signup_id", "signup_id")
+    reason = F.when(F.col("_taken_email").isNotNull() | F.col("_held__email"), "Email already exists")
+    if "_identity" in values:
+        reason = reason.when(F.col("_taken_identity").isNotNull() | F.col("_held__identity"), "Social account already exists")
+    judged = judged.withColumn("_reason", reason)
+    rejects = judged.filter("_reason IS NOT NULL").select("signup_id", "email", F.col("_reason").alias("reason"))
+    accepted = judged.filter("_reason IS NULL").select(*new.columns)
     numbered = dense_ids(accepted, "user_id", ["signup_id"], highest(users, "user_id"))
     fresh = numbered.withColumn("created_at", moment(now)).withColumn("delete_status", F.lit(False))
     return users.unionByName(fresh.drop("signup_id"), allowMissingColumns=True), rejects
@@ -61,10 +62,10 @@ def resolve_social(users, links, signups, now) -> dict[str, DataFrame]:
     probed = signups.join(live, identity, "left")
     # What each new identity comes to feeds three results and is numbered on the way, so it is written once.
     deciders = first_per_key(probed.filter(F.col("_linked").isNull()).drop("_linked"), identity, ["signup_id"])
-    by_email = users.filter(F.col("email").isNotNull()).groupBy(_email().alias("_email")).agg(F.min("user_id").alias("_owner"))
-    deciders = cut(deciders.withColumn("_email", _email()).join(by_email, "_email", "left"))
+    by_email = users.filter(F.col("email").isNotNull()).groupBy(blind("email").alias("_email")).agg(F.min("user_id").alias("_owner"))
+    deciders = cut(deciders.withColumn("_email", blind("email")).join(by_email, "_email", "left"))
     # Sign-ups without e-mail share no key, so each stands for itself.
-    stranger = F.coalesce(F.concat(F.lit("e:"), F.col("_email")), F.concat(F.lit("s:"), F.col("signup_id").cast("string")))
+    stranger = blind(F.coalesce(F.concat(F.lit("e:"), F.col("email")), F.concat(F.lit("s:"), F.col("signup_id").cast("string"))))
     strangers = deciders.filter(F.col("_owner").isNull()).withColumn("_key", stranger)
     creators = first_per_key(strangers.select("_key", "signup_id", "email", "name", "size_preferences"), ["_key"], ["signup_id"])
     numbered = dense_ids(creators, "user_id", ["signup_id"], highest(users, "user_id"))
@@ -93,7 +94,7 @@ def resolve_social(users, links, signups, now) -> dict[str, DataFrame]:
 def _holders(users: DataFrame, column: str) -> DataFrame:
     """Per value, the lowest and highest user holding it: enough to tell whether somebody else does."""
     live = users.filter(~F.col("delete_status") & F.col(column).isNotNull())
-    return live.groupBy(F.lower(column).alias(f"_{column}")).agg(
+    return live.groupBy(blind(column).alias(f"_{column}")).agg(
         F.min("user_id").alias(f"_low_{column}"), F.max("user_id").alias(f"_high_{column}")
     )
 
@@ -101,27 +102,23 @@ def _holders(users: DataFrame, column: str) -> DataFrame:
 def update_profiles(users: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Update profiles unless the e-mail or phone belongs to another undeleted user; returns users and conflicts.
 
-    ``changes``: change_id, user_id, name, last_name, email, phone, size_preferences, at. All changes are checked
-    against the table as it was before the batch. Within the batch the first change that the table allows takes an
-    e-mail, and the first of the changes left takes a phone number, for its user; other users' later changes conflict.
+    ``changes``: change_id, user_id, name, last_name, email, phone, size_preferences, at. Changes count as if handled one by one in
+    order of change_id: an accepted change takes its e-mail and phone for its user, a refused one takes nothing. What
+    users had before the batch stays theirs until its end. Deleted and unknown users hold nothing. Case and accents do not count.
     """
     columns = ["name", "last_name", "email", "phone", "size_preferences"]
-    judged = changes
+    judged = changes.join(users.filter(~F.col("delete_status")).select("user_id", F.lit(True).alias("_live")), "user_id", "left")
     for column in ("email", "phone"):
-        judged = judged.withColumn(f"_{column}", F.lower(column)).join(_holders(users, column), f"_{column}", "left")
-
-    def elsewhere(column):
-        me = F.col("user_id")
-        return (F.col(f"_low_{column}") != me) | (F.col(f"_high_{column}") != me)
-
-    reason = F.when(elsewhere("email"), "Email already exists").when(elsewhere("phone"), "Phone number already exists")
+        judged = judged.withColumn(f"_{column}", blind(column)).join(_holders(users, column), f"_{column}", "left")
+    me = F.col("user_id")
+    elsewhere = {c: F.coalesce((F.col(f"_low_{c}") != me) | (F.col(f"_high_{c}") != me), F.lit(False)) for c in ("email", "phone")}
+    judged = cut(judged.withColumns({f"_elsewhere_{c}": e for c, e in elsewhere.items()}))
+    claims = judged.filter("_live AND NOT _elsewhere_email AND NOT _elsewhere_phone")
+    judged = held_before(judged, owners(claims, "change_id", "user_id", ["_email", "_phone"]), "change_id", "user_id")
+    reason = F.when(F.col("_elsewhere_email") | F.col("_held__email"), "Email already exists").when(
+        F.col("_elsewhere_phone") | F.col("_held__phone"), "Phone number already exists"
+    )
     judged = judged.withColumn("reason", reason)
-    for column, text in (("email", "Email already exists"), ("phone", "Phone number already exists")):
-        wanted = judged.filter(F.col("reason").isNull() & F.col(f"_{column}").isNotNull())
-        owner = wanted.groupBy(f"_{column}").agg(F.min_by("user_id", "change_id").alias("_owner"))
-        judged = judged.join(owner, f"_{column}", "left")
-        late = F.col("reason").isNull() & (F.col("_owner") != F.col("user_id"))
-        judged = judged.withColumn("reason", F.when(late, text).otherwise(F.col("reason"))).drop("_owner")
     accepted = judged.filter(F.col("reason").isNull()).select("user_id", "change_id", "at", *columns)
     last = last_per_key(accepted, ["user_id"], ["change_id"])
     new = {**{c: F.col(f"patch.{c}") for c in columns}, "updated_at": F.col("patch.at")}

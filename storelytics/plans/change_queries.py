@@ -55,6 +55,11 @@ def _created(t):
     return I.create_orders(order_batch(t.orders, t.new_items), t.requests, t.request_masters, t.gate_approvals, NOW)
 
 
+def _with_identity(t):
+    """Users with the identity each came by."""
+    return t.users.join(t.social_users.select("user_id", "social_id", "social_type"), "user_id", "left")
+
+
 def _numbered(t):
     items = _intake(t)["items"]
     return I.number_items(items, highest(t.orders, "order_id")).select("order_item_id", "order_id", "pos", "quantity")
@@ -148,6 +153,8 @@ QUERIES = {
     "m11_address_counts": lambda t: U.apply_addresses(t.addresses, t.address_changes)[1],
     "m12_insert_users": lambda t: A.insert_users(t.users, t.new_users, NOW)[0].select(*USER_STATE),
     "m12_user_rejects": lambda t: A.insert_users(t.users, t.new_users, NOW)[1],
+    "m12_claimed_users": lambda t: A.insert_users(_with_identity(t), t.claimed_users, NOW)[0].select(*USER_STATE, "social_id", "social_type"),
+    "m12_claimed_rejects": lambda t: A.insert_users(_with_identity(t), t.claimed_users, NOW)[1],
     "m13_resolve_social": lambda t: _social(t)["resolved"],
     "m13_social_rejects": lambda t: _social(t)["rejects"],
     "m13_social_users": lambda t: _social(t)["users"].select(*USER_STATE),
@@ -156,6 +163,10 @@ QUERIES = {
         *USER_STATE, "last_name", "phone", "updated_at"
     ),
     "m14_profile_conflicts": lambda t: A.update_profiles(t.users, t.profile_changes)[1],
+    "m14_claimed_profiles": lambda t: A.update_profiles(t.users, t.claimed_profiles)[0].select(
+        *USER_STATE, "last_name", "phone", "updated_at"
+    ),
+    "m14_claimed_conflicts": lambda t: A.update_profiles(t.users, t.claimed_profiles)[1],
     "m15_patch_column": lambda t: U.patch(t.users, t.size_changes, "user_id", ["size_preferences"], ["change_id"]),
     "m16_reschedule": lambda t: U.reschedule(t.orders, t.delivery_changes).select(*ORDER_STATE, "scheduled_time"),
     "m16_reschedule_by_admin": lambda t: U.reschedule(t.orders, t.delivery_changes, owner_checked=False).select(
@@ -226,6 +237,34 @@ mailed AS (SELECT *, CASE WHEN fault IS NULL AND email IS NOT NULL AND user_id <
     lower(email) ORDER BY change_id) THEN 'Email already exists' ELSE fault END AS fault2 FROM checked),
 judged AS (SELECT * EXCLUDE (fault, fault2), CASE WHEN fault2 IS NULL AND phone IS NOT NULL AND user_id <> first_value(user_id) OVER (
     PARTITION BY fault2 IS NULL, lower(phone) ORDER BY change_id) THEN 'Phone number already exists' ELSE fault2 END AS reason FROM mailed)"""
+_MAIL_KEY = "lower(strip_accents({0}))"
+# The sign-ups one after the other: what is taken so far goes along from row to row.
+CLAIMED_USERS = f"""had AS (SELECT u.*, s.social_id, s.social_type FROM t_users u LEFT JOIN t_social_users s USING (user_id)),
+queued AS (SELECT n.*, row_number() OVER (ORDER BY signup_id) AS i, {_MAIL_KEY.format("n.email")} AS mail, n.social_type || '/' || n.social_id AS identity,
+    EXISTS (SELECT 1 FROM had u WHERE {_MAIL_KEY.format("u.email")} = {_MAIL_KEY.format("n.email")}) AS mail_had,
+    EXISTS (SELECT 1 FROM had u WHERE u.social_type || '/' || u.social_id = n.social_type || '/' || n.social_id) AS identity_had FROM t_claimed_users n),
+walk AS (WITH RECURSIVE w(i, mails, identities, reason) AS (
+    SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], NULL::VARCHAR UNION ALL
+    SELECT i, CASE WHEN reason IS NULL THEN list_append(mails, mail) ELSE mails END,
+        CASE WHEN reason IS NULL THEN list_append(identities, identity) ELSE identities END, reason
+    FROM (SELECT q.i, q.mail, q.identity, w.mails, w.identities, CASE WHEN mail_had OR list_contains(mails, mail) THEN 'Email already exists'
+        WHEN identity_had OR list_contains(identities, identity) THEN 'Social account already exists' END AS reason
+        FROM w JOIN queued q ON q.i = w.i + 1)) SELECT i, reason FROM w),
+judged AS (SELECT q.*, reason FROM queued q JOIN walk USING (i))"""
+# The profile changes one after the other; what a change takes is kept with its user.
+CLAIMED_PROFILES = f"""queued AS (SELECT c.*, row_number() OVER (ORDER BY change_id) AS i, {_MAIL_KEY.format("c.email")} AS mail,
+    EXISTS (SELECT 1 FROM t_users u WHERE {_MAIL_KEY.format("u.email")} = {_MAIL_KEY.format("c.email")} AND u.user_id <> c.user_id AND NOT u.delete_status) AS mail_had,
+    EXISTS (SELECT 1 FROM t_users u WHERE u.phone = c.phone AND u.user_id <> c.user_id AND NOT u.delete_status) AS phone_had,
+    EXISTS (SELECT 1 FROM t_users u WHERE u.user_id = c.user_id AND NOT u.delete_status) AS live FROM t_claimed_profiles c),
+walk AS (WITH RECURSIVE w(i, mails, phones, reason) AS (
+    SELECT 0::BIGINT, MAP([]::VARCHAR[], []::BIGINT[]), MAP([]::VARCHAR[], []::BIGINT[]), NULL::VARCHAR UNION ALL
+    SELECT i, CASE WHEN reason IS NULL AND live AND mail IS NOT NULL THEN map_concat(mails, MAP([mail], [user_id])) ELSE mails END,
+        CASE WHEN reason IS NULL AND live AND phone IS NOT NULL THEN map_concat(phones, MAP([phone], [user_id])) ELSE phones END, reason
+    FROM (SELECT q.*, w.mails, w.phones, CASE WHEN mail_had OR coalesce(mails[mail] <> user_id, FALSE) THEN 'Email already exists'
+        WHEN phone_had OR coalesce(phones[phone] <> user_id, FALSE) THEN 'Phone number already exists' END AS reason
+        FROM w JOIN queued q ON q.i = w.i + 1)) SELECT i, reason FROM w),
+judged AS (SELECT q.*, reason FROM queued q JOIN walk USING (i)),
+settled AS (SELECT * FROM judged WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY change_id DESC) = 1)"""
 _ORDER_STATE = "o.order_id, {0} AS status, {1} AS order_status_id, {2} AS updated_at, o.delete_status"
 _ISO = "strftime(\"at\", '%Y-%m-%dT%H:%M:%S.%gZ')"
 
@@ -454,6 +493,16 @@ ORACLE = {
     "m12_user_rejects": _over(
         "users new_users", JUDGED, "SELECT signup_id, email, 'Email already exists' AS reason FROM judged WHERE NOT free"
     ),
+    "m12_claimed_users": _over(
+        "users social_users claimed_users",
+        CLAIMED_USERS,
+        f"""SELECT user_id, name, email, role, size_preferences, created_at, delete_status, social_id, social_type FROM had UNION ALL
+        SELECT (SELECT max(user_id) FROM t_users) + row_number() OVER (ORDER BY signup_id), name, email, role,
+        size_preferences, {STAMP}, FALSE, social_id, social_type FROM judged WHERE reason IS NULL""",
+    ),
+    "m12_claimed_rejects": _over(
+        "users social_users claimed_users", CLAIMED_USERS, "SELECT signup_id, email, reason FROM judged WHERE reason IS NOT NULL"
+    ),
     "m13_resolve_social": _over("users social_users social_signups", SOCIAL, "SELECT * FROM resolved"),
     "m13_social_rejects": with_tables(
         "social_signups",
@@ -484,6 +533,17 @@ ORACLE = {
     "m14_profile_conflicts": _over(
         "users profile_changes", PROFILES, "SELECT change_id, user_id, reason FROM judged WHERE reason IS NOT NULL"
     ),
+    "m14_claimed_profiles": _over(
+        "users claimed_profiles",
+        CLAIMED_PROFILES,
+        """SELECT u.user_id, CASE WHEN j.i IS NULL THEN u.name ELSE j.name END AS name, CASE WHEN j.i IS NULL THEN u.email ELSE j.email END AS email,
+        u.role, CASE WHEN j.i IS NULL THEN u.size_preferences ELSE j.size_preferences END AS size_preferences, u.created_at, u.delete_status,
+        CASE WHEN j.i IS NULL THEN u.last_name ELSE j.last_name END AS last_name, CASE WHEN j.i IS NULL THEN u.phone ELSE j.phone END AS phone,
+        CASE WHEN j.i IS NULL THEN u.updated_at ELSE j."at" END AS updated_at FROM t_users u LEFT JOIN settled j ON u.user_id = j.user_id""",
+    ),
+    "m14_claimed_conflicts": _over(
+        "users claimed_profiles", CLAIMED_PROFILES, "SELECT change_id, user_id, reason FROM judged WHERE reason IS NOT NULL"
+    ),
     "m15_patch_column": with_tables(
         "users size_changes",
         """SELECT u.* REPLACE (CASE WHEN c.user_id IS NOT NULL THEN c.size_preferences ELSE u.size_preferences END

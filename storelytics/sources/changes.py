@@ -76,6 +76,19 @@ CHANGES: dict[str, str] = {
                CASE WHEN c_custkey % 16 = 7 THEN '557' || CAST(c_custkey % 48 AS STRING) ELSE '555' || CAST(CASE WHEN c_custkey % 10 = 0 THEN c_custkey + 1 ELSE c_custkey END AS STRING) END AS phone,
                'XL' AS size_preferences, TIMESTAMP '2024-02-01 12:00:00' AS at
         FROM {customer}""",
+    # Profile changes and sign-ups that claim two values each, few values for many, in several spellings.
+    "claimed_profiles": """
+        SELECT c_custkey AS change_id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1 ELSE c_custkey END AS user_id,
+               'N ' || c_name AS name, 'Last' AS last_name,
+               CASE c_custkey % 3 WHEN 0 THEN 'Zoë' WHEN 1 THEN 'ZOE' ELSE 'zoé' END || CAST(c_custkey * 7 % 53 AS STRING) || '@example.com' AS email,
+               CASE WHEN c_custkey % 4 <> 0 THEN '558' || CAST(c_custkey * 11 % 41 AS STRING) END AS phone,
+               'XL' AS size_preferences, TIMESTAMP '2024-02-01 12:00:00' AS at
+        FROM {customer} WHERE c_custkey % 2 = 1 OR c_custkey % 5 = 0""",
+    "claimed_users": """
+        SELECT c_custkey AS signup_id, 'User ' || CAST(c_custkey AS STRING) AS name,
+               CASE c_custkey % 3 WHEN 0 THEN 'Zoë' WHEN 1 THEN 'ZOE' ELSE 'zoé' END || CAST(c_custkey * 13 % 61 AS STRING) || '@example.com' AS email,
+               'customer' AS role, 'S1' AS size_preferences, 's' || CAST(c_custkey * 17 % 47 + 3 AS STRING) AS social_id, 'apple' AS social_type
+        FROM {customer}""",
     "size_changes": """
         SELECT o_orderkey AS change_id, o_custkey AS user_id,
                CASE WHEN o_orderkey % 5 <> 0 THEN 'P' || CAST(o_orderkey AS STRING) END AS size_preferences

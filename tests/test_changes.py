@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from datetime import datetime
 
@@ -5,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from storelytics.operators import accounts as A
+from storelytics.operators import customers as C
 from storelytics.operators import decisions as D
 from storelytics.operators import intake as I
 from storelytics.operators import outbox as B
 from storelytics.operators import upserts as U
 from storelytics.operators.quality import violations
 from storelytics.schemas import order_status, request_status
+from storelytics.session import cut
 
 NOW = datetime(2024, 2, 1, 12, 0)
 
@@ -313,3 +316,78 @@ def test_intake_reads_quoted_numbers_and_reports_what_it_cannot_read(frame):
     assert sorted(got, key=str) == [(1, 0, 7, 2, "3.50"), (1, 1, 8, 3, "1.00"), (3, 0, 1, None, "None")]
     assert sorted((r.order_id, r.part) for r in new["rejects"].collect()) == [(2, 0), (3, 1)]
     assert sorted(r.order_id for r in new["orders"].collect()) == [1, 2, 3, 4, 5]
+
+
+def fold(text):
+    import unicodedata
+
+    return text and "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_profile_changes_equal_one_by_one(frame, seed):
+    """Random batches of clashing e-mails and phones; several changes of a user, deleted and unknown users among them."""
+    rng = random.Random(seed)
+    mails, phones = ["a@x", "Á@x", "b@x", "c@x", "ç@X", "d@x", "e@x", None], ["1", "2", "3", "4", None]
+    users = [(u, f"{u}@own", f"9{u}", u % 7 == 0) for u in range(1, 15)] + [(20, "d@x", "4", False)]
+    changes = [(c, rng.randint(1, 16), rng.choice(mails), rng.choice(phones)) for c in range(60)]
+    holders = [(fold(m), p, u) for u, m, p, gone in users if not gone]
+    live, won, reasons = {u for u, _, _, gone in users if not gone}, [], {}
+    for c, u, mail, phone in changes:
+        taken = holders + won
+        if mail is not None and any(m == fold(mail) and o != u for m, _, o in taken):
+            reasons[c] = "Email already exists"
+        elif phone is not None and any(p == phone and o != u for _, p, o in taken):
+            reasons[c] = "Phone number already exists"
+        elif u in live:
+            won.append((fold(mail), phone, u))
+    table = frame(
+        "user_id long,name string,last_name string,email string,phone string,size_preferences string,updated_at timestamp_ntz,delete_status boolean",
+        *[(u, "n", None, m, p, None, None, gone) for u, m, p, gone in users],
+    )
+    batch = frame(
+        "change_id long,user_id long,name string,last_name string,email string,phone string,size_preferences string,at timestamp_ntz",
+        *[(c, u, f"c{c}", None, m, p, None, None) for c, u, m, p in changes],
+    )
+    out, conflicts = A.update_profiles(table, batch)
+    assert {r.change_id: r.reason for r in conflicts.collect()} == reasons
+    last = {u: f"c{c}" for c, u, _, _ in changes if c not in reasons}
+    assert {r.user_id: r.name for r in out.collect()} == {u: last.get(u, "n") for u, *_ in users}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sign_ups_equal_one_by_one(frame, seed):
+    rng = random.Random(seed)
+    mails, ids = ["a@x", "Á@x", "b@x", "c@x", "d@x", None], ["s", "t", "Ť", "u", "v", None]
+    users = [(1, "b@x", "u", "g"), (2, None, None, "g")]
+    new = [(i, rng.choice(mails) or f"{i}@y", rng.choice(ids), rng.choice(["g", "g", None])) for i in range(50)]
+    held_mail, held_id, reasons = {"b@x"}, {("u", "g")}, {}
+    for i, mail, social, kind in new:
+        identity = (fold(social), kind) if social and kind else None
+        if fold(mail) in held_mail:
+            reasons[i] = "Email already exists"
+        elif identity in held_id:
+            reasons[i] = "Social account already exists"
+        else:
+            held_mail.add(fold(mail))
+            held_id |= {identity} - {None}
+    table = frame("user_id long,email string,social_id string,social_type string,delete_status boolean,created_at timestamp_ntz", *[(*u, False, None) for u in users])
+    out, rejects = A.insert_users(table, frame("signup_id long,email string,social_id string,social_type string", *new), NOW)
+    assert {r.signup_id: r.reason for r in rejects.collect()} == reasons
+    assert sorted(r.user_id for r in out.collect()) == list(range(1, 3 + len(new) - len(reasons)))
+
+
+def test_a_value_wanted_by_all_takes_few_rounds(frame, monkeypatch):
+    from storelytics.functions import claims
+
+    rounds = []
+    monkeypatch.setattr(claims, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = frame("at long,who long,v string,w string", *[(i, i, "hot", str(i)) for i in range(500)], *[(i, i, f"own{i}", str(i)) for i in range(500, 900)])
+    found = claims.owners(rows, "at", "who", ["v", "w"])
+    assert found["v"].count() == 401 and len(rounds) <= 5
+
+
+def test_accents_do_not_tell_users_apart(frame):
+    users = frame("user_id long,email string,phone string,role string", (1, "É@x", "1", "customer"), (2, "b@x", "2", "admin"))
+    found = C.lookup_users(users, frame("probe_id long,login_type string,value string", (1, "email", "é@X"), (2, "email", "e@x"), (3, "email", "c@x")))
+    assert sorted(r.probe_id for r in found.collect()) == [1, 2]
