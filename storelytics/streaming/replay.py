@@ -25,12 +25,20 @@ def prepare(spark: SparkSession, table: str, schema: str) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_path(table, -1))
 
 
-def drop_batch(spark: SparkSession, table: str, number: int) -> None:
-    """Remove a batch nothing will read again; one that is not there is no matter."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(batch_path(table, number))
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder nothing will read again; one that is not there is no matter."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def folders(spark: SparkSession, table: str, *names: str) -> list[tuple[int, ...]]:
+    """The numbers of the folders ``name=number/name=number`` below the table that hold files."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path("/".join([table, *(f"{n}=*" for n in names), "part-*"]))
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    paths = {f.getPath().getParent().toString() for f in found}
+    return sorted(tuple(int(part.split("=")[1]) for part in path.split("/")[-len(names):]) for path in paths)
+
+
 def written(spark: SparkSession, table: str, schema: str) -> DataFrame:
     """All batches of the table, with the number of each in ``batch``."""
     return spark.read.schema(f"{schema}, batch long").parquet(table)

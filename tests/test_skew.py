@@ -9,7 +9,9 @@ from storelytics.functions import nest
 from storelytics.functions.ids import dense_ids
 from storelytics.operators import requests as Q
 from storelytics.operators.intake import gate_items
+from storelytics.functions.ordered import ranged
 from storelytics.operators.refresh import refresh_due
+from storelytics.session import cut
 
 
 def joined(rows):
@@ -83,22 +85,44 @@ def greedy(rows, hours):
 
 
 @pytest.mark.parametrize("hours", [24, 5])
-def test_refresh_in_slices_equals_fold_and_brute_force(tables, hours):
+def test_refresh_equals_brute_force(tables, hours):
     asked = tables.url_requests.filter("at < '2024-01-06'")
-    brute = greedy([tuple(r) for r in asked.collect()], hours)
-    folded = {tuple(r) for r in refresh_due(asked, hours).collect()}
-    sliced = {tuple(r) for r in refresh_due(asked, hours, array_rows=5).collect()}
-    assert folded == brute
-    assert sliced == brute
+    assert {tuple(r) for r in refresh_due(asked, hours).collect()} == greedy([tuple(r) for r in asked.collect()], hours)
 
 
 def test_refresh_of_one_url(frame):
     hours = ["2024-01-01 00:00:00", "2024-01-01 23:59:00", "2024-01-02 00:00:00", "2024-01-02 06:00:00",
              "2024-01-03 00:00:00", "2024-01-03 06:00:00", "2024-01-03 00:00:00"]
     asked = frame("url string,at timestamp_ntz", *[("u", h) for h in hours])
-    for limit in (100, 2):
-        kept = sorted(str(r.at) for r in refresh_due(asked, array_rows=limit).collect())
-        assert kept == ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-03 00:00:00"]
+    kept = sorted(str(r.at) for r in refresh_due(asked).collect())
+    assert kept == ["2024-01-01 00:00:00", "2024-01-02 00:00:00", "2024-01-03 00:00:00"]
+
+
+def test_refresh_of_a_busy_url_spans_tasks_and_few_rounds(spark, monkeypatch):
+    """A third of all requests for one URL: its rows lie in many ranges, and rounds grow with the logarithm of its chain."""
+    from storelytics.operators import refresh
+
+    sizes, rounds = [], []
+
+    def seen(rows, order):
+        out = ranged(rows, order)
+        sizes.extend(r["count"] for r in out.filter("url = 'hot'").groupBy("_piece").count().collect())
+        return out
+
+    monkeypatch.setattr(refresh, "ranged", seen)
+    monkeypatch.setattr(refresh, "cut", lambda df: rounds.append(1) or cut(df))
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    hot = spark.range(20_000).select(F.lit("hot").alias("url"), (start + F.make_dt_interval(mins=F.col("id").cast("int") * 7)).alias("at"))
+    cold = spark.range(40_000).select(F.concat(F.lit("u"), F.col("id") % 9_000).alias("url"), (start + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("at"))
+    asked = cut(hot.unionByName(cold))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {tuple(r) for r in refresh_due(asked).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == greedy([tuple(r) for r in asked.collect()], 24)
+    assert len(sizes) > 2 and max(sizes) < 0.6 * sum(sizes)
+    assert len(rounds) <= 10
 
 
 def test_refresh_respects_what_was_kept_before(frame):
