@@ -4,59 +4,55 @@ Every key goes the same way. Each child has a place in its key's order; ``part``
 and each part is one array. Parts in order of ``part`` joined end to end are the whole array, nothing dropped, nothing
 moved. A key that owns a third of the table becomes many parts in many tasks.
 
-Places come from blocks: runs of ``BLOCK`` values of the first order column, which is an integer. A block is ranked by itself, and what lies
-before it is a sum over the key's block sizes, so no task ranks more than one block of a key.
+Places come from one range sort of all rows by key and order. A row's place is its place in its range, less where the key begins
+there, plus what earlier ranges hold of the key: a row per key and range. Ranges have equal numbers of rows whatever the keys, the
+order columns or their NULLs are, so no task ranks or gathers more than a range or a part of a busy key.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
-ARRAY_ROWS = 100_000
-_BLOCK_BITS = 16
-
+from storelytics.functions.ordered import earlier_pieces, ranged
 
-def _block(column: str) -> Column:
-    """The block of an order value; NULL sorts first."""
-    return F.coalesce(F.shiftright(F.col(column).cast("long"), _BLOCK_BITS), F.lit(-(2**62)))
+ARRAY_ROWS = 100_000
 
 
 def gather(
-    rows: DataFrame,
-    key: str,
-    order: list[str],
-    value: Column,
-    name: str,
-    array_rows: int = ARRAY_ROWS,
-    weight: Column | None = None,
-    counted: DataFrame | None = None,
+    rows: DataFrame, key: str, order: list[str], value: Column, name: str, array_rows: int = ARRAY_ROWS, weight: Column | None = None
 ) -> DataFrame:
     """(key, part, name): ``value`` of each row as an array in ``order`` (ties by value), NULL values kept.
 
     A part holds ``array_rows`` rows, or rows that weigh as much where ``weight`` says so; a heavier row is a part of its own.
-    ``counted`` (key, first order column and, with a weight, ``_weight``) gives the same keys and weights where they are cheaper to
-    know than the rows themselves.
     """
-    entry = F.struct(*[F.col(c) for c in order], value.alias("_value"))
-    heavy = F.lit(1) if weight is None else weight
-    entries = rows.filter(F.col(key).isNotNull()).select(
-        key, _block(order[0]).alias("_block"), heavy.cast("long").alias("_weight"), entry.alias("_entry")
-    )
-    if counted is None:
-        known = entries
+    heavy = [] if weight is None else [weight.cast("long").alias("_weight")]
+    entries = rows.filter(F.col(key).isNotNull()).select(key, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], value.alias("_value"), *heavy)
+    # Nested values may be large, and samples of the sort columns go to the driver: they are told apart by a hash.
+    nested = isinstance(entries.schema["_value"].dataType, (T.StructType, T.ArrayType, T.MapType))
+    tie = F.xxhash64("_value") if nested else F.col("_value")
+    laid = ranged(entries.withColumn("_tie", tie), [key, *[f"_o{i}" for i in range(len(order))], "_tie"]).select(key, "_piece", "_at", "_value", *(["_weight"] if heavy else []))
+    if weight is None:
+        before = earlier_pieces(laid, [key], F.count("*"), F.sum)
+        inside = F.col("_at") - F.col("_first")
     else:
-        each = F.lit(1) if weight is None else F.col("_weight")
-        known = counted.filter(F.col(key).isNotNull()).select(key, _block(order[0]).alias("_block"), each.cast("long").alias("_weight"))
-    sizes = known.groupBy(key, "_block").agg(F.sum("_weight").alias("_size"))
-    preceding = Window.unboundedPreceding, -1
-    earlier = F.sum("_size").over(Window.partitionBy(key).orderBy("_block").rowsBetween(*preceding))
-    blocks = sizes.select(key, "_block", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    inside = F.sum("_weight").over(Window.partitionBy(key, "_block").orderBy("_entry").rowsBetween(*preceding))
-    place = F.coalesce("_before", F.lit(0)) + F.coalesce(inside, F.lit(0))
-    placed = entries.join(blocks, [key, "_block"], "left").withColumn("part", F.floor(place / array_rows))
-    return placed.groupBy(key, "part").agg(values(F.sort_array(F.collect_list("_entry"))).alias(name))
+        before = earlier_pieces(laid, [key], F.sum("_weight"), F.sum)
+        preceding = Window.partitionBy(key, "_piece").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+        laid = laid.withColumn("_inside", F.coalesce(F.sum("_weight").over(preceding), F.lit(0)))
+        inside = F.col("_inside")
+    place = inside + F.coalesce("_earlier", F.lit(0))
+    entry = F.struct("_piece", "_at", "_value")
+
+    def arrays(of: DataFrame, *by: str) -> DataFrame:
+        placed = laid.join(of, [key, "_piece"]).withColumn("part", F.floor(place / array_rows))
+        return placed.groupBy(*by).agg(values(F.sort_array(F.collect_list(entry))).alias(name)).select(key, "part", name)
+
+    # A key within one range is gathered where the join has put it; the keys that go on in the next range, one per range at most, are dealt by part.
+    before = before.withColumn("_ranges", F.count("*").over(Window.partitionBy(key)))
+    whole, going_on = before.filter("_ranges = 1"), before.filter("_ranges > 1")
+    return arrays(whole, key, "_piece", "part").unionByName(arrays(going_on, key, "part"))
 
 
 def values(entries: Column) -> Column:

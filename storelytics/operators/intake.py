@@ -110,7 +110,7 @@ def order_audit(orders, passed, requests, now, array_rows=ARRAY_ROWS) -> DataFra
         "order_id", _back("part"), _back("pos"), "product_request_id", "request_master_id"
     )
     pair = F.struct("request_master_id", "product_request_id")
-    pairs = gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows, counted=custom.select("order_id", _back("part")))
+    pairs = gather(used, "order_id", ["_part", "_pos"], pair, "used", array_rows)
     log = attach(orders.select("order_id"), pairs, "order_id", "used")
 
     def listed(field):

@@ -34,8 +34,7 @@ def order_images(items, products, requests, array_rows=ARRAY_ROWS) -> DataFrame:
     images = requests.select(F.col("request_id").alias("product_request_id"), "image")
     made = items.filter(custom).join(images, "product_request_id", "left")
     shown = stocked.select(*place).unionByName(made.select(*place))
-    # The lookups are by primary key, so they add no rows to count.
-    return gather(shown, "order_id", ["order_item_id"], F.col("image"), "order_images", array_rows, counted=items)
+    return gather(shown, "order_id", ["order_item_id"], F.col("image"), "order_images", array_rows)
 
 
 def _headers(orders: DataFrame, order_status: DataFrame) -> DataFrame:

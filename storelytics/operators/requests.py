@@ -82,10 +82,8 @@ def _nested(masters, requests, approvals, array_rows) -> DataFrame:
         "request_id", "product_name", "description", "requested_size", "requested_color",
         "status", "request_status_id", "image", "approvals",
     )
-    held = approvals.groupBy("request_id").agg(F.count("*").alias("_weight"))
-    counted = shown.select("request_id", KEY).join(held, "request_id", "left").na.fill(1, ["_weight"])
     size = F.greatest(F.size("approvals"), F.lit(1))
-    arrays = gather(full, KEY, ["request_id", "option_part"], entry, "product_requests", array_rows, size, counted)
+    arrays = gather(full, KEY, ["request_id", "option_part"], entry, "product_requests", array_rows, size)
     return attach(masters, arrays, KEY, "product_requests").withColumn("product_requests", as_json("product_requests"))
 
 

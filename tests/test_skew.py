@@ -39,6 +39,32 @@ def test_parts_end_to_end_are_the_array(spark):
     assert all(len(r.a) == 20 for r in split if r.k == 1) and max(len(r.a) for r in split) == 20
 
 
+@pytest.mark.parametrize("null_places", [False, True])
+def test_a_busy_key_spreads_over_ranges(spark, monkeypatch, null_places):
+    """One order of 60,000 items over 29 documents beside many small ones: no range holds it, and its array is whole and in order."""
+    sizes = []
+
+    def seen(rows, order):
+        out = ranged(rows, order)
+        sizes.extend(r["count"] for r in out.filter("k = 1").groupBy("_piece").count().collect())
+        return out
+
+    monkeypatch.setattr(nest, "ranged", seen)
+    part = F.lit(None).cast("long") if null_places else F.col("id") % 29
+    hot = spark.range(60_000).select(F.lit(1).alias("k"), part.alias("part_no"), F.col("id").alias("pos"))
+    cold = spark.range(30_000).select((F.col("id") % 10_000 + 2).cast("int").alias("k"), F.lit(0).cast("long").alias("part_no"), F.col("id").alias("pos"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = nest.gather(hot.unionByName(cold), "k", ["part_no", "pos"], F.col("pos"), "a", array_rows=7_000).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(sizes) > 3 and max(sizes) < 30_000
+    key = (lambda i: i) if null_places else (lambda i: (i % 29, i))
+    assert joined(got)[1] == sorted(range(60_000), key=key)
+    assert [len(r.a) for r in sorted((r for r in got if r.k == 1), key=lambda r: r.part)] == [7_000] * 8 + [4_000]
+    assert sum(len(r.a) for r in got if r.k > 1) == 30_000
+
+
 def test_nested_details_keep_everything_when_split(tables):
     args = (tables.request_masters, tables.requests, tables.approvals, tables.users, tables.addresses)
 
