@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -39,8 +40,9 @@ ALWAYS_LISTED = {"title", "meta", "h1", "p", "img", "link"}
 
 
 class _Scan(HTMLParser):
-    def __init__(self):
+    def __init__(self, every_text: bool = False):
         super().__init__(convert_charrefs=True)
+        self.every_text = every_text
         self.listed: list[dict] = []
         self.text: list[str] = []
         self.open: list[dict] = [self._node("", None)]
@@ -82,7 +84,7 @@ class _Scan(HTMLParser):
         element = {
             "pos": self.seen, "tag": tag, "id": values.get("id"), "cls": values.get("class"), "attrs": list(values.items()),
             "text": None, "first_of_type": first, "last_child": False, "above": above,
-            "keep_text": tag in ("title", "h1", "li", "span") or data or (tag == "p" and self.paragraphs == 1)
+            "keep_text": self.every_text or tag in ("title", "h1", "li", "span") or data or (tag == "p" and self.paragraphs == 1)
             or "data-product-title" in values or any(w in named for w in TEXT_WORDS),
         }
         self.listed.append(element)
@@ -123,18 +125,18 @@ class _Scan(HTMLParser):
         return self.listed
 
 
-def _listed(html: str | None) -> list[dict]:
+def _listed(html: str | None, every_text: bool = False) -> list[dict]:
     """Elements of one page; a page the tokenizer cannot read has none."""
     try:
-        return _Scan().elements(html or "")
+        return _Scan(every_text).elements(html or "")
     except (AssertionError, ValueError):
         return []
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan_batches(batches: Iterator[pa.RecordBatch], every_text: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = batch.column("html").to_pylist()
-        lists = pa.array([_listed(html) for html in pages], pa.list_(_ELEMENT))
+        lists = pa.array([_listed(html, every_text) for html in pages], pa.list_(_ELEMENT))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), lists], ["page_id", "url", "elements"])
 
 
@@ -148,7 +150,10 @@ def _spread(pages: DataFrame) -> DataFrame:
     return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, "page_id")
 
 
-def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, url, elements) for ``pages`` (page_id, url, html)."""
+def elements(pages: DataFrame, every_text: bool = False) -> DataFrame:
+    """(page_id, url, elements) for ``pages`` (page_id, url, html).
+
+    Texts are kept of the elements the preview's own rules look at, or of all that are listed with ``every_text``.
+    """
     needed = _spread(pages.select("page_id", "url", "html"))
-    return needed.mapInArrow(_scan_batches, f"page_id long, url string, elements {ELEMENTS}")
+    return needed.mapInArrow(partial(_scan_batches, every_text=every_text), f"page_id long, url string, elements {ELEMENTS}")

@@ -6,6 +6,7 @@ from storelytics.functions.titles import clean_title, title_part
 from storelytics.functions.urls import domain, resolve_url, second_last_step
 from storelytics.operators.preview import cascade as C
 from storelytics.operators.preview import jobs as J
+from storelytics.operators.preview import sites as R
 from storelytics.operators.preview.scan import elements
 from storelytics.operators.refresh import refresh_due
 from storelytics.plans.report_queries import with_tables
@@ -56,6 +57,8 @@ QUERIES = {
     "p14_resolve_url": lambda t: t.page_links.select("page_id", resolve_url(F.col("url"), F.col("link")).alias("target")),
     "p15_link_preview": lambda t: J.link_preview(t.pages_plus),
     "p16_site_preview": lambda t: C.site_preview(t.site_pages, "example"),
+    "p16_site_rules": lambda t: R.site_previews(t.retailer_pages, t.retailer_rules),
+    "p18_retailer_chain": lambda t: R.retailer_preview(t.retailer_pages, t.retailer_rules, t.retailer_labels, t.retailer_answers),
     "p17_url_product_id": lambda t: t.product_links.select("product_id", second_last_step(F.col("url")).alias("url_id")),
     "p18_api_preview": lambda t: J.api_preview(t.api_answers),
     "p19_resource_class": lambda t: J.classify_resources(t.resources),
@@ -168,6 +171,28 @@ ORACLE = {
         CASE page_id % 4 WHEN 1 THEN '/d.png' WHEN 3 THEN '/a.png 1x' END AS image
         FROM t_site_pages WHERE page_id % 4 <> 0 AND contains(lower(url), 'example')""",
     ),
+    "p16_site_rules": with_tables(
+        "retailer_pages",
+        """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'shopone' ELSE 'shoptwo' END AS site,
+        CASE page_id % 3 WHEN 0 THEN 'One ' ELSE 'Two ' END || page_id AS title,
+        CASE page_id % 3 WHEN 0 THEN 'Fine & good' ELSE 'No description available' END AS description,
+        CASE page_id % 3 WHEN 0 THEN 'https://www.shopone.example/one.png' ELSE '/two.png' END AS image
+        FROM t_retailer_pages WHERE page_id % 3 < 2 AND page_id % 7 > 1""",
+    ),
+    # A page without product data asks the service (even ids, answers of ids that five divides are no answer), then its own title.
+    "p18_retailer_chain": with_tables(
+        "retailer_pages",
+        """, k AS (SELECT page_id, page_id % 3 = 0 AS one, CASE WHEN page_id % 7 > 1 THEN 'rule'
+            WHEN page_id % 2 = 0 AND page_id % 5 <> 0 THEN 'service' WHEN page_id % 7 = 1 THEN 'page' ELSE 'none' END AS found_by
+            FROM t_retailer_pages WHERE page_id % 3 < 2)
+        SELECT page_id, CASE WHEN one THEN 'shopone' ELSE 'shoptwo' END AS site,
+        CASE found_by WHEN 'rule' THEN CASE WHEN one THEN 'One ' ELSE 'Two ' END || page_id WHEN 'service' THEN 'S' || page_id
+            WHEN 'page' THEN 'G' || page_id ELSE CASE WHEN one THEN 'Shop One Product' ELSE 'shoptwo Product' END END AS title,
+        CASE found_by WHEN 'rule' THEN CASE WHEN one THEN 'Fine & good' ELSE 'No description available' END WHEN 'service' THEN 'served'
+            WHEN 'none' THEN 'Product information temporarily unavailable' END AS description,
+        CASE WHEN found_by = 'rule' THEN CASE WHEN one THEN 'https://www.shopone.example/one.png' ELSE '/two.png' END END AS image, found_by
+        FROM k""",
+    ),
     "p17_url_product_id": with_tables(
         "product_links",
         """SELECT product_id, CASE WHEN product_id % 10 = 0 THEN 'plain' ELSE CAST(product_id AS VARCHAR) END AS url_id

@@ -32,6 +32,31 @@ PAGES: dict[str, str] = {
             WHEN 3 THEN '<div id="x"><div class="pdp-image"><p><img srcset="/a.png 1x,/b.png 2x"></p></div></div>'
             ELSE '' END) AS html
         FROM {pages}""",
+    # Pages of two retailers and of neither: with product data, with a headline only, and with nothing at all.
+    "retailer_pages": """
+        SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://www.shopone.example/a/' || CAST(page_id AS STRING) || '/buy'
+            WHEN 1 THEN 'http://m.ShopTwo.example.net/' || CAST(page_id AS STRING) || '/' ELSE url END AS url,
+            CASE WHEN page_id % 7 = 0 THEN '' WHEN page_id % 7 = 1 THEN '<meta property="og:title" content="G' || CAST(page_id AS STRING) || '">'
+            WHEN page_id % 3 = 0 THEN '<div class="box"><b class="pdp-name x">One ' || CAST(page_id AS STRING)
+                || '</b><p id="about">Fine &amp; good</p></div><img class="img-responsive" src="/one.png">'
+            ELSE '<div class="box"><b class="pdp-name x">No rule</b></div><h2 data-role="head">Two ' || CAST(page_id AS STRING)
+                || '</h2><div id="gallery"><a><img data-src="/two.png"></a></div>' END AS html
+        FROM {pages}""",
+    "retailer_rules": """
+        SELECT CASE WHEN page_id < 4 THEN 'shopone' ELSE 'shoptwo' END AS site,
+            CASE page_id WHEN 2 THEN 'description' WHEN 5 THEN 'description' WHEN 3 THEN 'image' WHEN 6 THEN 'image' ELSE 'title' END AS field,
+            CASE WHEN page_id = 1 THEN 1 ELSE 0 END AS rank,
+            CASE page_id WHEN 0 THEN 'h1.missing' WHEN 1 THEN '.box .pdp-name' WHEN 2 THEN 'p#about' WHEN 3 THEN 'img.img-responsive'
+                WHEN 4 THEN '[data-role="head"]' WHEN 5 THEN 'p[class*="about"]' ELSE '#gallery img' END AS selector
+        FROM {pages} WHERE page_id < 7""",
+    "retailer_labels": """
+        SELECT CASE WHEN page_id = 0 THEN 'shopone' ELSE 'other' || CAST(page_id AS STRING) END AS site, 'Shop One' AS label
+        FROM {pages} WHERE page_id < 3""",
+    "retailer_answers": """
+        SELECT CASE page_id % 3 WHEN 0 THEN 'shopone' ELSE 'shoptwo' END AS site, CAST(page_id AS STRING) AS product_id,
+            CASE page_id % 5 WHEN 0 THEN 'oops' ELSE '{{"style":{{"name":"S' || CAST(page_id AS STRING)
+                || '","description":"served","media":{{"photos":[]}}}}}}' END AS body
+        FROM {pages} WHERE page_id % 2 = 0""",
     "page_titles": """
         SELECT page_id, CASE page_id % 4 WHEN 1 THEN ' -- ' WHEN 2 THEN 'A – ' ELSE '' END
             || regexp_extract(html, '<title>([^<]*)</title>', 1)

@@ -175,3 +175,54 @@ def test_addresses_with_impossible_hosts_are_refused(frame):
     rows = frame("url string", *[(u,) for u in bad + good])
     got = [r[0] for r in rows.select(normal_url(F.col("url"))).collect()]
     assert got[: len(bad)] == [None] * len(bad) and None not in got[len(bad) :]
+
+
+def test_site_rules_are_data(spark):
+    """Selectors of every form, two sites in one call, ranks, defaults, pages without a site or a match."""
+    from storelytics.operators.preview import sites
+
+    html = '<div class="a b" id="top"><ul><li class="t">x</li><li class="t">y</li></ul><span data-k="v w" class="heading">Head</span></div><img src="p.png">'
+    pages = spark.createDataFrame([
+        (1, "https://www.one.example/", html), (2, "https://one.two.example/", html), (3, "https://three.example/", html),
+        (4, "https://one.example/", "<div></div>"), (5, None, html), (6, "https://one.example/", None), (7, "https://two.example/", html),
+    ], "page_id long, url string, html string")
+    made = spark.createDataFrame([
+        ("one", "title", 2, "#top span"), ("one", "title", 1, "li.t:last-child"), ("one", "title", 0, "h1.none"),
+        ("ONE", "image", 0, "img[src]"), ("two", "title", 0, '.a.b [data-k*="v w"]'), ("two", "description", 0, "li:first-of-type"),
+        ("two", "image", 0, 'img[src="other"]'),
+    ], "site string, field string, rank int, selector string")
+    got = {r.page_id: tuple(r)[1:] for r in sites.site_previews(pages, made).collect()}
+    assert got == {
+        1: ("one", "y", "No description available", "https://www.one.example/p.png"),
+        2: ("one", "y", "No description available", "https://one.two.example/p.png"), 7: ("two", "Head", "x", None),
+    }
+    assert sites.site_previews(pages, made.limit(0)).count() == 0
+
+
+def test_site_rules_agree_with_compiled_selectors(spark, tables):
+    """The default retailer's rules as rows give what they give as code."""
+    from storelytics.operators.preview import sites
+
+    pages = tables.site_pages
+    made = spark.createDataFrame(sites.site_rules(rules.SITE, "example"), "site string, field string, rank int, selector string")
+    as_code = {r.page_id: (r.title, r.description, r.image) for r in C.site_preview(pages, "example").collect()}
+    as_rows = {r.page_id: (r.title, r.description, r.image) for r in sites.site_previews(pages, made).collect()}
+    assert as_rows == {k: v for k, v in as_code.items()} and as_rows
+
+
+def test_every_page_of_a_known_site_has_a_record(spark):
+    from storelytics.operators.preview import sites
+
+    pages = spark.createDataFrame([
+        (1, "https://one.example/x/11/buy", '<h1 class="t">Rule</h1>'), (2, "https://one.example/x/12/buy", ""), (3, "https://one.example/x/13/buy", "<h1>General</h1>"),
+        (4, "https://one.example/x/14/buy", None), (5, "https://else.example/x/11/buy", "<h1>No</h1>"),
+    ], "page_id long, url string, html string")
+    made = spark.createDataFrame([("one", "title", 0, ".t")], "site string, field string, rank int, selector string")
+    labels = spark.createDataFrame([("one", "One")], "site string, label string")
+    body = '{"style":{"name":"Served","description":"d","media":{"photos":[{"secureSrc":"s.png"}]}}}'
+    answers = spark.createDataFrame([("one", "12", body), ("one", "11", body), ("one", "13", "{}"), ("two", "14", body)], "site string, product_id string, body string")
+    got = {r.page_id: tuple(r)[1:] for r in sites.retailer_preview(pages, made, labels, answers).collect()}
+    assert got == {
+        1: ("one", "Rule", "No description available", None, "rule"), 2: ("one", "Served", "d", "s.png", "service"),
+        3: ("one", "General", None, None, "page"), 4: ("one", "One Product", "Product information temporarily unavailable", None, "none"),
+    }
