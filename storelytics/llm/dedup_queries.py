@@ -14,7 +14,7 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.dedup(table(spark, folder, "documents"), run=3)
+    kept = line_dedup.dedup(table(spark, folder, "documents"), run=3, long_words=35)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -34,16 +34,22 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-# Runs of three lines with a word, compared as text; lines of all but the first in order of document and place go.
+# Runs of three lines with a word, or of one or two with 35 words, compared as text; lines of all but the first in order of document and place go.
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
 lines AS (SELECT r, doc_id, x, p FROM (SELECT r, doc_id, unnest(l) AS x, unnest(range(len(l))) AS p FROM d)),
 solid AS (
     SELECT *, row_number() OVER (PARTITION BY r ORDER BY p) - 1 AS b FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+counted AS (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM solid),
+ahead AS (
+    SELECT r, doc_id, b, x, w, lead(x, 1) OVER o AS x1, lead(w, 1) OVER o AS w1, lead(x, 2) OVER o AS x2
+    FROM counted WINDOW o AS (PARTITION BY r ORDER BY b)),
 runs AS (
-    SELECT r, doc_id, b, x || chr(10) || lead(x, 1) OVER o || chr(10) || lead(x, 2) OVER o AS run FROM solid WINDOW o AS (PARTITION BY r ORDER BY b)),
+    SELECT r, doc_id, b, 3 AS width, x || chr(10) || x1 || chr(10) || x2 AS run FROM ahead
+    UNION ALL SELECT r, doc_id, b, 2, x || chr(10) || x1 FROM ahead WHERE w + w1 >= 35
+    UNION ALL SELECT r, doc_id, b, 1, x FROM ahead WHERE w >= 35),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, r, b) AS n FROM runs WHERE run IS NOT NULL),
-gone AS (SELECT DISTINCT r, unnest([b, b + 1, b + 2]) AS b FROM ranked WHERE n > 1),
+gone AS (SELECT DISTINCT r, unnest(range(b, b + width)) AS b FROM ranked WHERE n > 1),
 marked AS (
     SELECT l.r, l.p, l.x, s.b, g.b IS NOT NULL AS goes FROM lines l LEFT JOIN solid s USING (r, p) LEFT JOIN gone g ON g.r = l.r AND g.b = s.b),
 -- a blank line goes if the lines with a word on both sides of it go

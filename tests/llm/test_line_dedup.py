@@ -9,7 +9,7 @@ from sqlcheck import mismatch
 from storelytics.llm import line_dedup
 
 
-def brute(rows, run):
+def brute(rows, run, long_words=None):
     """doc_id, n_lines, n_removed, text in the order of the rows; rows of one id in the order given."""
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
     seen, out = set(), []
@@ -18,11 +18,15 @@ def brute(rows, run):
         lines = (t or "").split("\n")
         solid = [p for p, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
         gone = set()
-        for b in range(len(solid) - run + 1):
-            key = tuple(lines[p] for p in solid[b : b + run])
-            if key in seen:
-                gone.update(range(b, b + run))
-            seen.add(key)
+        for b in range(len(solid)):
+            for width in range(1, run + 1):
+                key = tuple(lines[p] for p in solid[b : b + width])
+                words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in key)
+                if len(key) < width or width < run and not (long_words and words >= long_words):
+                    continue
+                if key in seen:
+                    gone.update(range(b, b + width))
+                seen.add(key)
         places = {solid[b] for b in gone}
         for b in gone:
             if b + 1 in gone:
@@ -42,6 +46,24 @@ def test_matches_brute_force(docs, run, letters):
     assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute(rows, run)
 
 
+@pytest.mark.parametrize(("run", "long_words"), [(3, 4), (4, 5), (2, 3)])
+def test_long_runs_of_few_lines_match_brute_force(docs, run, long_words):
+    rng = random.Random(run * long_words)
+    line = lambda: rng.choice(["", " "]) if rng.random() < 0.15 else " ".join(rng.choice("ab") for _ in range(rng.choice([1, 1, 2, 3, 5])))
+    rows = [(1, None), (2, ""), (None, "a b a b a"), (4, "a b a b a"), (5, "x\ty\vz  w v")]
+    rows += [(i, "\n".join(line() for _ in range(rng.randint(0, 12)))) for i in range(10, 70)]
+    got = line_dedup.dedup(docs(*rows), run, long_words)
+    assert sorted(map(tuple, got.select("doc_id", "n_lines", "n_removed", "text").collect()), key=str) == brute(rows, run, long_words)
+
+
+def test_a_long_line_goes_wherever_it_stands(docs):
+    """A passage of 120 words on one line among other lines, and two equal documents of one line; a short line stays."""
+    line = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, f"one\n{line}\nshort"), (2, f"two\n{line}\nother\nshort"), (3, line), (4, " ".join("ab" for _ in range(40))), (5, " ".join("ab" for _ in range(40)))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(docs(*rows), 3, 35).collect()}
+    assert got == {1: rows[0][1], 2: "two\nother\nshort", 3: "", 4: rows[3][1], 5: ""}
+
+
 def test_repeated_rows_and_extra_columns(docs):
     table = docs((5, "a\nb\nc"), (5, "a\nb\nc"), (6, "a\nb\nc\nd"))
     got = line_dedup.dedup(table)

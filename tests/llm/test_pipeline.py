@@ -38,7 +38,7 @@ def test_quality_takes_what_the_score_says(spark, steps):
 
 
 def test_lines(steps):
-    want = {i: (t, len(t)) for i, _, _, t in brute_lines(texts(steps[1]), 3)}
+    want = {i: (t, len(t)) for i, _, _, t in brute_lines(texts(steps[1]), 3, 35)}
     assert {r.doc_id: (r.text, r.n_chars) for r in steps[2]} == want
 
 
