@@ -57,6 +57,13 @@ def dropped_shuffles(spark: SparkSession) -> Iterator[None]:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from storelytics.llm.common import cut
+from storelytics.llm.common import cut, unused
 
 STATS = "_text_stats"
 NAMES = [
@@ -33,6 +33,7 @@ NAMES = [
     "upper", "digits", "marks", "symbols", "other_letters", "bare_words",
 ]
 TREES, DEPTH, PENALTY = 20, 3, 0.002
+FIT_PARTS = 32
 
 # Classes of bytes: 1 upper, 2 lower, 3 digit, 4 punctuation, 5 symbols that prose has no use for, 6 beyond ASCII.
 _CLASS = np.zeros(256, np.uint8)
@@ -140,8 +141,10 @@ def held_out(column: str = "doc_id") -> Column:
 def learn(numbers: DataFrame, labels: DataFrame, column: str = "quality") -> Ensemble:
     """Fit on the labelled rows of ``numbers`` (doc_id and statistics) that are not held out."""
     marks = labels.filter(F.col(column).isin(0, 1)).select("doc_id", F.col(column).cast("int").alias("label"))
-    rows = numbers.filter(~held_out()).join(marks, "doc_id").select("label", STATS)
-    return fit(cut(rows))
+    rows = numbers.filter(~held_out()).join(marks, "doc_id").select("doc_id", "label", STATS)
+    # Samples and bins of the fit go by partition and place: rows are laid out by their values, so any partitioning of the input fits alike.
+    order = ["doc_id", "label", STATS]
+    return fit(cut(rows.repartition(FIT_PARTS, *order).sortWithinPartitions(*order)).drop("doc_id"))
 
 
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -154,7 +157,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents predicted good, all columns kept."""
-    numbers = with_statistics(docs.select("doc_id", "text")).drop("text")
-    score = learn(numbers, labels).score()
-    return with_statistics(docs).filter(score >= threshold).drop(STATS)
+    """The documents predicted good, all columns kept. Rows are told apart by place, so ``docs`` must be a table at rest."""
+    row = unused(docs, "_row")
+    place = F.monotonically_increasing_id().alias(row)
+    numbers = cut(with_statistics(docs.select(place, "doc_id", "text")).drop("text"))
+    good = numbers.filter(learn(numbers, labels).score() >= threshold).select(row)
+    # What is kept grows with the corpus: the join is a shuffle at every size.
+    return docs.select("*", place).join(good.hint("merge"), row, "left_semi").select(*docs.columns)

@@ -34,7 +34,7 @@ def test_quality_takes_what_the_score_says(spark, steps):
     scores = rule_ensemble.scored(table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels"))
     want = {r.doc_id for r in scores.collect() if r.predicted}
     got = {r.doc_id for r in steps[1]}
-    assert len(got ^ want) <= 3 and 800 < len(got) < 1000  # two fits of one forest may differ in a hair
+    assert got == want and 800 < len(got) < 1000
 
 
 def test_lines(steps):

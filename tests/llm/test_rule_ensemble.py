@@ -7,6 +7,7 @@ import pytest
 
 from storelytics.llm import queries
 from storelytics.llm import rule_ensemble as ens
+from storelytics.llm.common import cut, table
 
 FOLDER = "/root/testdata/sf0.1"
 
@@ -56,3 +57,22 @@ def test_statistics():
     s = dict(zip(ens.NAMES, ens.statistics("Ab 12 #x\nAb 12 #x\nb ü")))
     assert (s["words"], s["lines"], s["upper"], s["digits"], s["symbols"]) == (8, 3, 2 / 15, 4 / 15, 2 / 15)
     assert s["repeated_lines"] == pytest.approx(1 / 3) and s["bare_words"] == 0.5
+
+
+def test_scores_do_not_turn_on_the_partitioning(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+
+    def scores(of):
+        return {r.doc_id: (r.score, r.predicted) for r in ens.scored(of, labels).collect()}
+
+    one, other = scores(docs), scores(cut(docs.repartition(7)))
+    assert {k: v[1] for k, v in one.items()} == {k: v[1] for k, v in other.items()}
+    assert max(abs(one[k][0] - other[k][0]) for k in one) < 1e-9
+
+
+def test_keeping_keeps_every_column(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    wide = cut(docs.selectExpr("*", "doc_id * 2 AS _row", "1 AS __row"))
+    kept = ens.keep_good(wide, labels)
+    assert kept.columns == wide.columns and 0 < kept.count() < wide.count()
+    assert kept.filter("_row <> doc_id * 2").count() == 0
