@@ -3,6 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from storelytics.functions import nest
+from storelytics.functions.ordered import ranged
 from storelytics.operators import customers as C
 from storelytics.operators import orders as O
 from storelytics.operators import requests as Q
@@ -182,11 +184,16 @@ def test_envelope_cuts_and_keeps_the_order(frame):
     assert [r["id"] for r in record["data"]["orders"]] == [5, 8, 1, 4]
 
 
-def test_narrow_listings_read_only_what_they_show(tables):
+def test_narrow_listings_read_only_what_they_show(tables, monkeypatch):
+    """Counted over all plans of a listing: its own and those of the rows it lays out by ranges on the way."""
+    laid = []
+    monkeypatch.setattr(nest, "ranged", lambda rows, order: laid.append(rows) or ranged(rows, order))
     some = tables.users.filter("user_id = 7").select("user_id")
-    for df in (
-        Q.customer_request_list(tables.request_masters, tables.requests, tables.addresses, ids=some),
-        O.recent_orders(tables.orders, tables.order_items, ids=some),
-        Q.request_list(tables.request_masters, tables.requests, tables.users, tables.addresses, status="Rejected"),
+    for listing in (
+        lambda: Q.customer_request_list(tables.request_masters, tables.requests, tables.addresses, ids=some),
+        lambda: O.recent_orders(tables.orders, tables.order_items, ids=some),
+        lambda: Q.request_list(tables.request_masters, tables.requests, tables.users, tables.addresses, status="Rejected"),
     ):
-        assert df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+        laid.clear()
+        plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [listing(), *laid]]
+        assert sum(p.count("LeftSemi") for p in plans) >= 2
