@@ -1,4 +1,4 @@
-"""Picking title, description, image, icon and author of a page from its column ``elements``."""
+"""Picking title, description, image, icon and author of a page from its columns ``elements`` and ``page_text``."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from storelytics.functions.titles import clean_title, title_part, trim, trim_sql
 from storelytics.functions.urls import absolute_link, domain, resolve_url
 from storelytics.operators.preview import rules
 from storelytics.operators.preview.scan import elements
-from storelytics.operators.preview.select import attr, attr_sql, filled, first, first_sql, pick
+from storelytics.operators.preview.select import attr, attr_sql, filled, first, first_sql, pick, text, text_of, text_sql
 
 LINKED_DATA = "`@type` string, name string, `@graph` array<struct<`@type`:string, name:string>>"
 
@@ -32,7 +32,7 @@ def linked_name() -> Column:
     )
 
     def name(script):
-        data = F.from_json(script["text"], LINKED_DATA)
+        data = F.from_json(text_of(script), LINKED_DATA)
         in_graph = F.filter(data["@graph"], lambda item: item["@type"].isin("Product", "IndividualProduct"))
         root = F.when(data["@type"] == "Product", filled(data["name"]))
         return F.coalesce(root, filled(F.get(in_graph, F.lit(0))["name"]))
@@ -42,20 +42,20 @@ def linked_name() -> Column:
 
 def _content(selectors: list[str]) -> Column:
     """Content, value or text of the first selector that yields any."""
-    values = [attr_sql("content"), attr_sql("value"), "e.text"]
+    values = [attr_sql("content"), attr_sql("value"), text_sql()]
     return filled(trim(F.coalesce(*[pick(s, values) for s in selectors])))
 
 
 def page_title() -> Column:
-    return filled(trim(F.regexp_replace(first("title")["text"], "[\\t\\n\\f\\r ]+", " ")))
+    return filled(trim(F.regexp_replace(text("title"), "[\\t\\n\\f\\r ]+", " ")))
 
 
 def title() -> Column:
     """Product title: linked data, metas, product elements, any headline, page title, generic elements."""
     metas = [pick(s, [trim_sql(attr_sql("content"))]) for s in rules.TITLE_METAS]
     long = "length(t) > 3"
-    shown = F.coalesce(*[pick(s, [trim_sql("e.text")], long) for s in rules.TITLE_ELEMENTS])
-    headlines = F.expr(f"transform(filter(elements, e -> e.tag = 'h1'), e -> {trim_sql('e.text')})")
+    shown = F.coalesce(*[pick(s, [trim_sql(text_sql())], long) for s in rules.TITLE_ELEMENTS])
+    headlines = F.expr(f"transform(filter(elements, e -> e.tag = 'h1'), e -> {trim_sql(text_sql())})")
     headline = F.get(F.filter(headlines, lambda t: F.length(t) > 3), F.lit(0))
     # An element whose text cleans to nothing still ends the search for better product titles.
     product = filled(F.coalesce(clean_title(shown), headline, title_part(page_title())))
@@ -64,7 +64,7 @@ def title() -> Column:
 
 def description() -> Column:
     """Description by rule, then by meta name, then the first paragraph."""
-    return F.coalesce(_content(rules.DESCRIPTIONS), meta("description"), first("p")["text"])
+    return F.coalesce(_content(rules.DESCRIPTIONS), meta("description"), text("p"))
 
 
 def _side(name: str, node: str) -> str:
@@ -169,12 +169,12 @@ def site_preview(pages: DataFrame, site: str, site_rules: dict | None = None) ->
     """
     chosen = site_rules or rules.SITE
 
-    def element(kind):
-        return F.coalesce(*[first(s) for s in chosen[kind]])
+    def shown(kind):
+        return F.coalesce(*[text(s) for s in chosen[kind]])
 
     found = elements(pages.filter(F.lower("url").contains(site))).select(
-        "page_id", "url", element("title")["text"].alias("title"), element("description")["text"].alias("description"),
-        element("image")["attrs"].alias("picture"),
+        "page_id", "url", shown("title").alias("title"), shown("description").alias("description"),
+        F.coalesce(*[first(s) for s in chosen["image"]])["attrs"].alias("picture"),
     )
     source = F.coalesce(
         resolve_url(F.col("url"), filled(F.col("picture")["src"])), filled(F.col("picture")["data-src"]),

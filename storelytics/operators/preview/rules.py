@@ -87,6 +87,3 @@ SITE = {
     "image": [".image-grid-imageContainer img", ".pdp-image img", ".img-responsive"],
 }
 SITE_DEFAULTS = {"title": "Product Title Not Available", "description": "No description available"}
-
-# Words in class, id or test-id attributes that some selector above looks for.
-TEXT_WORDS = ["product", "title", "name", "description", "bullets", "breadcrumb", "pdp", "descriptors"]

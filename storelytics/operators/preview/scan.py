@@ -1,32 +1,34 @@
 """One pass over page HTML that lists the elements the preview rules can look at.
 
 This is the only step outside the JVM: Arrow batches of pages go to the standard library's HTML tokenizer
-and come back as one array column per page. Every page is read whole.
+and come back as one text and one array of elements per page. Every page is read whole, where its file's split is read: HTML
+is under no exchange.
+
+A page's elements are a tree labelled by intervals. ``pos`` counts all elements of the page; an element holds those with a
+``pos`` above its own and up to its ``last``. Its text is the bytes from ``start`` to ``until`` of ``page_text``, the UTF-8 of all the
+page's character data. So no text and no ancestor is written twice, and a result is as long as its page however deep that nests.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
-from storelytics.operators.preview.rules import TEXT_WORDS
-
 ELEMENTS = (
-    "array<struct<pos:int, tag:string, id:string, cls:string, attrs:map<string,string>, text:string, "
-    "first_of_type:boolean, last_child:boolean, above:array<struct<id:string, cls:string>>>>"
+    "array<struct<pos:int, last:int, tag:string, id:string, cls:string, attrs:map<string,string>, start:int, until:int, "
+    "first_of_type:boolean, last_child:boolean>>"
 )
-_PLACE = pa.struct([("id", pa.string()), ("cls", pa.string())])
 _ELEMENT = pa.struct(
     [
-        ("pos", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("cls", pa.string()),
-        ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()),
-        ("first_of_type", pa.bool_()), ("last_child", pa.bool_()), ("above", pa.list_(_PLACE)),
+        ("pos", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("cls", pa.string()),
+        ("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("until", pa.int32()),
+        ("first_of_type", pa.bool_()), ("last_child", pa.bool_()),
     ]
 )
 
@@ -40,18 +42,18 @@ ALWAYS_LISTED = {"title", "meta", "h1", "p", "img", "link"}
 
 
 class _Scan(HTMLParser):
-    def __init__(self, every_text: bool = False):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.every_text = every_text
         self.listed: list[dict] = []
-        self.text: list[str] = []
-        self.open: list[dict] = [self._node("", None)]
+        self.text: list[bytes] = []
+        self.size = 0
+        self.open: list[dict] = [self._node("", None, False)]
+        self.open_tags: Counter = Counter()
         self.seen = 0
-        self.paragraphs = 0
 
     @staticmethod
-    def _node(tag, element, start=0, place=None):
-        return {"tag": tag, "element": element, "start": start, "place": place, "kinds": set(), "last": None}
+    def _node(tag, element, named):
+        return {"tag": tag, "element": element, "named": named, "kinds": set(), "last": None}
 
     def handle_starttag(self, tag, attrs):
         if tag in ENDS_PARAGRAPH:
@@ -62,30 +64,26 @@ class _Scan(HTMLParser):
         for name, value in attrs:  # the first of repeated attributes counts
             values.setdefault(name, value or "")
         parent = self.open[-1]
-        element = self._list(tag, values, tag not in parent["kinds"])
+        element = self._list(tag, values, tag not in parent["kinds"], parent["named"])
         parent["kinds"].add(tag)
         parent["last"] = element
         if tag not in VOID:
-            place = {"id": values.get("id"), "cls": values.get("class")}
-            self.open.append(self._node(tag, element, len(self.text), place if any(place.values()) else None))
+            named = parent["named"] or bool(values.get("id") or values.get("class"))
+            self.open.append(self._node(tag, element, named))
+            self.open_tags[tag] += 1
 
-    def _list(self, tag, values, first):
+    def _list(self, tag, values, first, inside_named):
         self.seen += 1
-        named = " ".join(values.get(k, "") for k in ("class", "id", "data-testid")).lower()
-        above = [n["place"] for n in self.open if n["place"]]
-        data = tag == "script" and values.get("type") == "application/ld+json"
         wanted = (
-            tag in ALWAYS_LISTED or data or named.strip() or (above and tag in ("li", "span"))
+            tag in ALWAYS_LISTED or (tag == "script" and values.get("type") == "application/ld+json")
+            or any(values.get(k, "").strip() for k in ("class", "id", "data-testid")) or (inside_named and tag in ("li", "span"))
             or any(k.startswith("data-") for k in values)
         )
         if not wanted:
             return None
-        self.paragraphs += tag == "p"
         element = {
-            "pos": self.seen, "tag": tag, "id": values.get("id"), "cls": values.get("class"), "attrs": list(values.items()),
-            "text": None, "first_of_type": first, "last_child": False, "above": above,
-            "keep_text": self.every_text or tag in ("title", "h1", "li", "span") or data or (tag == "p" and self.paragraphs == 1)
-            or "data-product-title" in values or any(w in named for w in TEXT_WORDS),
+            "pos": self.seen, "last": self.seen, "tag": tag, "id": values.get("id"), "cls": values.get("class"),
+            "attrs": list(values.items()), "start": self.size, "until": self.size, "first_of_type": first, "last_child": False,
         }
         self.listed.append(element)
         return element
@@ -99,10 +97,11 @@ class _Scan(HTMLParser):
             self._close("p")
 
     def _close(self, tag) -> bool:
-        if not any(n["tag"] == tag for n in self.open):
+        if not self.open_tags[tag]:
             return False
         while True:
             node = self.open.pop()
+            self.open_tags[node["tag"]] -= 1
             self._finish(node)
             if node["tag"] == tag:
                 return True
@@ -110,50 +109,44 @@ class _Scan(HTMLParser):
     def _finish(self, node):
         if node["last"] is not None:
             node["last"]["last_child"] = True
-        element = node["element"]
-        if element is not None and element.pop("keep_text"):
-            element["text"] = "".join(self.text[node["start"]:])
+        if node["element"] is not None:
+            node["element"].update(last=self.seen, until=self.size)
 
     def handle_data(self, data):
-        self.text.append(data)
+        self.text.append(data.encode("utf-8", "replace"))
+        self.size += len(self.text[-1])
 
-    def elements(self, html: str) -> list[dict]:
+    def page(self, html: str) -> tuple[bytes, list[dict]]:
         self.feed(html)
         self.close()
         while self.open:
             self._finish(self.open.pop())
-        return self.listed
+        return b"".join(self.text), self.listed
 
 
-def _listed(html: str | None, every_text: bool = False) -> list[dict]:
-    """Elements of one page; a page the tokenizer cannot read has none."""
+def _listed(html: str | None) -> tuple[bytes, list[dict]]:
+    """Text and elements of one page; a page the tokenizer cannot read has none."""
     try:
-        return _Scan(every_text).elements(html or "")
+        return _Scan().page(html or "")
     except (AssertionError, ValueError):
-        return []
+        return b"", []
 
 
-def _scan_batches(batches: Iterator[pa.RecordBatch], every_text: bool = False) -> Iterator[pa.RecordBatch]:
+def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = batch.column("html").to_pylist()
-        lists = pa.array([_listed(html, every_text) for html in pages], pa.list_(_ELEMENT))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), lists], ["page_id", "url", "elements"])
+        pages = [_listed(html) for html in batch.column("html").to_pylist()]
+        texts = pa.array([text for text, _ in pages], pa.binary())
+        lists = pa.array([listed for _, listed in pages], pa.list_(_ELEMENT))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), texts, lists], ["page_id", "url", "page_text", "elements"]
+        )
 
 
 # Executors need not have this package installed: the scan travels to them with the job.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _spread(pages: DataFrame) -> DataFrame:
-    """Pages in at least as many partitions as there are cores. A table of many files is left as it is."""
-    cores = pages.sparkSession.sparkContext.defaultParallelism
-    return pages if pages.rdd.getNumPartitions() >= cores else pages.repartition(cores, "page_id")
-
-
-def elements(pages: DataFrame, every_text: bool = False) -> DataFrame:
-    """(page_id, url, elements) for ``pages`` (page_id, url, html).
-
-    Texts are kept of the elements the preview's own rules look at, or of all that are listed with ``every_text``.
-    """
-    needed = _spread(pages.select("page_id", "url", "html"))
-    return needed.mapInArrow(partial(_scan_batches, every_text=every_text), f"page_id long, url string, elements {ELEMENTS}")
+def elements(pages: DataFrame) -> DataFrame:
+    """(page_id, url, page_text, elements) for ``pages`` (page_id, url, html); a null page has no text and no elements."""
+    needed = pages.select("page_id", "url", "html")
+    return needed.mapInArrow(_scan_batches, f"page_id long, url string, page_text binary, elements {ELEMENTS}")

@@ -1,7 +1,7 @@
-"""CSS selectors of the few forms in use, as predicates on a listed element.
+"""CSS selectors of the few forms in use, as SQL over a page's columns ``elements`` and ``page_text``.
 
-A selector becomes one SQL predicate: a page is tested against about sixty of them, and a text is parsed inside
-the JVM in one call where the same predicate as Column objects takes dozens.
+A selector becomes one SQL expression: a page is tested against about sixty of them, and a text is parsed inside
+the JVM in one call where the same expression as Column objects takes dozens.
 """
 
 from __future__ import annotations
@@ -38,16 +38,23 @@ def _tests(step: str, node: str) -> str:
     return " AND ".join(tests)
 
 
-def matches(selector: str, node: str = "e") -> str:
-    """SQL predicate: does the selector match the element ``node``?"""
+def matches(selector: str) -> str:
+    """SQL for the elements of the page that the selector matches, in order.
+
+    The steps before the last name enclosing elements by class or id; those are looked up once for a page.
+    """
     *outer, own = re.split(r" (?![^\[]*\])", selector)  # blanks inside an attribute value do not count
-    inside = [f"exists({node}.above, place -> {_tests(step, 'place')})" for step in outer]
-    return " AND ".join([_tests(own, node), *inside])
+    inside = [f"exists(o[{k}], o -> o.pos < e.pos AND e.pos <= o.last)" for k in range(len(outer))]
+    own_found = f"filter(elements, e -> coalesce({' AND '.join([_tests(own, 'e'), *inside])}, false))"
+    if not outer:
+        return own_found
+    around = ", ".join(f"filter(elements, e -> coalesce({_tests(step, 'e')}, false))" for step in outer)
+    return f"flatten(transform(array(array({around})), o -> {own_found}))"
 
 
 def first_sql(selector: str) -> str:
     """SQL for the first element of the page that the selector matches, or NULL."""
-    return f"get(filter(elements, e -> coalesce({matches(selector)}, false)), 0)"
+    return f"get({matches(selector)}, 0)"
 
 
 def first(selector: str) -> Column:
@@ -58,17 +65,31 @@ def attr_sql(name: str, node: str = "e") -> str:
     return f"element_at({node}.attrs, '{name}')"
 
 
+def text_sql(node: str = "e") -> str:
+    return f"CAST(substring(page_text, {node}.start + 1, {node}.until - {node}.start) AS STRING)"
+
+
+def text_of(element: Column) -> Column:
+    """The text inside an element of the page."""
+    return F.substring(F.col("page_text"), element["start"] + 1, element["until"] - element["start"]).cast("string")
+
+
 def pick(selector: str, values: list[str], test: str = "t <> ''") -> Column:
     """The first of ``values`` (SQL over ``e``) of the selector's first element that passes ``test`` (over ``t``)."""
-    found = f"slice(filter(elements, e -> coalesce({matches(selector)}, false)), 1, 1)"
+    found = f"slice({matches(selector)}, 1, 1)"
     return F.expr(f"get(filter(flatten(transform({found}, e -> array({', '.join(values)}))), t -> {test}), 0)")
 
 
+def text(selector: str) -> Column:
+    """Text of the selector's first element, which may be empty."""
+    return pick(selector, [text_sql()], "t IS NOT NULL")
+
+
 def attr(selector: str, name: str) -> Column:
     """Attribute of the selector's first element; a missing and an empty one are both NULL."""
     return pick(selector, [attr_sql(name)])
 
 
-def filled(text: Column) -> Column:
-    """``text``, or NULL where it is empty; the text is computed once."""
-    return F.get(F.filter(F.array(text), lambda t: t != ""), F.lit(0))
+def filled(value: Column) -> Column:
+    """``value``, or NULL where it is empty; the value is computed once."""
+    return F.get(F.filter(F.array(value), lambda t: t != ""), F.lit(0))

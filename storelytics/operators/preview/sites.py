@@ -21,7 +21,7 @@ from storelytics.functions.urls import host, resolve_url, second_last_step
 from storelytics.operators.preview import cascade, rules
 from storelytics.operators.preview.jobs import api_preview
 from storelytics.operators.preview.scan import elements
-from storelytics.operators.preview.select import filled
+from storelytics.operators.preview.select import filled, text_of
 from storelytics.session import cut
 
 FIELDS = ["title", "description", "image"]
@@ -70,14 +70,15 @@ def _named(step: Column, node: Column) -> Column:
     return ((step["id"] == "") | (node["id"] == step["id"])) & F.forall(step["classes"], lambda c: F.array_contains(classes, c))
 
 
-def _fits(rule: Column, e: Column) -> Column:
+def _fits(rule: Column, around: Column, e: Column) -> Column:
+    """Does the rule match ``e``? ``around`` holds, for each step before the last, the elements it names."""
     own = rule["own"]
 
     def stated(a: Column) -> Column:
         value = F.when(a["name"] == "class", e["cls"]).when(a["name"] == "id", e["id"]).otherwise(F.element_at(e["attrs"], a["name"]))
         return F.when(a["op"] == "", value.isNotNull()).when(a["op"] == "=", value == a["value"]).otherwise(value.contains(a["value"]))
 
-    inside = F.forall(rule["outer"], lambda step: F.exists(e["above"], lambda place: F.coalesce(_named(step, place), F.lit(False))))
+    inside = F.forall(around, lambda named: F.exists(named, lambda o: (o["pos"] < e["pos"]) & (e["pos"] <= o["last"])))
     tests = [
         (own["tag"] == "") | (e["tag"] == own["tag"]), _named(own, e), F.forall(own["attributes"], stated),
         ~own["first_of_type"] | e["first_of_type"], ~own["last_child"] | e["last_child"], inside,
@@ -87,8 +88,14 @@ def _fits(rule: Column, e: Column) -> Column:
 
 def _found(field: str) -> Column:
     """The first element of the field's first rule that matches any."""
-    own = F.filter("rules", lambda r: r["field"] == field)
-    return F.get(F.flatten(F.transform(own, lambda r: F.slice(F.filter("elements", lambda e: _fits(r, e)), 1, 1))), F.lit(0))
+    def around(rule):
+        return F.transform(rule["outer"], lambda step: F.transform(
+            F.filter("elements", lambda o: F.coalesce(_named(step, o), F.lit(False))), lambda o: F.struct(o["pos"].alias("pos"), o["last"].alias("last"))
+        ))
+
+    own = F.transform(F.filter("rules", lambda r: r["field"] == field), lambda r: F.struct(r.alias("rule"), around(r).alias("around")))
+    found = F.transform(own, lambda r: F.slice(F.filter("elements", lambda e: _fits(r["rule"], r["around"], e)), 1, 1))
+    return F.get(F.flatten(found), F.lit(0))
 
 
 def site_of(url: Column, site_rules: DataFrame) -> Column:
@@ -98,16 +105,16 @@ def site_of(url: Column, site_rules: DataFrame) -> Column:
 
 
 def _scanned(pages: DataFrame, site_rules: DataFrame) -> DataFrame:
-    """(page_id, url, elements, site, rules) of the pages of known sites, with the text of every element that is listed."""
+    """(page_id, url, page_text, elements, site, rules) of the pages of known sites."""
     of = site_of(F.col("url"), site_rules)
     known = pages.select("page_id", "url", "html").withColumn("site", of).filter("site IS NOT NULL")
-    return elements(known, every_text=True).withColumn("site", of).join(parsed(site_rules), "site")
+    return elements(known).withColumn("site", of).join(parsed(site_rules), "site")
 
 
 def _by_rules(scanned: DataFrame) -> DataFrame:
-    found = scanned.select(
-        "page_id", "url", "site", _found("title")["text"].alias("title"), _found("description")["text"].alias("description"),
-        _found("image")["attrs"].alias("picture"),
+    first = scanned.select("page_id", "url", "site", "page_text", *[_found(f).alias(f) for f in FIELDS])
+    found = first.select(
+        "page_id", "url", "site", *[text_of(F.col(f)).alias(f) for f in ("title", "description")], F.col("image")["attrs"].alias("picture")
     )
     source = F.coalesce(
         resolve_url(F.col("url"), filled(F.col("picture")["src"])), filled(F.col("picture")["data-src"]),

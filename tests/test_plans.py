@@ -26,6 +26,11 @@ def test_no_cross_product_and_no_python(spark, name):
     assert "Python" not in text.replace("PythonMapInArrow", "") and "BatchEvalPython" not in text
 
 
+@pytest.mark.parametrize("name", ["p03_element_counts", "p06_title", "p10_image", "p15_link_preview", "p16_site_preview"])
+def test_html_is_under_no_exchange(spark, name):
+    assert "Exchange" not in plan(spark, name)
+
+
 def test_date_windows_reach_the_scan(spark):
     text = plan(spark, "r03_revenue_summary")
     assert "GreaterThanOrEqual(o_orderdate" in text
@@ -56,7 +61,8 @@ def test_executors_need_no_package(spark):
     from storelytics.operators.preview import scan
 
     blob = cloudpickle.dumps(scan._listed)
-    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); print(len(f('<title>x</title><h1>y</h1>')))"
+    code = "import sys, pickle; f = pickle.loads(sys.stdin.buffer.read()); print(len(f('<title>x</title><h1>y</h1>')[1]))"
     done = subprocess.run([sys.executable, "-c", code], input=blob, capture_output=True, cwd="/", env={"PATH": "/usr/bin"})
     assert done.stdout.strip() == b"2", done.stderr
-    assert pickle.loads(blob)("<h1>a</h1>")[0]["text"] == "a"
+    whole, (only,) = pickle.loads(blob)("<h1>a</h1>")
+    assert whole[only["start"]:only["until"]] == b"a"

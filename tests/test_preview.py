@@ -7,7 +7,7 @@ from storelytics.operators.preview import cascade as C
 from storelytics.operators.preview import jobs as J
 from storelytics.operators.preview import rules
 from storelytics.operators.preview.scan import _Scan, elements
-from storelytics.operators.preview.select import first
+from storelytics.operators.preview.select import first, text
 
 
 @pytest.fixture
@@ -85,23 +85,51 @@ PAGE = """<html><head><title> Page &amp; title </title><!-- <h1>no</h1> --></hea
 
 
 def test_scan():
-    found = _Scan().elements(PAGE)
-    tags = [(e["tag"], e["text"]) for e in found]
+    whole, found = _Scan().page(PAGE)
+    text = [whole[e["start"]:e["until"]].decode() for e in found]
+    tags = list(zip([e["tag"] for e in found], text))
     assert ("title", " Page & title ") in tags and not any(t == "h1" for t, _ in tags)
     # the second paragraph ends the first; the stray end tag makes an empty third one
-    assert [t for t in tags if t[0] == "p"] == [("p", "one two"), ("p", None), ("p", None)]
+    assert [t for t in tags if t[0] == "p"][:1] == [("p", "one two")] and ("p", "three") in tags and len([t for t in tags if t[0] == "p"]) == 3
     assert ("div", "Big name") in tags
-    items = [e for e in found if e["tag"] == "li"]
-    assert [(e["text"], e["last_child"], e["first_of_type"]) for e in items] == [("Home", False, True), ("Shoes", True, False)]
-    assert items[0]["above"] == [{"id": None, "cls": "breadcrumb"}]
+    items = [(e, t) for e, t in zip(found, text) if e["tag"] == "li"]
+    assert [(t, e["last_child"], e["first_of_type"]) for e, t in items] == [("Home", False, True), ("Shoes", True, False)]
+    above = [e for e in found if e["pos"] < items[0][0]["pos"] <= e["last"]]
+    assert [(e["tag"], e["id"], e["cls"]) for e in above] == [("ul", None, "breadcrumb")]
+
+
+def test_scan_is_linear_in_the_page():
+    """Ten times the depth or the elements give ten times the result: nothing is written once per level."""
+
+    def size(html):
+        whole, found = _Scan().page(html)
+        assert found
+        return len(whole) + sum(len(str(e)) for e in found)
+
+    makers = [
+        lambda n: '<div class="product name">word ' * n, lambda n: '<span id="product">w' * n + "</span>" * n,
+        lambda n: '<ul class="breadcrumb"><li>Home' * n, lambda n: '<h1 class="product">a</h1></b></i>' * n, lambda n: "<p>" * n + "</q>" * n,
+    ]
+    for make in makers:
+        assert size(make(10_000)) < 12 * size(make(1_000))
+
+
+def test_texts_of_a_deep_and_wide_page(pick):
+    """Bytes and characters differ; inner texts are parts of outer ones."""
+    deep = '<div class="outer">\u00fc\u20ac<div class="inner">\U0001f600 x</div>z</div><h1>\u00e9nd\u00e9d</h1>'
+    assert pick(deep, text(".outer")) == "\u00fc\u20ac\U0001f600 xz" and pick(deep, text(".inner")) == "\U0001f600 x"
+    assert pick(deep, text("h1")) == "\u00e9nd\u00e9d" and pick(deep, text(".none")) is None and pick("<p></p>", text("p")) == ""
+    assert pick(deep, text(".outer .inner")) == "\U0001f600 x" and pick(deep, text(".outer h1")) is None
+    assert pick("&#xD800;<p>a&#0;b&#x110000;</p>", text("p")) == "a\ufffdb\ufffd"
+    assert pick(None, text("p")) is None and pick("", text("p")) is None
 
 
 def test_selectors_on_a_page(pick):
-    assert pick(PAGE, first(".a")["text"]) == "Big name"
+    assert pick(PAGE, text(".a")) == "Big name"
     assert pick(PAGE, first("#main")["tag"]) == "div"
     assert pick(PAGE, first(".product")) is None
     assert pick(PAGE, first('[class*="product"][class*="Title"]')["id"]) == "main"
-    assert pick(PAGE, first(".breadcrumb li:last-child")["text"]) == "Shoes"
+    assert pick(PAGE, text(".breadcrumb li:last-child")) == "Shoes"
     assert pick(PAGE, first("span[data-x]")["tag"]) == "span"
 
 
