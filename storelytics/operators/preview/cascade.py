@@ -11,15 +11,14 @@ from storelytics.functions.titles import clean_title, title_part, trim, trim_sql
 from storelytics.functions.urls import absolute_link, domain, resolve_url
 from storelytics.operators.preview import rules
 from storelytics.operators.preview.scan import elements
-from storelytics.operators.preview.select import attr, attr_sql, filled, first, first_sql, pick, text, text_of, text_sql
+from storelytics.operators.preview.select import META_FORMS, attr, attr_sql, filled, first, first_sql, pick, text, text_of, text_sql
 
 LINKED_DATA = "`@type` string, name string, `@graph` array<struct<`@type`:string, name:string>>"
 
 
 def meta(name: str) -> Column:
     """Meta content by plain name, then Open Graph, then Twitter name."""
-    forms = [f'meta[name="{name}"]', f'meta[property="og:{name}"]', f'meta[name="twitter:{name}"]']
-    return F.coalesce(*[attr(form, "content") for form in forms])
+    return F.coalesce(*[attr(form.format(name), "content") for form in META_FORMS])
 
 
 def linked_name() -> Column:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from storelytics.operators.preview.select import indexed
+
 ELEMENTS = (
     "array<struct<pos:int, last:int, tag:string, id:string, cls:string, attrs:map<string,string>, start:int, until:int, "
     "first_of_type:boolean, last_child:boolean>>"
@@ -147,6 +149,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """(page_id, url, page_text, elements) for ``pages`` (page_id, url, html); a null page has no text and no elements."""
+    """(page_id, url, page_text, elements, hits, steps) for ``pages`` (page_id, url, html); a null page has no text and no elements.
+
+    ``hits`` and ``steps`` are the index of the built-in selectors; a query that does not use them does not compute them.
+    """
     needed = pages.select("page_id", "url", "html")
-    return needed.mapInArrow(_scan_batches, f"page_id long, url string, page_text binary, elements {ELEMENTS}")
+    return indexed(needed.mapInArrow(_scan_batches, f"page_id long, url string, page_text binary, elements {ELEMENTS}"))

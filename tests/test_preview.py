@@ -254,3 +254,40 @@ def test_every_page_of_a_known_site_has_a_record(spark):
         1: ("one", "Rule", "No description available", None, "rule"), 2: ("one", "Served", "d", "s.png", "service"),
         3: ("one", "General", None, None, "page"), 4: ("one", "One Product", "Product information temporarily unavailable", None, "none"),
     }
+
+
+def test_index_finds_what_the_elements_themselves_give(spark):
+    """Every built-in selector by hits and by walking the elements, on random pages of the words the rules know."""
+    import random
+
+    from storelytics.operators.preview import select as S
+
+    draw = random.Random(5)
+    words = ["product", "title", "name", "image", "description", "pdp-image", "breadcrumb", "img-responsive", "pdp-title", "productTitle", "x", "product__title"]
+    metas = ["og:title", "title", "twitter:title", "description", "og:image", "author"]
+
+    def tag():
+        kind = draw.choice(["div", "h1", "p", "img", "meta", "span", "li", "ul", "link", "title", "/div", "/ul", "/span", "/h1"])
+        given = ""
+        if draw.random() < 0.6:
+            given += f' class="{draw.choice([" ", "  ", "-"]).join(draw.sample(words, draw.randint(1, 3)))}"'
+        if draw.random() < 0.3:
+            given += f' id="{draw.choice(["product-title", "product-image", "ProductPhotoImg", "main", "product title", ""])}"'
+        if draw.random() < 0.4:
+            given += draw.choice([' data-zoom-image="z"', " data-main-image", ' rel="icon"', ' data-testid="my-description"', ' data-product-title=""'])
+        if kind == "meta":
+            given += f' {draw.choice(["name", "property"])}="{draw.choice(metas)}" content="c"'
+        return f"<{kind}{'' if kind[0] == '/' else given}>t"
+
+    pages = [(n, "https://a.example/", "".join(tag() for _ in range(draw.randint(0, 80)))) for n in range(60)]
+    scanned = elements(spark.createDataFrame([*pages, (99, None, None)], "page_id long, url string, html string"))
+    listed = sorted(set(S.SELECTORS))
+    found = scanned.select(
+        *[F.expr(S.first_sql(s))["pos"].alias(f"a{k}") for k, s in enumerate(listed)],
+        *[F.expr(f"get({S.matches(s)}, 0)")["pos"].alias(f"b{k}") for k, s in enumerate(listed)],
+    ).collect()
+    for row in found:
+        for k, selector in enumerate(listed):
+            assert row[f"a{k}"] == row[f"b{k}"], selector
+    reached = [s for k, s in enumerate(listed) if any(row[f"a{k}"] is not None for row in found)]
+    assert len(reached) > 30, reached
