@@ -391,3 +391,33 @@ def test_accents_do_not_tell_users_apart(frame):
     users = frame("user_id long,email string,phone string,role string", (1, "É@x", "1", "customer"), (2, "b@x", "2", "admin"))
     found = C.lookup_users(users, frame("probe_id long,login_type string,value string", (1, "email", "é@X"), (2, "email", "e@x"), (3, "email", "c@x")))
     assert sorted(r.probe_id for r in found.collect()) == [1, 2]
+
+
+def test_audit_reads_each_table_once_and_groups_once(tables, spark):
+    audited = {
+        "users": tables.audit_users, "orders": tables.audit_orders, "order_items": tables.audit_items, "products": tables.audit_products,
+        "order_history": tables.audit_history, "addresses": tables.audit_addresses,
+    }
+
+    def count(df, what):
+        return df._jdf.queryExecution().executedPlan().toString().count(what)
+
+    own = [sum(count(t, what) for t in audited.values()) for what in ("FileScan", "Exchange hashpartitioning")]
+    found = violations(audited)
+    assert [count(found, "FileScan"), count(found, "Exchange hashpartitioning")] == [own[0], own[1] + 1]
+
+
+def test_audit_keys_apart(frame):
+    """Keys of several columns do not run together; a repeated parent is no orphan's fault; empty tables and null keys are no rows."""
+    made = {
+        "users": frame("user_id bigint, email string, role string, social_id string, social_type string",
+                       (1, "A@x", "admin", "a|b", "c"), (1, "a@X", None, "a", "b|c"), (2, None, "Admin", "a", None), (None, None, "admin", "a", None)),
+        "orders": frame("order_id bigint, user_id int, address_id bigint", (7, 1, 5), (8, 3, None), (9, 3, 5), (9, None, 5)),
+        "addresses": frame("address_id bigint, user_id bigint"),
+    }
+    got = {tuple(r) for r in violations(made).collect()}
+    assert got == {
+        ("unique", "users.user_id", "1", 2), ("unique", "users.email", "a@x", 2), ("domain", "users.role", "Admin", 1),
+        ("not null", "users.user_id", None, 1), ("foreign key", "orders.user_id", "3", 2), ("foreign key", "orders.address_id", "5", 3),
+        ("unique", "orders.order_id", "9", 2), ("not null", "orders.user_id", None, 1), ("not null", "orders.address_id", None, 1),
+    }
