@@ -72,6 +72,7 @@ def api_preview(answers: DataFrame) -> DataFrame:
     read = answers.withColumn("_s", style).filter(F.col("_s").isNotNull())
     name, text = F.col("_s.name"), F.col("_s.description")
     picture = F.get(F.col("_s.media.photos"), F.lit(0))["secureSrc"]
+    # Fixed value: the page that stands for an answer.
     page = F.format_string(
         '<html><head><title>%s</title><meta name="description" content="%s"></head>'
         '<body><h1>%s</h1><img src="%s" alt="%s"><p>%s</p></body></html>',

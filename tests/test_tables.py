@@ -1,5 +1,8 @@
 from datetime import date
 
+import pytest
+
+from storelytics import session
 from storelytics.operators import customers as C
 from storelytics.operators import reports as R
 from storelytics.sources.tables import current, publish
@@ -26,3 +29,16 @@ def test_reports_come_as_named_results(tables):
     assert report["top_customers"].count() == 10
     details = C.customer_details(tables.users, tables.orders, tables.order_items, tables.addresses, ids=[5, 7], n=2)
     assert details["customers"].count() == 2 and details["orders"].count() == 4 and details["addresses"].count() == 2
+
+
+def test_only_a_local_session_may_use_a_local_folder():
+    from types import SimpleNamespace
+
+    def made(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_folder(made(master))
+    assert session.shared_folder(made("local[4]")) and session.shared_folder(made("local"))
