@@ -210,7 +210,8 @@ ORACLE = {
     "p19_resource_class": with_tables(
         "resources",
         f"""SELECT *, CASE WHEN resource_type IN ('media', 'font', 'websocket', 'manifest', 'other')
-            OR {_has(J.BLOCKED_WORDS)} THEN 'block' WHEN resource_type = 'document' THEN 'allow'
+            OR {_has(['analytics', 'tracking', 'metrics', 'advertisement', 'sponsored', 'unagi', 'sushi', 'track', 'report', 'etracker'])}
+            THEN 'block' WHEN resource_type = 'document' THEN 'allow'
         WHEN resource_type = 'image' AND NOT {_has(['sprite', 'icon'])} THEN 'allow'
         WHEN resource_type = 'script' AND {_has(['jquery', 'main'])} THEN 'allow' ELSE 'block' END AS action FROM t_resources""",
     ),

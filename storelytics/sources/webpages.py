@@ -81,7 +81,9 @@ PAGES: dict[str, str] = {
     "resources": """
         SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'document' WHEN 1 THEN 'image' WHEN 2 THEN 'script' WHEN 3 THEN 'font'
                 WHEN 4 THEN 'other' WHEN 5 THEN 'xhr' ELSE 'stylesheet' END AS resource_type,
-            'https://cdn.example.com/' || CASE event_id % 9 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'jquery.js' WHEN 2 THEN 'Main.js'
+            'https://cdn.example.com/' || CASE event_id % 23 WHEN 1 THEN 'tracking/' WHEN 2 THEN 'metrics/' WHEN 3 THEN 'advertisement/'
+                WHEN 4 THEN 'unagi/' WHEN 5 THEN 'Sushi/' WHEN 6 THEN 'TRACK/' WHEN 7 THEN 'report/' WHEN 8 THEN 'etracker/' ELSE '' END
+            || CASE event_id % 9 WHEN 0 THEN 'a.JPG' WHEN 1 THEN 'jquery.js' WHEN 2 THEN 'Main.js'
                 WHEN 3 THEN 'sprite.png' WHEN 4 THEN 'analytics.js' WHEN 5 THEN 'Sponsored/x.png' WHEN 6 THEN 'gateway/v2/product/7'
                 WHEN 7 THEN 'favicon.jpeg' ELSE 'p.png' END AS url
         FROM {events}""",
