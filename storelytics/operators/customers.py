@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelytics.functions.claims import blind
+from storelytics.functions.claims import blind, matched
 from storelytics.functions.predicates import equals, having_ids, page, search
 from storelytics.operators.orders import recent_orders
 from storelytics.schemas import MONEY_SUM
@@ -55,9 +55,10 @@ def addresses_of(addresses, ids=None, active_only=True) -> DataFrame:
 def lookup_users(users, probes) -> DataFrame:
     """Resolve probes (probe_id, value, login_type) by email or by phone: one equi-join per kind."""
     found = [
-        probes.filter(F.col("login_type") == kind)
-        .withColumn("_value", blind("value"))
-        .join(users.select("user_id", "email", "phone", "role").withColumn("_value", blind(kind)), "_value")
+        matched(
+            probes.filter(F.col("login_type") == kind).withColumn("_value", blind("value")),
+            users.select("user_id", "email", "phone", "role").withColumn("_value", blind(kind)), "_value", "inner",
+        )
         for kind in ("email", "phone")
     ]
     return found[0].unionByName(found[1]).select("probe_id", "user_id", "email", "phone", "role")
