@@ -1,10 +1,13 @@
 """Child rows gathered into ordered arrays without ever building an unbounded one.
 
-Every key goes the same way. Each child has a place in its key's order; ``part`` is the place divided by the rows a part may hold,
+Each child has a place in its key's order; ``part`` is the place divided by the rows a part may hold,
 and each part is one array. Parts in order of ``part`` joined end to end are the whole array, nothing dropped, nothing
 moved. A key that owns a third of the table becomes many parts in many tasks.
 
-Places come from one range sort of all rows by key and order. A row's place is its place in its range, less where the key begins
+A key of few rows, all of one part, is one group of a shuffle by key: its rows are collected and put in order there. Which keys have more
+is counted first. Only the rows of those busy keys are laid out by ranges, and all keys' arrays together are the result.
+
+Places of busy keys come from one range sort of their rows by key and order. A row's place is its place in its range, less where the key begins
 there, plus what earlier ranges hold of the key: a row per key and range. Ranges have equal numbers of rows whatever the keys, the
 order columns or their NULLs are, so no task ranks or gathers more than a range or a part of a busy key.
 """
@@ -17,8 +20,10 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from storelytics.functions.ordered import earlier_pieces, ranged
+from storelytics.session import cut
 
 ARRAY_ROWS = 100_000
+LIGHT_ROWS = 10_000  # keys of more rows are laid out by ranges; an aggregate may hold some hundred keys of a task at once
 
 
 def gather(
@@ -33,8 +38,26 @@ def gather(
     # Nested values may be large, and samples of the sort columns go to the driver: they are told apart by a hash.
     nested = isinstance(entries.schema["_value"].dataType, (T.StructType, T.ArrayType, T.MapType))
     tie = F.xxhash64("_value") if nested else F.col("_value")
-    laid = ranged(entries.withColumn("_tie", tie), [key, *[f"_o{i}" for i in range(len(order))], "_tie"]).select(key, "_piece", "_at", "_value", *(["_weight"] if heavy else []))
-    if weight is None:
+    # Weighing reads the nested values themselves, so those are computed once and written.
+    entries = entries.withColumn("_tie", tie) if weight is None else cut(entries.withColumn("_tie", tie))
+    order_of = [f"_o{i}" for i in range(len(order))]
+    many = F.count("*") > min(array_rows, LIGHT_ROWS)
+    many = many if weight is None else many | F.coalesce(F.sum("_weight") >= array_rows, F.lit(False))
+    busy = cut(entries.groupBy(key).agg(many.alias("_many")).filter("_many").select(key))
+    none = busy.isEmpty()
+    light = entries if none else entries.join(busy, key, "left_anti")
+    entry = F.struct(*order_of, *(["_tie"] if nested else []), "_value")
+    collected = light.groupBy(key).agg(values(F.sort_array(F.collect_list(entry))).alias(name))
+    few = collected.select(key, F.lit(0).cast("long").alias("part"), name)
+    if none:
+        return few
+    return few.unionByName(_laid_out(entries.join(busy, key, "left_semi"), key, [*order_of, "_tie"], name, array_rows, weight is not None))
+
+
+def _laid_out(entries: DataFrame, key: str, places: list[str], name: str, array_rows: int, weighed: bool) -> DataFrame:
+    """(key, part, name) of ``entries`` (key, places, _value, _weight if ``weighed``), by ranges of all rows."""
+    laid = ranged(entries, [key, *places]).select(key, "_piece", "_at", "_value", *(["_weight"] if weighed else []))
+    if not weighed:
         before = earlier_pieces(laid, [key], F.count("*"), F.sum)
         inside = F.col("_at") - F.col("_first")
     else:

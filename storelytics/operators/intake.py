@@ -32,6 +32,14 @@ def _parsed(batch: DataFrame, key: str, text: str, schema: str) -> tuple[DataFra
     return parsed, parsed.filter(bad).select(key, "part", text, F.lit("Items are not a JSON array").alias("reason"))
 
 
+def _exploded(parsed: DataFrame, *columns: str) -> DataFrame:
+    """``columns``, pos and item of every entry of ``_items``.
+
+    The plain ``posexplode`` lets Spark ask first whether the array is there and has entries, and both questions parse the document again.
+    """
+    return parsed.select(*columns, F.posexplode_outer("_items").alias("pos", "item")).filter(F.col("pos").isNotNull())
+
+
 def _whole(field: str, kind: str) -> Column:
     """A whole number from its text; a fraction is rounded, anything else is NULL."""
     text = F.col(f"item.{field}")
@@ -51,7 +59,7 @@ def ingest_orders(batch: DataFrame, now) -> dict[str, DataFrame]:
         F.lit(None).cast("string").alias("scheduled_time"), F.lit(False).alias("delete_status"),
         moment(now).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("updated_at"),
     )
-    parsed = batch.select("order_id", "part", F.posexplode("_items").alias("pos", "item"))
+    parsed = _exploded(batch, "order_id", "part")
     custom = F.coalesce(_whole("is_custom_product", "int") == 1, F.lit(False))
     items = parsed.select(
         *PLACE,
@@ -72,14 +80,15 @@ def gate_items(items, requests, approvals, array_rows=ARRAY_ROWS) -> tuple[DataF
     A custom item needs an approval of its request. A blocked request without a name is shown by its id.
     """
     approved = approvals.select(F.col("request_id").alias("product_request_id")).distinct()
-    judged = items.join(approved.withColumn("_approved", F.lit(True)), "product_request_id", "left")
-    fine = ~F.col("is_custom_product") | F.col("_approved").isNotNull()
-    passed = judged.filter(fine).select(*items.columns)
     names = requests.select(F.col("request_id").alias("product_request_id"), "product_name")
-    stopped = (
-        judged.filter(~fine)
-        .join(names, "product_request_id", "left")
-        .select("order_id", _back("part"), _back("pos"), F.coalesce("product_name", F.col("product_request_id").cast("string")).alias("label"))
+    # Items without a request, among them all stocked ones, are no part of a join: its tasks would all be one.
+    custom, asked = F.col("is_custom_product"), F.col("product_request_id").isNotNull()
+    ours = items.filter((custom | custom.isNull()) & asked)
+    passed = items.filter(~custom).unionByName(ours.join(approved, "product_request_id", "left_semi").select(*items.columns))
+    refused = ours.filter(custom).join(approved, "product_request_id", "left_anti").join(names, "product_request_id", "left")
+    nameless = items.filter(custom & ~asked).withColumn("product_name", F.lit(None).cast(names.schema["product_name"].dataType))
+    stopped = refused.unionByName(nameless.select(*refused.columns)).select(
+        "order_id", _back("part"), _back("pos"), F.coalesce("product_name", F.col("product_request_id").cast("string")).alias("label")
     )
     blocked = gather(stopped, "order_id", ["_part", "_pos"], F.col("label"), "labels", array_rows)
     names_of = joined_text("labels").alias("blocked_products")
@@ -147,7 +156,7 @@ def ingest_requests(batch: DataFrame, request_status: DataFrame, now) -> tuple[D
     ]
     coded = _parsed(batch, "request_master_id", "requests", REQUEST_ITEMS_JSON)[0].withColumn("request_status_id", pending)
     masters = coded.filter(F.col("part") == 0).select("request_master_id", "user_id", "address_id", "delivery_date", *state)
-    parsed = coded.select("*", F.posexplode("_items").alias("pos", "item"))
+    parsed = _exploded(coded, "*")
     requests = parsed.select("request_master_id", "part", "pos", "item.*", *state)
     return masters, requests
 
