@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from storelytics.functions import nest, ordered
 from storelytics.operators import accounts as A
 from storelytics.operators import customers as C
 from storelytics.operators import intake as I
+from storelytics.operators.preview import scan
 
 
 @pytest.fixture
@@ -87,3 +89,14 @@ def test_only_busy_keys_are_laid_out_by_ranges(spark, monkeypatch):
         got.setdefault(r.k, []).append([x.v for x in r.a])
     assert [len(a) for a in got[0]] == [29, 1] and [len(a) for a in got[1]] == [29, 1] and all(len(got[k]) == 1 for k in range(2, 100))
     assert {k: sum(a, []) for k, a in got.items()} == whole
+
+
+def test_pages_are_scanned_in_small_steps(monkeypatch):
+    pages = ["<title>a</title><p class='x'>b</p>", None, "", "<h1>" + "c" * 500 + "</h1>", "<img src='d'>"] * 40
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(200)), "url": ["u"] * 200, "html": pages})
+    whole = pa.Table.from_batches(scan._scan_batches(iter([batch])))
+    monkeypatch.setattr(scan, "STEP_CHARS", 1_000)
+    steps = list(scan._scan_batches(iter([batch, batch.slice(0, 0)])))
+    assert max(len(step) for step in steps) <= 10 and len(steps) >= 20
+    assert pa.Table.from_batches(steps).to_pylist() == whole.to_pylist()
+    assert whole.num_rows == 200 and [len(x) for x in whole["elements"].to_pylist()[:5]] == [2, 0, 0, 1, 1]
