@@ -47,7 +47,8 @@ def gather(
     none = busy.isEmpty()
     light = entries if none else entries.join(busy, key, "left_anti")
     entry = F.struct(*order_of, *(["_tie"] if nested else []), "_value")
-    collected = light.groupBy(key).agg(values(F.sort_array(F.collect_list(entry))).alias(name))
+    # Dealt by key before the aggregate: its first half would sort, and spill, whole input splits in vain.
+    collected = light.repartition(key).groupBy(key).agg(values(F.sort_array(F.collect_list(entry))).alias(name))
     few = collected.select(key, F.lit(0).cast("long").alias("part"), name)
     if none:
         return few
