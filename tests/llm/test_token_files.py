@@ -79,3 +79,14 @@ def test_memory_is_bounded_by_bytes(monkeypatch):
         token_files._texts(pa.array([f"{i}" * 100_000, " ".join(f"w{i}x{j}" for j in range(2_000))]), mine, 2)
         assert mine.held <= 2 << 20
         assert sum(map(len, mine.slots)) + 4 * len(mine.ids) <= mine.held and len(mine.slots) == len(mine.sizes) == len(mine.seen)
+
+
+def test_words_are_remembered_without_case_and_closing_marks():
+    import pyarrow as pa
+
+    tok, mine = Tokenizer.from_file(FILE), token_files._Encoded(FILE)
+    texts = ["Stone stone. STONE, stone### stone!?", "x<|ENDOFTEXT|> <|EndOfText|>. y<|endoftext|>.", "e\u0301. \u0130. a\u2026. 1.5. it's. it'S, don't\"", ". ## \u00df. \u00c9. \u03a3.", None, ""]
+    assert token_files._texts(pa.array(texts), mine, 2).to_pylist() == [tok.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert sum("stone" in w.lower() for w in mine.slots) == 1
+    assert token_files._texts(pa.array([None, ""], pa.string()), token_files._Encoded(FILE), 2).to_pylist() == [[2], [2]]
+    assert token_files._texts(pa.array(texts, pa.large_string()), mine, 2).to_pylist() == token_files._texts(pa.array(texts), mine, 2).to_pylist()
