@@ -11,7 +11,11 @@ infinitely much if not, which is found out once per pair and remembered; every p
 finite weight. The ids equal the library's own.
 
 Where no piece holds the mark or a line break after another character, paths part there, and pieces of text are composed
-one by one; a bounded memory of them per worker keeps common words. Otherwise a text is composed whole.
+one by one; so they are before a punctuation mark that no piece holds after a letter. A bounded memory per worker keeps common
+parts. Of a batch of texts, Arrow tells the stretches from one run of spaces to the next apart; each distinct one is composed once, and the ids are put
+together by offsets. Otherwise a text is composed whole.
+
+Decoding puts the pieces' bytes in a row, batch by batch; texts whose bytes are not those they came from are decoded one by one.
 
 Null and empty texts have no ids. ``decode`` turns ids back: marks to spaces, byte runs to characters (U+FFFD for what is no
 UTF-8), without the mark put in front; null ids give a null text. Models with a character map or with user-defined or unused pieces are refused.
@@ -26,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from storelytics.llm.common import memo
+from storelytics.llm.token_files import joined
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-ɏ", '!"#$%&\'()*+,-./:;<=>?@[\\]^_`{|}~'
 WORDS_KEPT = 250_000
 PAIRS_KEPT = 400_000
 
@@ -85,16 +92,20 @@ class Transducer:
         self.bytes = [i for i, (*_, k) in enumerate(pieces) if k == BYTE]
         self.longest = max(map(len, self.arcs))
         self.fallback = max(self.weight.values()) + 10
-        self.reach: dict[str, int] = {}  # the longest piece by its first two characters
-        for p in self.arcs:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
+        self.coded = {p: np.array(i, "<i4").tobytes() for p, i in self.arcs.items()}
+        self.begun = {p[:n]: p[:n] in self.arcs for p in self.arcs for n in range(2, len(p) + 1)}  # what pieces begin with
         self.output = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, _, k in pieces
         ]
         breaks = self.space + ("" if any("\n" in p for p in self.arcs) else "\n")
         inside = any(c in p.lstrip(c) for p in self.arcs for c in self.space)
-        self.parts = None if inside else re.compile(f"{self.space}*[^{breaks}]+|{self.space}+|\n")
-        self.stable: dict[tuple[str, str], bool] = {}
+        # Marks that no piece holds behind a letter; parts end there as well.
+        behind = {b for p in self.arcs for a, b in zip(p, p[1:]) if re.match(f"[{LETTERS}]", a)}
+        marks = "".join(f"\\{c}" for c in MARKS if c not in behind)
+        more = f"[^{breaks}](?:[^{marks}{breaks}]+|(?<![{LETTERS}])[{marks}])*" if marks else f"[^{breaks}]+"
+        self.parts = None if inside else re.compile(f"{self.space}*{more}|{self.space}+|\n")
+        self.stable: dict[str, dict[str, bool]] = {}  # by the arc before and the arc behind it
+        self.pairs = 0
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -114,13 +125,15 @@ class Transducer:
 
     def _follows(self, left: str, right: str) -> bool:
         """Whether the arc pair has finite weight in a merge model; ``left`` is empty at the start."""
-        known = self.stable.get((left, right))
+        known = self.stable.get(left, {}).get(right)
         if known is None:
-            if len(self.stable) >= PAIRS_KEPT:
+            if self.pairs >= PAIRS_KEPT:
                 self.stable.clear()
+                self.pairs = 0
             both = left + right  # two neighbours that are a piece together do not stay apart
             known = not (left and both in self.weight) and self._left_standing(both) == ([left, right] if left else [right])
-            self.stable[left, right] = known
+            self.stable.setdefault(left, {})[right] = known
+            self.pairs += 1
         return known
 
     def _path(self, text: str) -> list[str]:
@@ -148,35 +161,44 @@ class Transducer:
         """Weights are nothing or infinite, so the first path of finite weight is the shortest: longer arcs are tried
         first, and a place from which the end was not reached is not entered again after the same arc.
         """
-        weight, reach, follows, end = self.weight, self.reach, self._follows, len(text)
-        path, at, dead = [], 0, set()
-        length = min(reach.get(text[:2], 1), end)
+        stable, follows, begun, end, none = self.stable, self._follows, self.begun, len(text), {}
+        path, before, at, dead, left, new = [], "", 0, set(), [], True
         while at < end:
-            before = path[-1] if path else ""
-            while length:
-                arc = text[at : at + length]
-                if (length == 1 or arc in weight) and (at + length, arc) not in dead and follows(before, arc):
+            if new:  # the arcs from here, the longest last; a character is one at any rate
+                arcs, stop = [text[at]], at + 2
+                while stop <= end and (whole := begun.get(arc := text[at:stop])) is not None:
+                    if whole:
+                        arcs.append(arc)
+                    stop += 1
+                left.append(arcs)
+            after = stable.get(before, none)
+            new = False
+            while arcs:
+                arc = arcs.pop()
+                known = after.get(arc)
+                if (follows(before, arc) if known is None else known) and not (dead and (at + len(arc), arc) in dead):
+                    path.append(arc)
+                    at += len(arc)
+                    before = arc
+                    new = True
                     break
-                length -= 1
-            if length:
-                path.append(arc)
-                at += length
-                length = min(reach.get(text[at : at + 2], 1), end - at)
-            elif path:
-                arc = path.pop()
+            else:
+                if not path:
+                    raise ValueError(f"no path of finite weight through {text!r}")
+                left.pop()
+                arcs, arc = left[-1], path.pop()
                 dead.add((at, arc))
                 at -= len(arc)
-                length = len(arc) - 1
-            else:
-                raise ValueError(f"no path of finite weight through {text!r}")
+                before = path[-1] if path else ""
         return path
 
     def _ids(self, text: str) -> bytes:
-        ids: list[int] = []
-        for arc in self._path(text):
-            known = self.arcs.get(arc)
-            ids += [known] if known is not None else [self.bytes[b] for b in arc.encode()] if self.bytes else [self.unknown]
-        return np.array(ids, "<i4").tobytes()
+        coded = self.coded
+        return b"".join([coded.get(arc) or self._spelled(arc) for arc in self._path(text)])
+
+    def _spelled(self, arc: str) -> bytes:
+        """The ids of a character that is no piece."""
+        return np.array([self.bytes[b] for b in arc.encode()] if self.bytes else [self.unknown], "<i4").tobytes()
 
     def _part(self, text: str) -> bytes:
         ids = self.recent.get(text)
@@ -198,6 +220,45 @@ class Transducer:
         text = text.replace(" ", self.space)
         return b"".join(map(self._part, self.parts.findall(text))) if self.parts else self._ids(text)
 
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each text begin and end, and all ids in a row."""
+        if not self.parts:
+            rows = [self.encode(t) for t in texts.to_pylist()]
+            return np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows], dtype=np.int64))), np.frombuffer(b"".join(rows), "<i4")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.squeeze:
+            texts = pc.utf8_trim(pc.replace_substring_regex(texts, " +", " "), " ")
+        empty = pc.equal(pc.binary_length(texts), 0)
+        if self.space != " ":
+            texts = pc.replace_substring(texts, self.space, " ")  # both are the same from here on
+        if self.prefix:
+            texts = pc.if_else(empty, texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string())))
+        # Stretches begin with a text or a run of spaces, and are ranges of the same bytes.
+        at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: at[-1]]
+        begins = np.zeros(len(raw) + 1, bool)
+        begins[1:-1] = (raw[1:] == 32) & (raw[:-1] != 32)
+        begins[at] = True
+        begins = np.flatnonzero(begins[at[0] :]) + at[0]
+        spelled = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(raw)).dictionary_encode()
+        found = [b"".join(map(self._part, self.parts.findall(x.replace(" ", self.space)))) for x in spelled.dictionary.to_pylist()]
+        sizes, ids = joined(
+            np.asarray(spelled.indices), np.array([len(x) // 4 for x in found], np.int64), np.frombuffer(b"".join(found), "<i4")
+        )
+        return np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(begins, at)], ids
+
+    def gives_back(self, texts: pa.Array, at: np.ndarray, ids: np.ndarray) -> list[bool]:
+        """Whether decoding the ids gives each text, but for marks, which come back as spaces."""
+        whole = pa.array(self.output, pa.large_binary()).take(pa.array(ids))
+        ends = np.frombuffer(whole.buffers()[1], np.int64)[at].tolist()
+        raw = memoryview(whole.buffers()[2] or b"").cast("B")
+        out = []
+        for text, a, b, i, j in zip(texts.to_pylist(), ends, ends[1:], at.tolist(), at[1:].tolist()):
+            text = (text or "").replace(MARK, " ")  # as the spaces it is encoded like
+            first = a + (self.prefix and b > a and raw[a] == 32)
+            out.append(raw[first:b] == text.encode() or self.decode(ids[i:j].tolist()) == text)
+        return out
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
@@ -218,15 +279,12 @@ def encode(docs: DataFrame, file: str, checked: bool = False) -> DataFrame:
         is_byte = np.zeros(len(model.output), bool)
         is_byte[model.bytes] = True
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            rows = [model.encode(t) for t in texts]
-            flat = np.frombuffer(b"".join(rows), "<i4")
-            at = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows])))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            at, flat = model.encode_all(texts)
             added = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))]
             if checked:
                 marks = np.concatenate(([0], np.cumsum(is_byte[flat])))
-                back = [model.decode(flat[a:b].tolist()) == (t or "").replace(MARK, " ") for t, a, b in zip(texts, at.tolist(), at[1:].tolist())]
-                added += [pa.array(marks[at[1:]] - marks[at[:-1]]), pa.array(back)]
+                added += [pa.array(marks[at[1:]] - marks[at[:-1]]), pa.array(model.gives_back(texts, at, flat), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     names = ["ids", "n_bytes", "round_trip"][: 3 if checked else 1]

@@ -129,7 +129,7 @@ class _Encoded:
     def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each word has, and all their ids in a row."""
         if not self.parted:
-            return _joined(*self.known(words.to_pylist()))
+            return joined(*self.known(words.to_pylist()))
         words = words.cast(pa.string())
         # A special token's spelling is left as it is, and what would become one in lower case too.
         low = pc.ascii_lower(words)
@@ -146,11 +146,11 @@ class _Encoded:
         halves = pa.StringArray.from_buffers(2 * len(low), pa.py_buffer(bounds), low.buffers()[2]).dictionary_encode()
         slots, sizes, ids = self.known(halves.dictionary.to_pylist())
         order = slots[np.asarray(halves.indices)]
-        sizes_of, flat = _joined(order, sizes, ids)
+        sizes_of, flat = joined(order, sizes, ids)
         return sizes_of.reshape(-1, 2).sum(axis=1), flat
 
 
-def _joined(order: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined(order: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sizes of the slots in ``order`` and their ids in a row; ``ids`` holds those of all slots one after the other."""
     starts = np.concatenate(([0], np.cumsum(sizes)))
     total = np.concatenate(([0], np.cumsum(sizes[order])))
@@ -171,7 +171,7 @@ def _texts(text: pa.Array, encoded: _Encoded, end_id: int) -> pa.ListArray:
     # The end id is one more word, and stands behind the last one of each text.
     at = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
     order = np.insert(np.asarray(spelled.indices), at, len(sizes))
-    sizes, out = _joined(order, np.append(sizes, 1), np.append(ids, np.array([end_id], "<i4")))
+    sizes, out = joined(order, np.append(sizes, 1), np.append(ids, np.array([end_id], "<i4")))
     total = np.concatenate(([0], np.cumsum(sizes)))
     offsets = np.concatenate(([0], total[at + np.arange(1, len(at) + 1)]))
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))

@@ -68,3 +68,26 @@ def test_a_unigram_model_takes_the_lightest_path(tmp_path):
                 best = min(best, -sum(scores.get(full[a:b], -math.inf) for a, b in zip(at, at[1:])))
             ids = memoryview(model.encode(text)).cast("i").tolist()
             assert math.isclose(-sum(scores[names[i]] for i in ids), best) and model.decode(ids) == text
+
+
+def test_batches_equal_the_library():
+    import pyarrow as pa
+
+    rng, lib, mine = random.Random(3), sentencepiece.SentencePieceProcessor(model_file=FILE), pieces.Transducer(FILE)
+    parts = ["a", "th", "▁", " ", "  ", "\n", "é", "日", "😀", "\x00", "ing", "__", "####", "\r\n", "1", ".", ",", "'s", "».", "…", "$$", '"', "-", "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + [None, "", " ", "▁ "]
+    for some in (pa.array(texts), pa.array(texts, pa.large_string()).slice(5, 900), pa.array([], pa.string())):
+        at, ids = mine.encode_all(some)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [lib.encode(t or "") for t in some.to_pylist()]
+        assert all(mine.gives_back(some, at, ids))
+    at, ids = mine.encode_all(pa.array(["one two", "three", None]))
+    assert mine.gives_back(pa.array(["one two", "thread", None]), at, ids) == [True, False, True]
+
+
+def test_a_word_is_composed_once_whatever_mark_is_behind_it(monkeypatch):
+    import pyarrow as pa
+
+    mine, composed = pieces.Transducer(FILE), []
+    monkeypatch.setattr(mine, "_path", lambda text, path=mine._path: composed.append(text) or path(text))
+    mine.encode_all(pa.array(["a stone stone. stone, stone###", "stone!? stone"]))
+    assert composed.count("▁stone") == 1 and not [c for c in composed if "stone" in c and c != "▁stone" and c[0] == "▁"]
