@@ -1,15 +1,18 @@
 """Near-duplicate documents by SimHash and BK-trees.
 
 Every text becomes a SimHash fingerprint: one bit per bit of its shingles' hashes, set if over half of them have it. By ``blocks``
-repeated shingles count as often as they occur, by ``anchors`` once.
+repeated shingles count as often as they occur, by ``samples`` once.
 Equal fingerprints are one node from then on, so copies are never compared. Nodes are dealt to shards; the nodes of
 a shard form a BK-tree, whose children are keyed by their integer Hamming distance to the parent, and a query
-follows only the edges within the radius of its own distance. Shards come from one of two rules:
+follows only the edges within the radius of its own distance. What is within the radius of a node both are linked to is not
+compared again, so a dense group costs a shard no comparison of all pairs. Shards are made of bits of the fingerprint, by one of two rules:
 
 * ``blocks`` (small radius r): the bits are cut into r + 2 blocks. Fingerprints at r or fewer differing bits agree
   in at least two blocks, so shards by pairs of blocks lose no link.
-* ``anchors`` (similarity): bands of least shingle hashes. Texts of Jaccard similarity s share a band with probability
-  1 - (1 - s^4)^12, which is over 0.998 from 0.8 on.
+* ``samples`` (similarity): random samples of the bits, of as many bits as leave a shard about ``SHARD_TEXTS`` nodes. There are so many samples
+  that a pair of texts at the similarity agrees in none of them with probability ``MISSED`` at most. They are drawn from ``DRAWN`` lanes of
+  64 bits, of which the trees get the first ``lanes``; more bits make the samples less alike. ``ROUND`` samples are searched at a time, so
+  the shuffle files on disk are those of one round however many samples there are.
 
 By similarity the trees give candidates only: their radius is the distance expected at that similarity and ``SPREAD`` standard deviations
 more. Inside each component of candidates the sets of shingles (distinct 64-bit hashes) are then compared in full, and only texts whose
@@ -29,7 +32,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,8 @@ from storelytics.llm.components import components
 
 SEED = 42
 SHARD_NODES = 4096
-BANDS, BAND_ROWS = 12, 4
+DRAWN = 8
+SHARD_TEXTS, MISSED, ROUND = 32, 0.002, 24
 SPREAD = 4
 SET_NODES, SET_BYTES = 2048, 16_000_000
 GROUP = ["key", "i", "j"]
@@ -79,22 +84,24 @@ def _bits(hashes: np.ndarray, lanes: int) -> bytes:
         for i in range(0, len(hashes), _CHUNK):
             part = hashes[i : i + _CHUNK]
             part = part if lane == 0 else _mixed(part, lane)
-            total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            total += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint16)
         out.append(np.packbits(2 * total > len(hashes)).tobytes())
     return b"".join(out)
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """One key per band of least hashes; a text without words has one of its own kind."""
-    if not len(hashes):
-        return [0]
-    least = np.full(BANDS * BAND_ROWS, 2**64 - 1, np.uint64)
-    for i in range(0, len(hashes), _CHUNK):
-        part = hashes[i : i + _CHUNK]
-        for row in range(len(least)):
-            least[row] = min(least[row], _mixed(part, 100 + row).min())
-    rows = least.reshape(BANDS, BAND_ROWS)
-    return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - 2**63 for b in range(BANDS)]
+def _samples(nodes: int, angle: float) -> list[np.ndarray]:
+    """Places of the sampled bits for ``nodes`` fingerprints, whose bits differ with probability ``angle`` in pairs that count."""
+    bits = 64 * DRAWN
+    size = min(40, max(0, math.ceil(math.log2(max(nodes, 1) / SHARD_TEXTS))))
+    apart = np.arange(bits + 1)
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) for d in apart.tolist()])
+    chance = np.exp(ways + apart * math.log(angle) + (bits - apart) * math.log1p(-angle))
+    agree = np.prod([np.maximum(bits - apart - i, 0) / (bits - i) for i in range(size)], axis=0)  # 1 without bits
+    count = 1
+    while (chance * (1 - agree) ** count).sum() > MISSED:
+        count += 1
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(bits, size, replace=False)) for _ in range(count)]
 
 
 def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
@@ -105,30 +112,31 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     return [_mixed((blocks[i] << np.uint64(32)) | blocks[j], 1000 + n).view(np.int64) for n, (i, j) in enumerate(pairs)]
 
 
-def fingerprints(docs: DataFrame, words: int, lanes: int, banded: bool) -> DataFrame:
-    """(place, fp, keys): fingerprints of 64 x ``lanes`` bits and, if asked for, the band keys.
+def fingerprints(docs: DataFrame, words: int, lanes: int, sets: bool) -> DataFrame:
+    """(place, fp, drawn): fingerprints of 64 x ``lanes`` bits and, for ``sets``, the ``DRAWN`` lanes that samples are taken from.
 
-    With band keys each distinct shingle counts once, as in Jaccard similarity, and a fingerprint is followed by 128 bits that tell its
-    set of shingles from others of equal fingerprint. Without, repeats count.
+    For sets each distinct shingle counts once, as in Jaccard similarity, and a fingerprint is followed by 128 bits that tell its
+    set of shingles from others of equal fingerprint. Otherwise repeats count.
     ``place`` orders the rows: by doc_id, null ones last, then by their place in ``docs``.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, keys = [], []
+            prints, drawn = [], []
             for text in batch.column("text"):
                 hashes = _shingle_hashes(text.as_py(), words)
-                hashes = np.unique(hashes) if banded else hashes
-                prints.append(_bits(hashes, lanes) + (xxhash.xxh128_digest(hashes.tobytes()) if banded else b""))
-                keys.append(_bands(hashes) if banded else None)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "keys"])
+                hashes = np.unique(hashes) if sets else hashes
+                bits = _bits(hashes, max(lanes, DRAWN) if sets else lanes)
+                prints.append(bits[: 8 * lanes] + (xxhash.xxh128_digest(hashes.tobytes()) if sets else b""))
+                drawn.append(bits[: 8 * DRAWN] if sets else None)
+            columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(drawn, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "drawn"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    found = placed.mapInArrow(scan, f"doc_id {kind}, row bigint, fp binary, keys array<bigint>")
+    found = placed.mapInArrow(scan, f"doc_id {kind}, row bigint, fp binary, drawn binary")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
-    return found.select(place.alias("place"), "fp", "keys")
+    return found.select(place.alias("place"), "fp", "drawn")
 
 
 def _block_keys(nodes: DataFrame, radius: int) -> DataFrame:
@@ -143,8 +151,22 @@ def _block_keys(nodes: DataFrame, radius: int) -> DataFrame:
     return nodes.mapInArrow(scan, "key bigint, fp binary")
 
 
+def _sample_keys(nodes: DataFrame, samples: list[np.ndarray]) -> DataFrame:
+    """(key, fp): each node of ``nodes`` (fp, drawn) once per sample, by the sample's number and the bits it takes."""
+
+    def scan(batches):
+        for batch in batches:
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("drawn").to_pylist()), np.uint8)).reshape(-1, 64 * DRAWN)
+            for number, sample in samples:
+                keys = number << 40 | bits[:, sample].astype(np.int64) @ (1 << np.arange(len(sample), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("fp")], ["key", "fp"])
+
+    samples = list(enumerate(samples))
+    return nodes.mapInArrow(scan, "key bigint, fp binary")
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return reduce(np.add, np.bitwise_count(a ^ b).T, np.zeros(len(a), np.int64))
 
 
 class Forest:
@@ -158,8 +180,11 @@ class Forest:
         rows = np.flatnonzero(roots != np.arange(len(roots)))
         node, slots, children = roots[rows], [], []
         self.width = 64 * prints.shape[1] + 1
+        self.passed: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # each row, a node above it, their distance
         while len(rows):
-            slot = node * self.width + _distance(prints[rows], prints[node])
+            apart = _distance(prints[rows], prints[node])
+            self.passed.append((rows, node, apart.astype(np.int32)))
+            slot = node * self.width + apart
             taken, first, where = np.unique(slot, return_index=True, return_inverse=True)
             slots.append(taken)
             children.append(rows[first])
@@ -170,15 +195,24 @@ class Forest:
         order = np.argsort(slots, kind="stable")
         self.slots, self.children = slots[order], (np.concatenate(children) if children else slots)[order]
 
+    def above(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, node) pairs within the radius, of each row and the nodes on its way down."""
+        for rows, nodes, apart in self.passed:
+            yield rows[apart <= radius], nodes[apart <= radius]
+
     def links(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, node) pairs of rows within the radius; only edges within the radius of the distance are followed."""
+        """(query, node) pairs that with those of ``above`` connect all rows within the radius of each other.
+
+        Only edges within the radius of the distance are followed. From a node within the radius those up to the radius are left out too:
+        the rows behind them are linked to that node already.
+        """
         node = self.roots[queries]
         while len(queries):
             apart = _distance(self.prints[queries], self.prints[node])
             near = (apart <= radius) & (queries != node)
             yield queries[near], node[near]
             base = node * self.width
-            low = np.searchsorted(self.slots, base + np.maximum(apart - radius, 0))
+            low = np.searchsorted(self.slots, base + np.where(apart <= radius, radius + 1, apart - radius))
             high = np.searchsorted(self.slots, base + np.minimum(apart + radius, self.width - 1), "right")
             n = high - low
             at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -191,16 +225,18 @@ def _local_roots(forest: Forest, radius: int) -> np.ndarray:
     sizes = np.bincount(forest.roots, minlength=len(label))[forest.roots]
     block = np.cumsum(sizes) // 400_000
     queries = np.flatnonzero(sizes > 1)
-    for part in np.split(queries, np.flatnonzero(np.diff(block[queries])) + 1):
-        for a, b in forest.links(part, radius):
-            while len(a):
-                la, lb = label[a], label[b]
-                apart = la != lb
-                a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-                low = np.minimum(la, lb)
-                np.minimum.at(label, np.maximum(la, lb), low)
-                while np.any((jumped := label[label]) != label):
-                    label = jumped
+    parts = np.split(queries, np.flatnonzero(np.diff(block[queries])) + 1)
+    for a, b in chain(forest.above(radius), *(forest.links(part, radius) for part in parts)):
+        while len(a):
+            la, lb = label[a], label[b]
+            apart = la != lb
+            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+            if not len(a):
+                break
+            low = np.minimum(la, lb)
+            np.minimum.at(label, np.maximum(la, lb), low)
+            while np.any((jumped := label[label]) != label):
+                label = jumped
     return label
 
 
@@ -239,7 +275,7 @@ def _stars(shards: DataFrame, group: list[str], lanes: int, radius: int) -> Data
 
 
 def links(shards: DataFrame, lanes: int, radius: int, shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """(a, b): stars of the components found in the shard trees of ``shards`` (key, fp), a written table."""
+    """(a, b): stars of the components found in the shard trees of ``shards`` (key, fp), a written table or keys of one."""
     heavy = cut(
         shards.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > shard_nodes)
         .select("key", F.ceil(F.col("n") / shard_nodes).cast("int").alias("chunks"))
@@ -339,7 +375,7 @@ def _components(found: DataFrame) -> DataFrame:
 
 def linked_fingerprints(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): exact components of 64-bit fingerprints at ``radius`` or fewer bits."""
-    prints = cut(fingerprints(docs, words, 1, False).drop("keys"))
+    prints = cut(fingerprints(docs, words, 1, False).drop("drawn"))
     shards = cut(_block_keys(prints.select("fp").distinct(), radius))
     return _components(_classes(prints, links(shards, 1, radius)))
 
@@ -349,8 +385,12 @@ def _near(docs: DataFrame, words: int, similarity: float, lanes: int) -> DataFra
     bits = 64 * lanes
     radius = math.ceil(bits * angle + SPREAD * math.sqrt(bits * angle * (1 - angle)))
     prints = cut(fingerprints(docs, words, lanes, True))
-    shards = cut(prints.select(F.explode("keys").alias("key"), "fp").distinct())
-    stars = _verified(docs, prints, links(shards, lanes, radius), words, similarity)
+    nodes = cut(prints.select("fp", "drawn").distinct())
+    samples = _samples(nodes.count(), angle)
+    rounds = [
+        cut(links(_sample_keys(nodes, samples[i : i + ROUND]), lanes, radius).distinct()) for i in range(0, len(samples), ROUND)
+    ]
+    stars = _verified(docs, prints, reduce(DataFrame.unionByName, rounds), words, similarity)
     return _classes(prints, stars).withColumn("fp", F.substring("fp", 1, bits // 8))
 
 

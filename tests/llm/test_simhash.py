@@ -143,3 +143,32 @@ def test_a_tail_of_one_repeated_phrase_keeps_the_link(docs):
     a, b = (shared(random.Random(n), 0)[0] for n in (8, 9))
     rows = [(1, a), (2, a + " spam" * 2000), (3, b), (4, b + " buy it now" * 700), (5, "spam " * 2000)]
     assert {r.doc_id for r in simhash.keep_one(docs(*rows)).collect()} == {1, 3, 5}
+
+
+def test_shards_by_samples_of_bits_bring_pairs_together(spark):
+    """Fingerprints that differ as texts at 0.8 do share a shard, unlike ones hardly ever."""
+    rng, angle = np.random.default_rng(8), 0.1515
+    bits = rng.integers(0, 2, (500, 64 * simhash.DRAWN), np.uint8)
+    other = bits ^ (rng.random(bits.shape) < angle)
+    rows = [(bytearray(i.to_bytes(4, "big")), bytearray(np.packbits(b).tobytes())) for i, b in enumerate(np.concatenate((bits, other)))]
+    nodes = spark.createDataFrame(rows, "fp binary, drawn binary")
+    samples = simhash._samples(100_000, angle)
+    keys = {}
+    for r in simhash._sample_keys(nodes, samples).collect():
+        keys.setdefault(int.from_bytes(r.fp, "big"), set()).add(r.key)
+    assert all(len(k) == len(samples) for k in keys.values())
+    assert sum(bool(keys[i] & keys[500 + i]) for i in range(500)) >= 495
+    assert sum(bool(keys[i] & keys[i + 1]) for i in range(499)) <= 50
+    assert [len(s) for s in simhash._samples(simhash.SHARD_TEXTS, angle)] == [0]  # few texts are one shard
+
+
+def test_a_dense_group_is_not_compared_pair_by_pair():
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 2**63, (3, 4)).astype(np.uint64)
+    prints = np.repeat(centre, [1, 4000, 50], axis=0)
+    flips = np.uint64(1) << rng.integers(0, 63, (6, *prints.shape)).astype(np.uint64)
+    prints ^= np.bitwise_xor.reduce(flips, axis=0)
+    forest = simhash.Forest(prints, np.zeros(len(prints), np.int64))
+    label = simhash._local_roots(forest, 62)
+    assert np.unique(label, return_counts=True)[1].tolist() == [1, 4000, 50]
+    assert sum(len(a) for a, _ in forest.links(np.arange(len(prints)), 62)) < 100 * len(prints)
