@@ -86,7 +86,9 @@ def near_pairs(words: DataFrame, classes: int = CLASSES) -> DataFrame:
     longer = _keyed(words, 1, classes).select("key", F.col("word").alias("b"), F.col("n").alias("n_b"))
     either = other.unionByName(longer)
     size = F.char_length("b") - F.char_length("a")
-    paired = short.join(either, "key").filter((size == 1) | ((size == 0) & (F.col("a") < F.col("b"))))
+    # All joins here are of tables that grow with the corpus. Planned by size, a written table is taken for its compressed bytes, and
+    # exploded ones for those of the words, a twelfth of their rows: the driver would gather them for a broadcast.
+    paired = short.join(either.hint("merge"), "key").filter((size == 1) | ((size == 0) & (F.col("a") < F.col("b"))))
     near = paired.filter(F.levenshtein("a", "b", DISTANCE) == DISTANCE)
     return near.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
 
@@ -96,7 +98,7 @@ def _roots(forms: DataFrame, highest: int) -> DataFrame:
     at = cut(forms.select("word", F.col("form").alias("root")))
     for _ in range(max(0, ceil(log2(max(1, log2(max(2, highest))))))):
         step = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        at = cut(at.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
+        at = cut(at.join(step.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")))
     return at
 
 
@@ -109,14 +111,14 @@ def variants(words: DataFrame, classes: int = CLASSES) -> DataFrame:
     # Least of (-count, word): the commonest, and of equals the first.
     found = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best"))
     strong = -F.col("best.less") >= 2 * F.col("n")
-    joined = words.join(found, "word", "left").select(
+    joined = words.join(found.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(strong, F.col("best.near")).alias("form"), F.when(strong, -F.col("best.less")).alias("form_n"),
     )
     judged = cut(joined)
     highest = judged.agg(F.max("n")).first()[0] or 1
     roots = _roots(judged.filter("form IS NOT NULL"), highest)
-    return judged.join(roots, "word", "left").select(
+    return judged.join(roots.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
 

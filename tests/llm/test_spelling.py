@@ -9,6 +9,7 @@ import regex
 from sqlcheck import mismatch
 
 from storelytics.llm import spelling
+from storelytics.llm.common import cut
 
 RUN = regex.compile("[A-Za-zÀ-ÿ]+")
 
@@ -100,3 +101,11 @@ def test_every_edit_shares_a_signature(spark):
     frame = spark.createDataFrame([(w, 3) for w in words], "word string, n long")
     pairs = {(r.a, r.b) for r in spelling.near_pairs(frame).collect()}
     assert pairs == {(a, b) for a in words for b in words if a < b and near(a, b)}
+
+
+def test_nothing_is_broadcast(spark):
+    """Exploded signatures are sized by the table they come from; a small table must not send all of them through the driver."""
+    words = cut(spark.createDataFrame([("letter", 9), ("lettre", 3), ("lettr", 3)], "word string, n long"))
+    frames = [spelling.near_pairs(words), spelling.variants(words)]
+    assert all("Broadcast" not in f._jdf.queryExecution().executedPlan().toString() for f in frames)
+    assert {r.word: r.root for r in frames[1].collect()} == {"letter": "letter", "lettr": "letter", "lettre": "lettre"}
