@@ -14,6 +14,12 @@ compared again, so a dense group costs a shard no comparison of all pairs. Shard
   64 bits, of which the trees get the first ``lanes``; more bits make the samples less alike. ``ROUND`` samples are searched at a time, so
   the shuffle files on disk are those of one round however many samples there are.
 
+The samples and the radius may lose a pair, and lose more of texts of few shingles, whose bits differ more. So prefixes of the sets find what the trees do
+not: in any one order of all shingles, two sets of the similarity share one of their first few, so many as their sizes tell (``_prefix_pairs``). Pairs that share
+one and are in no component of candidates together are kept if the numbers of their shingles in buckets of hashes, which differ by no more
+than the sets do, allow the similarity. Neither step loses a pair. The order puts shingles last that batches of texts often hold; it decides what
+is compared and not what is found.
+
 By similarity the trees give candidates only: their radius is the distance expected at that similarity and ``SPREAD`` standard deviations
 more. Inside each component of candidates the sets of shingles (distinct 64-bit hashes) are then compared in full, and only texts whose
 Jaccard similarity is reached are linked. A component of over ``SET_NODES`` sets or ``SET_BYTES`` of hashes is dealt into
@@ -49,6 +55,7 @@ SHARD_NODES = 4096
 DRAWN = 8
 SHARD_TEXTS, MISSED, ROUND = 32, 0.002, 24
 SPREAD = 4
+COMMON, BUCKETS, PAIRS, SLACK = 2**18, 128, 2_000_000, 1e-9
 SET_NODES, SET_BYTES = 2048, 16_000_000
 GROUP = ["key", "i", "j"]
 _CHUNK = 16384
@@ -112,31 +119,52 @@ def _blocks(prints: np.ndarray, radius: int) -> list[np.ndarray]:
     return [_mixed((blocks[i] << np.uint64(32)) | blocks[j], 1000 + n).view(np.int64) for n, (i, j) in enumerate(pairs)]
 
 
+def _bucket_counts(hashes: np.ndarray) -> bytes:
+    """How many of a set's shingles each bucket of hashes holds. Larger sets have more buckets, a power of two."""
+    buckets = max(BUCKETS, 1 << max(0, len(hashes) // 16 - 1).bit_length())
+    return np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets).astype(np.uint16).tobytes()
+
+
+def _may_reach(a: bytes, b: bytes, similarity: float) -> bool:
+    """False only for two sets that by ``_bucket_counts`` differ in too many shingles for the similarity."""
+    a, b = (np.frombuffer(x, np.uint16).astype(np.int64) for x in (a, b))
+    width = min(len(a), len(b))
+    apart = np.abs(a.reshape(-1, width).sum(axis=0) - b.reshape(-1, width).sum(axis=0)).sum()
+    return apart <= (1 - similarity) / (1 + similarity) * (a.sum() + b.sum()) + SLACK
+
+
 def fingerprints(docs: DataFrame, words: int, lanes: int, sets: bool) -> DataFrame:
-    """(place, fp, drawn): fingerprints of 64 x ``lanes`` bits and, for ``sets``, the ``DRAWN`` lanes that samples are taken from.
+    """(place, fp, drawn, counts, common): fingerprints of 64 x ``lanes`` bits and, for ``sets``, the ``DRAWN`` lanes that samples are taken from.
 
     For sets each distinct shingle counts once, as in Jaccard similarity, and a fingerprint is followed by 128 bits that tell its
-    set of shingles from others of equal fingerprint. Otherwise repeats count.
+    set of shingles from others of equal fingerprint. ``counts`` are those of ``_bucket_counts``; the first row of a batch lists
+    as ``common`` the shingles that three or more of the batch's sets hold. Otherwise repeats count.
     ``place`` orders the rows: by doc_id, null ones last, then by their place in ``docs``.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, drawn = [], []
+            prints, drawn, counts, held = [], [], [], {}
             for text in batch.column("text"):
                 hashes = _shingle_hashes(text.as_py(), words)
                 hashes = np.unique(hashes) if sets else hashes
                 bits = _bits(hashes, max(lanes, DRAWN) if sets else lanes)
                 prints.append(bits[: 8 * lanes] + (xxhash.xxh128_digest(hashes.tobytes()) if sets else b""))
                 drawn.append(bits[: 8 * DRAWN] if sets else None)
-            columns = [batch.column("doc_id"), batch.column("row"), pa.array(prints, pa.binary()), pa.array(drawn, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "drawn"])
+                counts.append(_bucket_counts(hashes) if sets else None)
+                if sets:
+                    held[prints[-1]] = hashes
+            found, times = np.unique(np.concatenate([np.empty(0, np.uint64), *held.values()]), return_counts=True)
+            common = ([found[times > 2].view(np.int64)] if sets else [None]) + [None] * (len(prints) - 1)
+            columns = [batch.column("doc_id"), batch.column("row"), *[pa.array(x, pa.binary()) for x in (prints, drawn, counts)]]
+            columns.append(pa.array(common[: len(prints)], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "fp", "drawn", "counts", "common"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    found = placed.mapInArrow(scan, f"doc_id {kind}, row bigint, fp binary, drawn binary")
+    found = placed.mapInArrow(scan, f"doc_id {kind}, row bigint, fp binary, drawn binary, counts binary, common array<bigint>")
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "row")
-    return found.select(place.alias("place"), "fp", "drawn")
+    return found.select(place.alias("place"), "fp", "drawn", "counts", "common")
 
 
 def _block_keys(nodes: DataFrame, radius: int) -> DataFrame:
@@ -317,6 +345,111 @@ def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return label
 
 
+def _first(sizes: np.ndarray | int, share: float) -> np.ndarray:
+    """How many first shingles of a set one must look at, to meet any set that has ``share`` of its shingles."""
+    return np.asarray(sizes - np.ceil(share * sizes - SLACK) + 1).astype(np.int64)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """The columns of many whole groups at a time, with the groups' first rows. Rows are sorted by the first ``keys`` columns."""
+    held, rows, enough = [], 0, 65_536
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            rows += batch.num_rows
+            if rows < enough:
+                continue
+        if not rows:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held)]
+        starts = np.append(0, np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:keys]])) + 1)
+        end = rows if batch is None else int(starts[-1])  # the last group may go on
+        if end:
+            yield [c[:end] for c in columns], starts[starts < end]
+        held, rows = [[c[end:] for c in columns]], rows - end
+        enough = max(65_536, 2 * rows)
+
+
+def _prefix_pairs(docs: DataFrame, prints: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): all fingerprints whose sets reach the similarity and that are not in one component of ``found`` (node, root), and some more.
+
+    Of two sets of the similarity s both hold s / (1 + s) of the sum of their sizes; that is at least 2s / (1 + s) of the smaller and s of the larger set.
+    In one order of all shingles the first that both hold is therefore among the first of each that hold more than the rest of it.
+    """
+    batches = prints.select(F.explode("common").alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    most = batches.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    common, times = most["key"].to_numpy().view(np.uint64), most["n"].to_numpy()
+    order = np.argsort(common)
+    common, times = common[order], times[order].astype(np.int32)
+    smaller, both_hold = 2 * similarity / (1 + similarity), similarity / (1 + similarity)
+
+    def listed(batches):
+        for batch in batches:
+            keys, sizes = [], []
+            for text in batch.column("text"):
+                hashes = np.unique(_shingle_hashes(text.as_py(), words))
+                take = int(_first(len(hashes), similarity)) if len(hashes) else 0
+                at = np.searchsorted(common, hashes)
+                often = (common[np.minimum(at, len(common) - 1)] == hashes) if len(common) else np.zeros(len(hashes), bool)
+                rare, late = hashes[~often], hashes[often]
+                if len(rare) < take:
+                    rare = np.append(rare, late[np.argsort(times[at[often]], kind="stable")])
+                keys.append(rare[:take].view(np.int64))
+                sizes.append(len(hashes))
+            n = np.array([len(k) for k in keys], np.int64)
+            spread = [np.repeat(batch.column(c).to_numpy(), n) for c in ("row", "part")]
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            columns = [np.concatenate([np.empty(0, np.int64), *keys]), spread[0], np.repeat(np.array(sizes, np.int32), n), at.astype(np.int32), spread[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "fp", "size", "at", "part"])
+
+    def shared(batches):
+        for columns, starts in _whole_groups(batches, 1):
+            least, most = (f.reduceat(columns[4], starts) for f in (np.minimum, np.maximum))
+            rows = np.repeat(least != most, np.diff(np.append(starts, len(columns[0]))))
+            yield pa.RecordBatch.from_arrays([pa.array(c[rows]) for c in columns], ["key", "fp", "size", "at", "part"])
+
+    def paired(batches):
+        for columns, starts in _whole_groups(batches, len(GROUP)):
+            node, size, at, part = columns[len(GROUP) :]
+            n = np.diff(np.append(starts, len(node)))
+            start, n = np.repeat(starts, n), np.repeat(n, n)
+            rows = np.flatnonzero(at < _first(size, smaller))
+            for mine in np.split(rows, np.flatnonzero(np.diff(np.cumsum(n[rows]) // PAIRS)) + 1):
+                k = n[mine]
+                a = np.repeat(mine, k)
+                b = np.repeat(start[mine] - np.cumsum(k) + k, k) + np.arange(k.sum())
+                fit = (part[a] != part[b]) & (size[a] <= size[b]) & (size[a] >= similarity * size[b] - SLACK)
+                a, b = a[fit], b[fit]
+                fit = np.minimum(size[a] - at[a], size[b] - at[b]) >= both_hold * (size[a] + size[b]) - SLACK
+                a, b = node[a[fit]], node[b[fit]]
+                if len(a):
+                    ends = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["a", "b"])
+
+    def reached(batches):
+        for batch in batches:
+            fits = [_may_reach(a, b, similarity) for a, b in zip(*[batch.column(c).to_pylist() for c in ("counts_a", "counts_b")])]
+            yield pa.RecordBatch.from_arrays([batch.column("fp_a"), batch.column("fp_b")], ["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    first = cut(prints.groupBy("fp").agg(F.min("place.row").alias("row")))
+    rooted = first.join(found.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    parts = first.select(F.col("fp").alias("root"), F.col("row").alias("part"))
+    nodes = cut(rooted.join(parts.hint("merge"), "root").select("row", "part"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "text").join(nodes.hint("merge"), "row")
+    kind = "key bigint, fp bigint, size int, at int, part bigint"
+    prefixes = texts.select("row", "part", "text").mapInArrow(listed, kind)
+    kept = cut(prefixes.repartition("key").sortWithinPartitions("key").mapInArrow(shared, kind))
+    heavy = cut(
+        kept.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SHARD_NODES)
+        .select("key", F.ceil(F.col("n") / SHARD_NODES).cast("int").alias("chunks"))
+    )
+    pairs = cut(_dealt(kept, heavy).mapInArrow(paired, "a bigint, b bigint").distinct())
+    for end in ("a", "b"):
+        sets = prints.select(F.col("place.row").alias(end), F.col("fp").alias(f"fp_{end}"), F.col("counts").alias(f"counts_{end}"))
+        pairs = pairs.join(sets.hint("merge"), end)
+    return cut(pairs.select("fp_a", "fp_b", "counts_a", "counts_b").mapInArrow(reached, "a binary, b binary"))
+
+
 def _verified(docs: DataFrame, prints: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b): stars of the texts of ``similarity`` or more inside each component of ``candidates`` (a, b)."""
 
@@ -375,7 +508,7 @@ def _components(found: DataFrame) -> DataFrame:
 
 def linked_fingerprints(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): exact components of 64-bit fingerprints at ``radius`` or fewer bits."""
-    prints = cut(fingerprints(docs, words, 1, False).drop("drawn"))
+    prints = cut(fingerprints(docs, words, 1, False).select("place", "fp"))
     shards = cut(_block_keys(prints.select("fp").distinct(), radius))
     return _components(_classes(prints, links(shards, 1, radius)))
 
@@ -390,7 +523,9 @@ def _near(docs: DataFrame, words: int, similarity: float, lanes: int) -> DataFra
     rounds = [
         cut(links(_sample_keys(nodes, samples[i : i + ROUND]), lanes, radius).distinct()) for i in range(0, len(samples), ROUND)
     ]
-    stars = _verified(docs, prints, reduce(DataFrame.unionByName, rounds), words, similarity)
+    found = cut(components(cut(reduce(DataFrame.unionByName, rounds).distinct())))
+    others = _prefix_pairs(docs, prints, found, words, similarity)
+    stars = _verified(docs, prints, found.toDF("a", "b").unionByName(others), words, similarity)
     return _classes(prints, stars).withColumn("fp", F.substring("fp", 1, bits // 8))
 
 

@@ -1,11 +1,14 @@
 """SimHash near-dedup against brute force over all pairs."""
 
+import itertools
 import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from storelytics.llm import simhash
+from storelytics.llm.common import cut
 from storelytics.llm.components import components
 
 SAMPLE = "/root/testdata/sf0.01/documents.parquet"
@@ -172,3 +175,35 @@ def test_a_dense_group_is_not_compared_pair_by_pair():
     label = simhash._local_roots(forest, 62)
     assert np.unique(label, return_counts=True)[1].tolist() == [1, 4000, 50]
     assert sum(len(a) for a, _ in forest.links(np.arange(len(prints)), 62)) < 100 * len(prints)
+
+
+def test_short_texts_at_the_similarity_are_all_linked(docs):
+    """Four and five shingles, four of them shared: too few for their fingerprints to be as near as those of long texts."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 1200, 2):
+        text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(9))
+        rows += [(i, text), (i + 1, text.rsplit(" ", 1)[0])]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(*rows)).collect()}
+    assert found == {i: i - i % 2 for i in range(1200)}
+
+
+def test_prefixes_find_all_pairs_without_the_trees(docs, monkeypatch):
+    """Sets of all sizes over few shingles, most of them common, against all pairs; chunks and steps are small."""
+    monkeypatch.setattr(simhash, "SHARD_NODES", 7)
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.choice((1, 3, 8, 20, 120, 3000)))]
+        texts += [" ".join(base), " ".join(base[: rng.randint(3 * len(base) // 4, len(base))]), " ".join(base + ["x"] * rng.randint(0, 2))]
+    sets = [set(np.unique(simhash._shingle_hashes(t, 2)).tolist()) for t in texts]
+    frame = cut(docs(*enumerate(texts)))
+    prints = cut(simhash.fingerprints(frame, 2, 4, True))
+    ids = {r.fp: i for i, r in enumerate(prints.orderBy("place").collect())}
+    none = prints.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0)
+    got = {frozenset((ids[r.a], ids[r.b])) for r in simhash._prefix_pairs(frame, prints, none, 2, 0.8).collect()}
+    want = {
+        frozenset((i, j)) for i, j in itertools.combinations(sorted(ids.values()), 2) if sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+    }
+    assert len(want) > 50 and want <= got
